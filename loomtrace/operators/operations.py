@@ -28,11 +28,10 @@ KEY = ["session_id", "kind", "run_id", "scope_thread_id", "operation_id"]
 
 
 def kind_of(event_type: Column) -> Column:
-    split = {t: kind for kind, pair in SPLIT_KINDS.items() for t in pair}
-    out = F.when(event_type.isin(*PHASED_KINDS), event_type)
-    for name, kind in split.items():
-        out = out.when(event_type == name, kind)
-    return out
+    """Operation kind of an event type, null for the others: one literal-map lookup."""
+    kinds = {t: kind for kind, pair in SPLIT_KINDS.items() for t in pair} | {t: t for t in PHASED_KINDS}
+    table = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return F.try_element_at(table, event_type)
 
 
 def event_phase(phase: Column, raw_type: Column) -> Column:
@@ -99,16 +98,14 @@ def scope_thread(events: DataFrame) -> DataFrame:
 def lifecycle_events(events: DataFrame) -> DataFrame:
     """Events that belong to an operation, with its key."""
     work = scope_thread(classify_events(events))
-    return work.where(
-        (F.col("event_class") == "lifecycle") & X.trim_null(F.col("operation_id")).isNotNull() & (F.col("seq") > 0)
-    ).withColumns({"operation_id": F.trim("operation_id"), "run_id": F.trim("run_id")})
+    return work.where(F.col("kind").isNotNull() & (F.trim("operation_id") != "") & (F.col("seq") > 0)).withColumns({"operation_id": F.trim("operation_id"), "run_id": F.trim("run_id")})
 
 
 def _accepted(events: DataFrame) -> DataFrame:
     """Lifecycle events without those an already ended immutable operation refuses."""
     rows = lifecycle_events(events)
-    mutable = rows.where(F.col("mutable"))
-    fixed = rows.where(~F.col("mutable"))
+    mutable = rows.where(~F.col("event_type").isin(*IMMUTABLE_KINDS))
+    fixed = rows.where(F.col("event_type").isin(*IMMUTABLE_KINDS))
     ended = carry(fixed, KEY, "seq", {"ended_before": F.when(F.col("is_terminal"), F.col("seq"))}, inclusive=False)
     return mutable.unionByName(ended.where(F.col("ended_before").isNull()).drop("ended_before"))
 

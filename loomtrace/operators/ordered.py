@@ -132,6 +132,41 @@ def asof(
     return carried.select("__left.*", *[F.col(f"__hit.{c}").alias(c) for c in columns])
 
 
+def asof_values(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_at: str,
+    right_at: str,
+    values: dict[str, Column],
+    *,
+    inclusive: bool,
+    backwards: bool = False,
+    span: int = SPAN,
+) -> DataFrame:
+    """Like `asof`, but each value looks past right rows where it is null.
+
+    Every value comes back as struct<value, at>.
+    """
+    early = inclusive != backwards
+    names = list(values)
+    here = left.select(
+        *keys,
+        (F.col(left_at) * 2 + (1 if early else 0)).cast("bigint").alias("__at"),
+        F.struct(*[F.col(c) for c in left.columns]).alias("__left"),
+    )
+    there = right.select(
+        *keys,
+        (F.col(right_at) * 2 + (0 if early else 1)).cast("bigint").alias("__at"),
+        *[F.when(v.isNotNull(), F.struct(v.alias("value"), F.col(right_at).alias("at"))).alias(n) for n, v in values.items()],
+    )
+    united = here.unionByName(there, allowMissingColumns=True)
+    carried = carry(
+        united, keys, "__at", {f"__c_{n}": F.col(n) for n in names}, backwards=backwards, span=2 * span
+    ).where(F.col("__left").isNotNull())
+    return carried.select("__left.*", *[F.col(f"__c_{n}").alias(n) for n in names])
+
+
 def lookup(
     big: DataFrame,
     small: DataFrame,

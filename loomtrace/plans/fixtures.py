@@ -22,22 +22,23 @@ SELECT event_id, user_id, event_type AS et, {ts_text} AS ts, CAST({jk} AS INT) A
 FROM events
 """
 
+MIXES = {
+    "signup": {"task.started": 7, "message.user": 5, "message.agent": 4, "runtime.context": 4, "agent.reasoning": 1,
+               "stderr.line": 1, "message.commentary": 1, "context.compacted": 1},
+    "click": {"shell.call": 8, "tool.call": 8, "collab.spawn_agent": 2, "collab.wait": 2, "collab.send_input": 1,
+              "collab.close_agent": 1, "web.search": 1, "web.open": 1},
+    "view": {"shell.result": 10, "tool.result": 11, "todo.update": 2, "message.assistant": 1},
+    "purchase": {"info.tokens": 14, "task.completed": 8, "agent.aborted": 1, "agent.failed": 1},
+    "error": {"error": 5, "mcp.call": 5, "mcp.result": 6, "patch.apply": 4, "file.change": 1, "stdin.write": 1,
+              "patch.apply.duplicate": 1, "user.input.request": 1},
+}
+MIX_CASE = " ".join(
+    f"WHEN '{kind}' THEN '{','.join(t for t, n in mix.items() for _ in range(n))}'" for kind, mix in MIXES.items()
+)
+
 # The event id follows time, so it serves as the sequence number without any window.
-TYPED = """
-SELECT *, CASE
-  WHEN et = 'signup' THEN CASE k % 4 WHEN 0 THEN 'task.started' WHEN 1 THEN 'message.user' WHEN 2 THEN 'message.agent'
-    ELSE CASE WHEN v % 2 = 0 THEN 'runtime.context' WHEN v % 8 = 1 THEN 'agent.reasoning' WHEN v % 8 = 3 THEN 'stderr.line'
-      WHEN v % 8 = 5 THEN 'message.commentary' ELSE 'context.compacted' END END
-  WHEN et = 'click' THEN CASE WHEN v % 17 = 0 THEN 'collab.spawn_agent' WHEN v % 17 = 1 THEN 'collab.wait'
-    WHEN v % 17 = 2 THEN 'collab.send_input' WHEN v % 17 = 3 THEN 'collab.close_agent'
-    WHEN v % 17 = 4 THEN 'web.search' WHEN k % 2 = 0 THEN 'shell.call' ELSE 'tool.call' END
-  WHEN et = 'view' THEN CASE WHEN v % 19 = 0 THEN 'todo.update' WHEN k % 2 = 0 THEN 'shell.result' ELSE 'tool.result' END
-  WHEN et = 'purchase' THEN CASE WHEN k % 5 < 3 THEN 'info.tokens' WHEN v % 29 = 0 THEN 'agent.aborted'
-    WHEN v % 29 = 1 THEN 'agent.failed' ELSE 'task.completed' END
-  ELSE CASE k % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'mcp.call' WHEN 2 THEN 'mcp.result'
-    ELSE CASE WHEN v % 13 = 0 THEN 'patch.apply.duplicate' WHEN v % 5 = 0 THEN 'file.change' WHEN v % 5 = 1 THEN 'stdin.write'
-      ELSE 'patch.apply' END END
-  END AS event_type
+TYPED = f"""
+SELECT *, split_part(CASE et {MIX_CASE} END, ',', CAST((k * 13 + v) % 24 + 1 AS INT)) AS event_type
 FROM base
 """
 
@@ -52,9 +53,9 @@ SELECT session_id, session_id AS run_id, concat('task', CAST(user_id % 5 AS VARC
   CASE WHEN et IN ('click', 'view', 'error') THEN concat('op', CAST((k - k % 2) % 10 AS VARCHAR(20))) END AS operation_id,
   CASE WHEN et IN ('view', 'error') OR event_type IN ('collab.spawn_agent', 'collab.wait', 'collab.close_agent') THEN
     CASE v % 7 WHEN 0 THEN 'failed' WHEN 1 THEN NULL WHEN 2 THEN 'Cancelled' ELSE 'completed' END END AS status,
-  CASE WHEN event_type IN ('patch.apply', 'file.change', 'stdin.write') THEN
+  CASE WHEN event_type IN ('patch.apply', 'file.change', 'stdin.write', 'user.input.request') THEN
     CASE v % 3 WHEN 0 THEN CASE WHEN v % 4 = 1 THEN NULL ELSE 'started' END WHEN 1 THEN 'updated' ELSE 'completed' END
-    WHEN event_type IN ('collab.spawn_agent', 'collab.wait', 'collab.send_input', 'collab.close_agent', 'web.search', 'todo.update')
+    WHEN event_type IN ('collab.spawn_agent', 'collab.wait', 'collab.send_input', 'collab.close_agent', 'web.search', 'web.open', 'todo.update')
     THEN CASE k % 2 WHEN 0 THEN 'started' ELSE 'completed' END END AS phase,
   CASE WHEN event_type = 'patch.apply.duplicate' THEN 'event_msg.patch_apply_end'
     WHEN event_type IN ('shell.result', 'patch.apply') THEN
