@@ -34,7 +34,7 @@ def main(names):
             start = time.time()
             rel = duck.sql(oracles[name])
             cols = sorted(rel.columns)
-            expected = duck.sql(f"SELECT {', '.join(cols)} FROM ({oracles[name]}) AS q").fetchall()
+            expected = duck.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({oracles[name]}) AS q").fetchall()
             duck_took = time.time() - start
             key = lambda r: tuple((v is None, str(v)) for v in r)
             got, want = sorted(rows, key=key), sorted(expected, key=key)

@@ -183,10 +183,11 @@ def review_findings(events: DataFrame) -> DataFrame:
     return _per_session(events, _review_findings())
 
 
-def operation_metrics(sessions: DataFrame, operations: DataFrame) -> DataFrame:
-    """Eight operation counters; a session without operations is unknown, not zero."""
-    kind = F.col("kind")
-    counts = operations.groupBy("session_id").agg(
+def operation_fold(operations: DataFrame) -> DataFrame:
+    """Per session: operation counters and attributed time, in one aggregation."""
+    kind, spent = F.col("kind"), F.col("duration_ms")
+    timed = spent.isNotNull()
+    return operations.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("operation_count"),
         F.count_if(F.col("last_status") == "completed").alias("successful_operations"),
         F.count_if(is_failed(F.col("last_status"))).alias("failed_operations"),
@@ -195,129 +196,150 @@ def operation_metrics(sessions: DataFrame, operations: DataFrame) -> DataFrame:
         F.count_if(kind == "mcp").alias("mcp_calls"),
         F.count_if(kind.startswith("collab.")).alias("collaboration_calls"),
         F.count_if(kind == "collab.spawn_agent").alias("spawn_agent_calls"),
+        F.sum(F.when(timed & ~kind.isin("shell", "mcp", "collab.spawn_agent"), spent).when(timed, 0)).alias("tool_spent"),
+        F.sum(F.when(timed & (kind == "shell"), spent).when(timed, 0)).alias("shell_spent"),
+        F.sum(F.when(timed & (kind == "mcp"), spent).when(timed, 0)).alias("mcp_spent"),
+        F.sum(F.when(timed & (kind == "collab.spawn_agent"), spent).when(timed, 0)).alias("spawn_agent_spent"),
     )
-    names = [c for c in counts.columns if c != "session_id"]
-    joined = sessions.select("session_id").join(counts, "session_id", "left")
-    return joined.select("session_id", *[C.known(F.col(n), C.FROM_OPERATIONS).alias(n) for n in names])
+
+
+OPERATION_COUNTS = [
+    "operation_count", "successful_operations", "failed_operations", "tool_calls", "shell_calls", "mcp_calls",
+    "collaboration_calls", "spawn_agent_calls",
+]
+SPENT = ["tool", "shell", "mcp", "spawn_agent"]
+
+
+def _operation_counts() -> list[Column]:
+    return [C.known(F.col(n), C.FROM_OPERATIONS).alias(n) for n in OPERATION_COUNTS]
+
+
+def _time_spent(total: Column) -> list[Column]:
+    attributed = sum((F.coalesce(f"{n}_spent", F.lit(0)) for n in SPENT), F.lit(0))
+    idle = F.greatest(total["value"] - attributed, F.lit(0)).cast("bigint")
+    return [
+        total.alias("total_ms"),
+        C.unknown().alias("generation_ms"),
+        *[C.partial(F.col(f"{n}_spent"), C.FROM_OPERATIONS).alias(f"{n}_ms") for n in SPENT],
+        C.partial(F.when(total["value"].isNotNull(), idle), C.DERIVED).alias("idle_ms"),
+    ]
+
+
+def operation_metrics(sessions: DataFrame, operations: DataFrame) -> DataFrame:
+    """Eight operation counters; a session without operations is unknown, not zero."""
+    joined = sessions.select("session_id").join(operation_fold(operations), "session_id", "left")
+    return joined.select("session_id", *_operation_counts())
 
 
 def duration_breakdown(durations: DataFrame, operations: DataFrame) -> DataFrame:
     """Attributed time per kind and the idle rest; `durations` is session_duration's result."""
-    kind, spent = F.col("kind"), F.col("duration_ms")
-    sums = operations.where(spent.isNotNull()).groupBy("session_id").agg(
-        F.sum(F.when(~kind.isin("shell", "mcp", "collab.spawn_agent"), spent).otherwise(0)).alias("tool"),
-        F.sum(F.when(kind == "shell", spent).otherwise(0)).alias("shell"),
-        F.sum(F.when(kind == "mcp", spent).otherwise(0)).alias("mcp"),
-        F.sum(F.when(kind == "collab.spawn_agent", spent).otherwise(0)).alias("spawn"),
-    )
-    joined = durations.select("session_id", F.col("duration_ms").alias("total")).join(sums, "session_id", "left")
-    parts = {n: F.col(n) for n in ("tool", "shell", "mcp", "spawn")}
-    attributed = sum((F.coalesce(c, F.lit(0)) for c in parts.values()), F.lit(0))
-    idle = F.greatest(F.col("total.value") - attributed, F.lit(0)).cast("bigint")
-    return joined.select(
-        "session_id",
-        F.col("total").alias("total_ms"),
-        C.unknown().alias("generation_ms"),
-        *[C.partial(c, C.FROM_OPERATIONS).alias("spawn_agent_ms" if n == "spawn" else f"{n}_ms") for n, c in parts.items()],
-        C.partial(F.when(F.col("total.value").isNotNull(), idle), C.DERIVED).alias("idle_ms"),
+    joined = durations.select("session_id", "duration_ms").join(operation_fold(operations), "session_id", "left")
+    return joined.select("session_id", *_time_spent(F.col("duration_ms")))
+
+
+def thread_fold(events: DataFrame) -> DataFrame:
+    """One pass per (session, thread), null thread included: tokens, parents and turn-free counts."""
+    rows = ensure_columns(events).withColumn("thread", event_thread())
+    tokens = F.struct(*SNAPSHOT, "seq")
+    parent = X.trim_null(F.col("parent_thread_id"))
+    return rows.groupBy("session_id", "thread").agg(
+        F.max_by(tokens, F.when(_is("info.tokens") & has_tokens(), F.col("seq"))).alias("latest"),
+        F.max_by(tokens, F.when(_is("info.tokens"), F.col("seq"))).alias("newest"),
+        F.min_by(parent, F.when(parent.isNotNull(), F.col("seq"))).alias("parent"),
+        (F.min(parent) != F.max(parent)).alias("ambiguous"),
+        F.bool_or(F.col("thread_id").isNotNull()).alias("own_id"),
     )
 
 
-def token_latest_by_thread(events: DataFrame) -> DataFrame:
+def token_latest_by_thread(threads: DataFrame) -> DataFrame:
     """Last cumulative token snapshot of every thread."""
-    rows = ensure_columns(events).where(_is("info.tokens") & has_tokens()).withColumn("thread", event_thread())
-    return (
-        rows.where(F.col("thread").isNotNull())
-        .groupBy("session_id", "thread")
-        .agg(F.max_by(F.struct(*SNAPSHOT, "seq"), "seq").alias("s"))
-        .select("session_id", "thread", "s.*")
-    )
+    return threads.where(F.col("thread").isNotNull() & F.col("latest").isNotNull()).select("session_id", "thread", "latest.*")
 
 
-def token_unscoped(events: DataFrame) -> DataFrame:
+def token_unscoped(threads: DataFrame) -> DataFrame:
     """Last token event without a thread; a last one without counters counts as none."""
-    rows = ensure_columns(events).where(_is("info.tokens") & event_thread().isNull())
-    last = rows.groupBy("session_id").agg(F.max_by(F.struct(*SNAPSHOT), "seq").alias("s")).select("session_id", "s.*")
-    return last.where(has_tokens())
+    loose = threads.where(F.col("thread").isNull()).select("session_id", *[F.col(f"newest.{c}").alias(c) for c in SNAPSHOT])
+    return loose.where(has_tokens())
 
 
-def thread_parent_state(events: DataFrame) -> DataFrame:
+def thread_parent_state(threads: DataFrame) -> DataFrame:
     """First parent seen per thread, and whether a later event names another."""
-    parent = X.trim_null(F.col("parent_thread_id"))
-    rows = ensure_columns(events).select("session_id", "seq", event_thread().alias("thread"), parent.alias("parent"))
-    return (
-        rows.where(F.col("thread").isNotNull() & F.col("parent").isNotNull())
-        .groupBy("session_id", "thread")
-        .agg(F.min_by("parent", "seq").alias("parent"), (F.min("parent") != F.max("parent")).alias("ambiguous"))
+    return threads.where(F.col("thread").isNotNull() & F.col("parent").isNotNull()).select(
+        "session_id", "thread", "parent", "ambiguous"
     )
 
 
-def token_ledger(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Tokens per session: scoped threads, else the unscoped snapshot, else the catalog's number.
-
-    `sessions` gives session_id and tokens_used.
-    """
-    parents = thread_parent_state(events)
-    unscoped = token_unscoped(events).withColumnsRenamed({c: f"u_{c}" for c in SNAPSHOT})
-    threads = token_latest_by_thread(events).join(
-        parents.select("session_id", "thread", "parent"), ["session_id", "thread"], "left"
-    )
-    ambiguity = parents.groupBy("session_id").agg(F.bool_or("ambiguous").alias("ambiguous"))
-    base = (
-        sessions.select("session_id", "tokens_used")
-        .join(unscoped.withColumn("has_unscoped", F.lit(True)), "session_id", "left")
-        .join(ambiguity, "session_id", "left")
-    )
-    is_child = F.col("parent").isNotNull()
-    sums = threads.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("threads"),
-        F.count_if(~is_child).alias("parentless"),
+def _ledger_sums(threads: DataFrame) -> DataFrame:
+    """Per session: what the ledger needs from its threads, in one aggregation."""
+    scoped = F.col("thread").isNotNull() & F.col("latest").isNotNull()
+    loose = F.col("thread").isNull()
+    is_child = scoped & F.col("parent").isNotNull()
+    own = {c: F.when(scoped, F.col(f"latest.{c}")) for c in SNAPSHOT}
+    return threads.groupBy("session_id").agg(
+        F.nullif(F.count_if(scoped), F.lit(0)).alias("threads"),
+        F.count_if(scoped & F.col("parent").isNull()).alias("parentless"),
         F.count_if(is_child).alias("children"),
-        *[F.sum(c).alias(f"sum_{c}") for c in SNAPSHOT],
-        *[F.count(c).alias(f"n_{c}") for c in SNAPSHOT],
-        F.sum(F.when(is_child, F.col("total_tokens"))).alias("child_sum"),
-        F.count(F.when(is_child, F.col("total_tokens"))).alias("child_n"),
+        *[F.sum(v).alias(f"sum_{c}") for c, v in own.items()],
+        *[F.count(v).alias(f"n_{c}") for c, v in own.items()],
+        F.sum(F.when(is_child, own["total_tokens"])).alias("child_sum"),
+        F.count(F.when(is_child, own["total_tokens"])).alias("child_n"),
+        F.coalesce(F.bool_or(F.col("ambiguous") & ~loose), F.lit(False)).alias("ambiguous"),
+        *[F.max(F.when(loose, F.col(f"newest.{c}"))).alias(f"u_{c}") for c in SNAPSHOT],
+        F.count_if(F.col("thread").isNotNull()).alias("n_threads"),
+        F.nullif(F.count_if("own_id"), F.lit(0)).alias("n_own_threads"),
     )
-    row = base.join(sums, "session_id", "left")
+
+
+def _ledger(tokens_used: Column) -> list[Column]:
     scoped = F.col("threads").isNotNull()
-    loose = F.coalesce("has_unscoped", F.lit(False))
+    loose = F.coalesce(*[F.col(f"u_{c}") for c in SNAPSHOT]).isNotNull()
 
-    def ledger(name: str) -> Column:
+    def part(name: str) -> Column:
         column = TOKENS[name]
         full = (F.col(f"n_{column}") == F.col("threads")) & ~loose
         from_threads = C.covered(F.col(f"sum_{column}"), F.when(full, C.KNOWN).otherwise(C.PARTIAL), C.FROM_EVENTS)
-        from_catalog = C.partial(F.col("tokens_used"), C.FROM_CATALOG) if name == "total" else C.unknown()
-        return (
-            F.when(scoped, from_threads)
-            .when(loose, C.partial(F.col(f"u_{column}"), C.FROM_EVENTS))
-            .otherwise(from_catalog)
-            .alias(name)
-        )
+        from_catalog = C.partial(tokens_used, C.FROM_CATALOG) if name == "total" else C.unknown()
+        from_loose = C.partial(F.col(f"u_{column}"), C.FROM_EVENTS)
+        return F.when(scoped, from_threads).when(loose, from_loose).otherwise(from_catalog)
 
     forced = loose | F.coalesce("ambiguous", F.lit(False)) | (F.col("parentless") > 1)
     child_value = F.when(F.col("children") == 0, F.lit(0).cast("bigint")).otherwise(F.col("child_sum"))
     child_full = ~forced & (F.col("child_n") == F.col("children"))
-    spawn = F.when(scoped, C.covered(child_value, F.when(child_full, C.KNOWN).otherwise(C.PARTIAL), C.DERIVED)).otherwise(C.unknown())
-    out = row.select("session_id", *[ledger(n) for n in TOKENS], spawn.alias("spawn_agent"))
-    return out.withColumn("task", C.covered_subtract(F.col("total"), F.col("spawn_agent"))).withColumn("tool_call", C.unknown())
+    spawn = F.when(
+        scoped, C.covered(child_value, F.when(child_full, C.KNOWN).otherwise(C.PARTIAL), C.DERIVED)
+    ).otherwise(C.unknown())
+    return [*[part(n).alias(n) for n in TOKENS], spawn.alias("spawn_agent")]
 
 
-def turn_and_thread_counts(events: DataFrame) -> DataFrame:
-    """Distinct non-empty turns and threads; none at all is unknown."""
-    counts = ensure_columns(events).groupBy("session_id").agg(
-        F.count_distinct(X.trim_null(F.col("turn_id"))).alias("turns"),
-        F.count_distinct(X.trim_null(F.col("thread_id"))).alias("threads"),
-    )
-    return counts.select(
-        "session_id",
-        C.known(F.nullif("turns", F.lit(0))).alias("turn_count"),
-        C.partial(F.nullif("threads", F.lit(0))).alias("agent_work_item_count"),
-    )
+def _with_task(ledger: DataFrame) -> DataFrame:
+    return ledger.withColumns({"task": C.covered_subtract(F.col("total"), F.col("spawn_agent")), "tool_call": C.unknown()})
+
 
+def token_ledger(threads: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Tokens per session: scoped threads, else the unscoped snapshot, else the catalog's number.
 
-def thread_count(events: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    `threads` is thread_fold's result; `sessions` gives session_id and tokens_used.
+    """
+    row = sessions.select("session_id", "tokens_used").join(_ledger_sums(threads), "session_id", "left")
+    return _with_task(row.select("session_id", *_ledger(F.col("tokens_used"))))
+
+
+def turn_count(events: DataFrame) -> DataFrame:
+    """Distinct non-empty turns; none at all is unknown."""
+    turns = ensure_columns(events).groupBy("session_id").agg(F.count_distinct(X.trim_null(F.col("turn_id"))).alias("n"))
+    return turns.select("session_id", C.known(F.nullif("n", F.lit(0))).alias("turn_count"))
+
+
+def turn_and_thread_counts(events: DataFrame, threads: DataFrame) -> DataFrame:
+    """Distinct turns, and distinct threads as the agent work items."""
+    items = threads.groupBy("session_id").agg(F.count_if("own_id").alias("n"))
+    items = items.select("session_id", C.partial(F.nullif("n", F.lit(0))).alias("agent_work_item_count"))
+    return turn_count(events).join(items, "session_id")
+
+
+def thread_count(threads: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """Threads of the hierarchy: those events name plus those the thread state knows."""
-    ids = ensure_columns(events).select("session_id", X.trim_null(event_thread()).alias("thread"))
+    ids = threads.select("session_id", "thread")
     if agents is not None:
         ids = ids.unionByName(agents.select("session_id", F.col("thread_id").alias("thread")))
     return ids.groupBy("session_id").agg(C.known(F.count_distinct("thread"), C.FROM_TREE).alias("thread_count"))
@@ -325,7 +347,7 @@ def thread_count(events: DataFrame, agents: DataFrame | None = None) -> DataFram
 
 def available_skills(text: Column) -> Column:
     """Distinct skill ids listed after the heading, up to the first line that is no list item."""
-    lines = F.transform(F.split(text, "\r?\n"), F.trim)
+    lines = F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x))
     heading = F.array_position(lines, AVAILABLE_SKILLS)
     after = F.slice(lines, (heading + 1).cast("int"), F.size(lines))
     item = lambda line: F.regexp_extract(line, r"^- +`*([^:`\s]+)", 1)
@@ -338,14 +360,14 @@ def available_skills(text: Column) -> Column:
 
 def used_skill_ids(events: DataFrame) -> DataFrame:
     """Distinct (session, skill) from skill tags in messages and from shell calls."""
-    events = ensure_columns(events)
     block = F.regexp_extract("text", r"(?s)<skill>(.*?)</skill>", 1)
-    tagged = X.trim_null(F.regexp_extract(block, r"(?s)<name>(.*?)</name>", 1))
-    from_text = events.where(_is(*MESSAGE_TYPES)).select("session_id", tagged.alias("skill"))
-    from_shell = events.where(_is("shell.call")).select(
-        "session_id", F.explode(F.transform("skill_identifiers", X.trim_null)).alias("skill")
+    tagged = F.regexp_extract(block, r"(?s)<name>(.*?)</name>", 1)
+    found = F.when(_is(*MESSAGE_TYPES) & F.col("text").contains("<skill>"), F.array(tagged)).when(
+        _is("shell.call"), F.col("skill_identifiers")
     )
-    return from_text.unionByName(from_shell).where(F.col("skill").isNotNull()).distinct()
+    rows = ensure_columns(events).where(_is(*MESSAGE_TYPES, "shell.call"))
+    exploded = rows.select("session_id", F.explode(F.transform(found, lambda x: F.trim(x))).alias("skill"))
+    return exploded.where(F.col("skill") != "").distinct()
 
 
 def used_skills(sessions: DataFrame, skills: DataFrame) -> DataFrame:
@@ -383,9 +405,12 @@ def derived_efficiency(fold: DataFrame, ledger: DataFrame) -> DataFrame:
     return row.select("session_id", *_efficiency(F.col("tokens"), F.col("outcome"), F.col("review_findings.value")))
 
 
+def _catalog_factor_names() -> list[str]:
+    return ["model", "reasoning_effort", "cli_version", "approval_mode", "agent_role", "sandbox_policy_kind"]
+
+
 def _catalog_factors() -> list[Column]:
-    names = ("model", "reasoning_effort", "cli_version", "approval_mode", "agent_role", "sandbox_policy_kind")
-    return [X.trim_null(F.col(c)).alias(c) for c in names]
+    return [X.trim_null(F.col(c)).alias(c) for c in _catalog_factor_names()]
 
 
 def _log_factors() -> list[Column]:
@@ -442,34 +467,38 @@ def session_metrics(events: DataFrame, operations: DataFrame, sessions: DataFram
     """The stored document: every metric group of a session in one row.
 
     `sessions` is a catalog with project_key, session_scope, tokens_used and the factor columns.
-    Metrics the logs cannot support stay as typed unknowns. The plain aggregates share one pass
-    over the events; operations, tokens and distinct counts add one aggregation each.
+    Metrics the logs cannot support stay as typed unknowns. The events are read once per
+    grouping: by session, by thread, by turn and by skill; all later joins are one row a session.
     """
     events = ensure_columns(events)
-    fold = session_fold(events)
-    keys = fold.select("session_id")
-    catalog = keys.join(
-        sessions.select("session_id", "project_key", "session_scope", "tokens_used", *_catalog_factors()), "session_id", "left"
-    )
-    summary = fold.select(
-        "session_id", *_duration(), *_outcome(), *_counts()[:-1], *_log_factors(), _review_findings()
+    catalog = sessions.select("session_id", "project_key", "session_scope", "tokens_used", *_catalog_factors())
+    skills = used_skill_ids(events).groupBy("session_id").agg(F.count(F.lit(1)).alias("n_skills"))
+    row = session_fold(events).join(catalog, "session_id", "left")
+    threads = thread_fold(events)
+    for part in (_ledger_sums(threads), operation_fold(operations), turn_count(events), skills):
+        row = row.join(part, "session_id", "left")
+    n_threads = C.known(F.col("n_threads"), C.FROM_TREE)
+    if agents is not None:
+        known = agents.groupBy("session_id").agg(F.count_if(F.col("role") == "reviewer").alias("n_reviewers"))
+        row = row.join(known, "session_id", "left").join(
+            thread_count(threads, agents).withColumnRenamed("thread_count", "tree"), "session_id", "left"
+        )
+        row = row.withColumn("n_reviews", F.coalesce(F.nullif("n_reviews", F.lit(0)), "n_reviewers"))
+        n_threads = F.col("tree")
+    ledger = [c.alias(f"tokens_{n}") for c, n in zip(_ledger(F.col("tokens_used")), [*TOKENS, "spawn_agent"], strict=True)]
+    out = row.select(
+        "session_id", "project_key", "session_scope", *_catalog_factor_names(),
+        *_duration(), *_outcome(), *_counts()[:-1], *_log_factors(), _review_cycles(), _review_findings(),
+        *_operation_counts(), "turn_count", n_threads.alias("thread_count"),
+        (n_threads if agents is not None else C.partial(F.col("n_own_threads"))).alias("agent_work_item_count"),
+        C.known(F.col("n_skills")).alias("used_skills"), *ledger, *[f"{n}_spent" for n in SPENT],
     )
-    ledger = token_ledger(events, catalog)
-    ledger = ledger.withColumnsRenamed({n: f"tokens_{n}" for n in [*TOKENS, "spawn_agent", "task", "tool_call"]})
-    out = summary.join(catalog.drop("tokens_used"), "session_id")
-    for part in (
-        ledger,
-        operation_metrics(keys, operations),
-        duration_breakdown(summary, operations),
-        turn_and_thread_counts(events),
-        thread_count(events, agents),
-        used_skills(keys, used_skill_ids(events)),
-        review_cycles(fold, agents),
-    ):
-        out = out.join(part, "session_id", "left")
     efficiency = _efficiency(F.col("tokens_total.value"), F.col("outcome"), F.col("review_findings.value"))
     return out.select(
-        "*",
+        *[c for c in out.columns if not c.endswith("_spent")],
+        *_time_spent(F.col("duration_ms")),
+        C.covered_subtract(F.col("tokens_total"), F.col("tokens_spawn_agent")).alias("tokens_task"),
+        C.unknown().alias("tokens_tool_call"),
         *efficiency,
         *[C.unknown().alias(n) for n in UNSUPPORTED_COUNTS],
         *[C.unknown("double").alias(n) for n in UNSUPPORTED_RATES],

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.plans.tables import shared
+
 SPARK = {
     "jk": "get_json_object(props, '$.k')",
     "ts_text": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")",
@@ -140,22 +142,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_planned: dict = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views, planned over the tables in `sf_dir`."""
+    """One of the views, planned (not computed) once over the tables in `sf_dir`."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _planned:
+        _planned[key] = _plan_view(spark, sf_dir, name)
+    return _planned[key]
+
+
+def _plan_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     needed = list(VIEWS)[: list(VIEWS).index(name) + 1]
     ctes = ", ".join(f"{n} AS ({_fill(VIEWS[n], SPARK)})" for n in needed)
     text = ctes.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}")
     return spark.sql(f"WITH {text} SELECT * FROM {name}", events=table(spark, sf_dir, "events"))
 
 
+def _log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "log_events")
+    return rows.withColumns(
+        {"skill_identifiers": F.split("skill_list", ","), "receiver_thread_ids": F.split("receiver_list", ",")}
+    ).drop("skill_list", "receiver_list")
+
+
+@shared
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical event rows with the flat columns every operator reads."""
-    return (
-        view(spark, sf_dir, "log_events")
-        .withColumn("skill_identifiers", F.split("skill_list", ","))
-        .withColumn("receiver_thread_ids", F.split("receiver_list", ","))
-        .drop("skill_list", "receiver_list")
-    )
+    """The silver table: canonical event rows, written once and spread evenly whatever the session."""
+    return _log_events(spark, sf_dir).repartition("seq")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,17 +325,17 @@ WHERE thread IS NOT NULL AND parent IS NOT NULL GROUP BY session_id, thread""")
 
 @query("token_latest_by_thread", "SELECT * FROM thread_tokens")
 def token_latest_by_thread(spark, sf):
-    return M.token_latest_by_thread(events(spark, sf))
+    return M.token_latest_by_thread(M.thread_fold(events(spark, sf)))
 
 
 @query("token_unscoped", "SELECT * FROM loose_tokens")
 def token_unscoped(spark, sf):
-    return M.token_unscoped(events(spark, sf))
+    return M.token_unscoped(M.thread_fold(events(spark, sf)))
 
 
 @query("thread_parent_state", "SELECT * FROM thread_parents")
 def thread_parent_state(spark, sf):
-    return M.thread_parent_state(events(spark, sf))
+    return M.thread_parent_state(M.thread_fold(events(spark, sf)))
 
 
 def _ledger_sql(name: str) -> str:
@@ -368,14 +368,14 @@ SELECT *, CASE WHEN total IS NOT NULL AND spawn_agent IS NOT NULL THEN greatest(
 
 @query("token_ledger", "SELECT * FROM ledger")
 def token_ledger(spark, sf):
-    return C.flatten_covered(M.token_ledger(events(spark, sf), fixtures.sessions(spark, sf)))
+    return C.flatten_covered(M.token_ledger(M.thread_fold(events(spark, sf)), fixtures.sessions(spark, sf)))
 
 
 @query("coverage_sum", f"""
 SELECT s.git_branch, {covered_sum('total')}, {covered_sum('spawn_agent')} FROM ledger l JOIN fx_sessions s ON s.session_id = l.session_id GROUP BY s.git_branch""")
 def coverage_sum(spark, sf):
     catalog = fixtures.sessions(spark, sf)
-    ledger = M.token_ledger(events(spark, sf), catalog).join(catalog.select("session_id", "git_branch"), "session_id")
+    ledger = M.token_ledger(M.thread_fold(events(spark, sf)), catalog).join(catalog.select("session_id", "git_branch"), "session_id")
     sums = ledger.groupBy("git_branch").agg(C.covered_sum("total").alias("total"), C.covered_sum("spawn_agent").alias("spawn_agent"))
     return C.flatten_covered(sums)
 
@@ -385,7 +385,7 @@ SELECT session_id, CASE WHEN total IS NOT NULL AND cached_input IS NOT NULL THEN
   CASE WHEN total IS NULL OR cached_input IS NULL THEN 'unknown' WHEN total_coverage = 'known' AND cached_input_coverage = 'known' THEN 'known' ELSE 'partial' END AS uncached_coverage
 FROM ledger""")
 def coverage_subtract(spark, sf):
-    ledger = M.token_ledger(events(spark, sf), fixtures.sessions(spark, sf))
+    ledger = M.token_ledger(M.thread_fold(events(spark, sf)), fixtures.sessions(spark, sf))
     return C.flatten_covered(ledger.select("session_id", C.covered_subtract(F.col("total"), F.col("cached_input")).alias("uncached")))
 
 
@@ -397,7 +397,7 @@ FROM ledger""")
 
 @query("coverage_subtract_view", "SELECT * FROM view_uncached")
 def coverage_subtract_view(spark, sf):
-    ledger = M.token_ledger(events(spark, sf), fixtures.sessions(spark, sf))
+    ledger = M.token_ledger(M.thread_fold(events(spark, sf)), fixtures.sessions(spark, sf))
     return C.flatten_covered(ledger.select("session_id", C.covered_subtract_view(F.col("total"), F.col("cached_input")).alias("uncached")))
 
 
@@ -405,7 +405,8 @@ def coverage_subtract_view(spark, sf):
 SELECT session_id, {known('t', 'turn_count')}, {partial('h', 'agent_work_item_count')}
 FROM (SELECT session_id, nullif(count(DISTINCT turn_id), 0) AS t, nullif(count(DISTINCT thread_id), 0) AS h FROM log_events GROUP BY session_id) AS c""")
 def turn_and_thread_counts(spark, sf):
-    return C.flatten_covered(M.turn_and_thread_counts(events(spark, sf)))
+    rows = events(spark, sf)
+    return C.flatten_covered(M.turn_and_thread_counts(rows, M.thread_fold(rows)))
 
 
 @query("runtime_context_values", f"""
@@ -484,7 +485,7 @@ SELECT session_id, {known('tokens_per_successful_session', 'tokens_per_successfu
   'unknown' AS tokens_per_accepted_task_coverage, {partial('review_findings_per_1k_tokens', 'review_findings_per_1k_tokens')} FROM efficiency""")
 def derived_efficiency(spark, sf):
     rows = events(spark, sf)
-    out = M.derived_efficiency(M.session_fold(rows), M.token_ledger(rows, fixtures.sessions(spark, sf)))
+    out = M.derived_efficiency(M.session_fold(rows), M.token_ledger(M.thread_fold(rows), fixtures.sessions(spark, sf)))
     return C.flatten_covered(out).withColumn("review_findings_per_1k_tokens", F.round("review_findings_per_1k_tokens", 6))
 
 
