@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 
 
+# Fixed value: the characters that count as white space around a value.
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
+def strip(value: Column) -> Column:
+    return F.btrim(value, F.lit(WHITESPACE))
+
+
 def trim_null(value: Column) -> Column:
-    """Trimmed text, empty becomes null."""
-    return F.nullif(F.trim(value), F.lit(""))
+    """Text without white space around it, empty becomes null."""
+    return F.nullif(strip(value), F.lit(""))
 
 
 def hash8(value: Column) -> Column:

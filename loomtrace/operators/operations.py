@@ -53,7 +53,7 @@ def is_terminal(event_type: Column, phase: Column, status: Column) -> Column:
 def terminal_preference(duplicate_of: Column) -> Column:
     return (
         F.when(X.trim_null(duplicate_of).isNull(), 0)
-        .when(F.trim(duplicate_of).startswith("response_item."), 2)
+        .when(X.strip(duplicate_of).startswith("response_item."), 2)
         .otherwise(1)
     )
 
@@ -98,7 +98,7 @@ def scope_thread(events: DataFrame) -> DataFrame:
 def lifecycle_events(events: DataFrame) -> DataFrame:
     """Events that belong to an operation, with its key."""
     work = scope_thread(classify_events(events))
-    return work.where(F.col("kind").isNotNull() & (F.trim("operation_id") != "") & (F.col("seq") > 0)).withColumns({"operation_id": F.trim("operation_id"), "run_id": F.trim("run_id")})
+    return work.where(F.col("kind").isNotNull() & (X.strip(F.col("operation_id")) != "") & (F.col("seq") > 0)).withColumns({"operation_id": X.strip(F.col("operation_id")), "run_id": X.strip(F.col("run_id"))})
 
 
 def _accepted(events: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def duplicate_markers(events: DataFrame) -> DataFrame:
         scope_thread(classify_events(events))
         .where(F.col("event_class") == "duplicate_marker")
         .select(
-            "session_id", "seq", "event_type", F.trim("run_id").alias("run_id"), "scope_thread_id",
+            "session_id", "seq", "event_type", X.strip(F.col("run_id")).alias("run_id"), "scope_thread_id",
             X.trim_null(F.col("operation_id")).alias("operation_id"), X.trim_null(F.col("duplicate_of")).alias("duplicate_of"),
         )
     )
@@ -176,7 +176,7 @@ def annotate_events(events: DataFrame, operations: DataFrame) -> DataFrame:
     facts = operations.select(
         *KEY, "revision", "started_seq", "terminal_seq", F.col("last_status").alias("operation_status"), F.col("terminal").alias("operation_ended")
     )
-    joined = lookup(rows.withColumn("run_id", F.trim("run_id")), facts, KEY, "seq", null_safe=True)
+    joined = lookup(rows.withColumn("run_id", X.strip(F.col("run_id"))), facts, KEY, "seq", null_safe=True)
     root = F.concat_ws(":", F.col("run_id"), F.col("started_seq").cast("string"))
     return joined.withColumn("root_event_id", F.when(F.col("started_seq").isNotNull(), root)).withColumn(
         "is_root", F.coalesce(F.col("seq") == F.col("started_seq"), F.lit(False))

@@ -347,7 +347,7 @@ def thread_count(threads: DataFrame, agents: DataFrame | None = None) -> DataFra
 
 def available_skills(text: Column) -> Column:
     """Distinct skill ids listed after the heading, up to the first line that is no list item."""
-    lines = F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(text, "\r?\n"), lambda x: X.strip(x))
     heading = F.array_position(lines, AVAILABLE_SKILLS)
     after = F.slice(lines, (heading + 1).cast("int"), F.size(lines))
     item = lambda line: F.regexp_extract(line, r"^- +`*([^:`\s]+)", 1)
@@ -366,7 +366,7 @@ def used_skill_ids(events: DataFrame) -> DataFrame:
         _is("shell.call"), F.col("skill_identifiers")
     )
     rows = ensure_columns(events).where(_is(*MESSAGE_TYPES, "shell.call"))
-    exploded = rows.select("session_id", F.explode(F.transform(found, lambda x: F.trim(x))).alias("skill"))
+    exploded = rows.select("session_id", F.explode(F.transform(found, lambda x: X.strip(x))).alias("skill"))
     return exploded.where(F.col("skill") != "").distinct()
 
 

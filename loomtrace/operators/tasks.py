@@ -77,7 +77,7 @@ def task_intervals(events: DataFrame) -> DataFrame:
 def task_key() -> Column:
     return F.concat(
         F.lit("task:"),
-        F.concat_ws("|", F.trim("session_id"), F.trim("task_id"), F.trim("turn_id"), F.coalesce("thread_id", F.lit("unknown"))),
+        F.concat_ws("|", X.strip(F.col("session_id")), X.strip(F.col("task_id")), X.strip(F.col("turn_id")), F.coalesce("thread_id", F.lit("unknown"))),
     )
 
 
@@ -127,7 +127,7 @@ def task_signals(tasks: DataFrame, events: DataFrame, sessions: DataFrame) -> Da
 
 def _class_of(value: Column) -> Column:
     words = F.create_map(*[F.lit(x) for name, group in CLASS_WORDS.items() for word in group for x in (word, name)])
-    return F.try_element_at(words, F.lower(F.trim(value)))
+    return F.try_element_at(words, F.lower(X.strip(value)))
 
 
 def task_class(tasks: DataFrame) -> DataFrame:

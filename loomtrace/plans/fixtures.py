@@ -6,9 +6,12 @@ the shape of the log model. Only the JSON getter and the timestamp formatter dif
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.operators.normalize import normalize_session, normalize_stdout, parse_lines
 from loomtrace.plans.tables import shared
 
 SPARK = {
@@ -109,11 +112,11 @@ SELECT user_id, session_id, first_ts, last_ts,
   CASE WHEN user_id % 2 = 0 THEN 'main' END AS git_branch,
   CASE WHEN user_id % 3 = 0 THEN concat('git@host:r', CAST(user_id % 4 AS VARCHAR(20))) END AS git_origin_url,
   CASE user_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'cli'
-    WHEN 2 THEN concat('{{"subagent":{{"thread_spawn":{{"parent_thread_id":"s', CAST(user_id % 20 AS VARCHAR(20)), '","depth":', CAST(user_id % 3 AS VARCHAR(20)), '}}}}}}')
-    WHEN 3 THEN CASE WHEN user_id % 2 = 0 THEN '{{"subagent":' ELSE '{{"subagent":{{"thread_spawn":{{"parent_thread_id":" "}}}}}}' END
-    ELSE '{{"other":1}}' END AS source,
+    WHEN 2 THEN concat('{"subagent":{"thread_spawn":{"parent_thread_id":"s', CAST(user_id % 20 AS VARCHAR(20)), '","depth":', CAST(user_id % 3 AS VARCHAR(20)), '}}}')
+    WHEN 3 THEN CASE WHEN user_id % 2 = 0 THEN '{"subagent":' ELSE '{"subagent":{"thread_spawn":{"parent_thread_id":" "}}}' END
+    ELSE '{"other":1}' END AS source,
   CASE WHEN user_id % 3 = 1 THEN user_id * 100 END AS tokens_used,
-  CASE user_id % 4 WHEN 0 THEN '{{"type":"workspace-write"}}' WHEN 1 THEN 'danger-full-access' WHEN 2 THEN '{{"type":""}}' END AS sandbox_policy,
+  CASE user_id % 4 WHEN 0 THEN '{"type":"workspace-write"}' WHEN 1 THEN 'danger-full-access' WHEN 2 THEN '{"type":""}' END AS sandbox_policy,
   CASE WHEN user_id % 4 = 2 THEN concat('Title ', CAST(user_id AS VARCHAR(20))) WHEN user_id % 4 = 3 THEN '  ' END AS title,
   CASE WHEN user_id % 3 <> 2 THEN concat('please fix ', CAST(user_id % 9 AS VARCHAR(20))) END AS first_user_message,
   CASE WHEN user_id % 5 = 2 THEN concat('nick', CAST(user_id % 6 AS VARCHAR(20))) END AS agent_nickname,
@@ -126,11 +129,93 @@ SELECT user_id, session_id, first_ts, last_ts,
 FROM (SELECT user_id, session_id, min(ts) AS first_ts, max(ts) AS last_ts FROM base GROUP BY user_id, session_id) AS u
 """
 
-VIEWS = {"base": BASE, "typed": TYPED, "log_events": LOG_EVENTS, "fx_sessions": FX_SESSIONS}
+# Raw log lines as JSON text. `@name` stands for a column or an expression; `@b` for a backslash.
+TOKENS = {
+    "@ts": "ts", "@sid": "session_id", "@call": "concat('c', CAST(k % 4 AS VARCHAR(20)))", "@k": "CAST(k AS VARCHAR(20))",
+    "@v": "CAST(v AS VARCHAR(20))", "@m": "CAST(v % 4 AS VARCHAR(20))", "@t": "CAST(v % 3 AS VARCHAR(20))", "@seq": "CAST(seq AS VARCHAR(20))", "@b": "chr(92)",
+    "@turn": "concat('turn', CAST(k % 2 AS VARCHAR(20)))", "@word": "CASE v % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'completed' ELSE 'ok' END",
+    "@role": "CASE v % 4 WHEN 0 THEN 'User' WHEN 1 THEN 'assistant' ELSE ' ' END",
+}
+
+
+def _text(template: str) -> str:
+    """SQL that concatenates a template with its tokens."""
+    parts = re.split("(" + "|".join(sorted(TOKENS, key=len, reverse=True)) + ")", template)
+    pieces = [TOKENS.get(p) or "'" + p.replace("'", "''") + "'" for p in parts if p]
+    return f"concat({', '.join(pieces)})"
+
+
+def _record(kind: str, payload: str) -> str:
+    return _text('{"timestamp":"@ts","type":"' + kind + '","payload":' + payload + "}")
+
+
+RECORDS = [
+    _record("session_meta", '{"id":"@sid","cwd":"/w@k","agent_nickname":"n@m","source":{"subagent":{"thread_spawn":{"parent_thread_id":"p@t"}}}}'),
+    _record("session_meta", '{"id":"x@k","cwd":"/other"}'),
+    _record("response_item", '{"type":"function_call","name":"exec_command","call_id":"@call","arguments":"{@b"cmd@b":@b"cat skills/s@m/SKILL.md@b"}"}'),
+    _record("response_item", '{"type":"function_call","name":"spawn_agent","call_id":"@call","arguments":"{@b"message@b":@b"do it @k@b",@b"agent_type@b":@b"worker@b",@b"model@b":@b"m@t@b"}"}'),
+    _record("response_item", '{"type":"function_call","name":"list_mcp_resources","call_id":"@call","arguments":"{}"}'),
+    _record("response_item", '{"type":"function_call","name":"update_plan","call_id":"@call","arguments":"{@b"plan@b":[]}"}'),
+    _record("response_item", '{"type":"function_call_output","call_id":"@call","output":"Chunk ID: a@bnProcess exited with code @t@bnOriginal token count: 1,@k@bnOutput:"}'),
+    _record("response_item", '{"type":"function_call_output","call_id":"@call","output":"{@b"exit_code@b":@t,@b"agent_id@b":@b"a@k@b",@b"nickname@b":@b"nick@m@b"}"}'),
+    _record("response_item", '{"type":"custom_tool_call","name":"apply_patch","call_id":"@call","status":"completed","input":"*** Begin Patch@bn*** Update File: src/f@k.rs@bn*** Add File: src/g@m.rs@bn*** End Patch"}'),
+    _record("response_item", '{"type":"custom_tool_call_output","call_id":"@call","output":"Patch @word"}'),
+    _record("event_msg", '{"type":"patch_apply_end","call_id":"@call","success":true,"stdout":"done @k"}'),
+    _record("response_item", '{"type":"message","role":"@role","content":[{"type":"input_text","text":"hello @t"},{"type":"output_text","text":"world @bn"}]}'),
+    _record("event_msg", '{"type":"agent_message","message":"hello @t@bnworld"}'),
+    _record("event_msg", '{"type":"user_message","message":"hello @t@bnworld"}'),
+    _record("response_item", '{"type":"reasoning","summary":[{"text":"think @k"},{"text":""},{"text":"more"}]}'),
+    _record("compacted", '{"message":"short @k"}'),
+    _record("event_msg", '{"type":"context_compacted"}'),
+    _record("event_msg", '{"type":"token_count","info":{"total_token_usage":{"input_tokens":@v,"cached_input_tokens":@k,"output_tokens":"7","total_tokens":@v}}}'),
+    _record("event_msg", '{"type":"task_started","turn_id":"@turn","model_context_window":200000,"collaboration_mode_kind":"plan"}'),
+    _record("event_msg", '{"type":"task_complete","turn_id":"@turn","last_agent_message":"ok"}'),
+    _record("event_msg", '{"type":"turn_aborted","turn_id":"@turn","reason":"interrupted"}'),
+    _record("response_item", '{"type":"web_search_call","id":"w@k","status":"in_progress","action":{"type":"open_page","url":"u"}}'),
+    _record("event_msg", '{"type":"exec_command_end","call_id":"@call","turn_id":"@turn","exit_code":@t,"command":["bash","-lc","cat /a/skills/e@m/SKILL.md"],"cwd":"/w"}'),
+    _record("event_msg", '{"type":"collab_waiting_end","call_id":"@call","sender_thread_id":"s@t","agent_statuses":[{"thread_id":"r@t"},{"thread_id":"r@m"}],"statuses":{"z@t":{"completed":"x"}}}'),
+    _record("event_msg", '{"type":"collab_agent_spawn_end","call_id":"q@k","new_thread_id":"nt@k","new_agent_role":"reviewer","status":{"pending_init":null}}'),
+    _record("event_msg", '{"type":"item_completed","turn_id":"@turn","item":{"type":"Plan","id":"plan@k","text":"steps"}}'),
+    _record("turn_context", '{"turn_id":"@turn","mcp_servers":["a","b"],"context":{"skills":["x"],"start_context_size":@v}}'),
+    _record("mystery", '{"a":@k}'),
+    _text('{"timestamp":"@ts","type":"event_msg","payload":@k}'),
+    _text("not json @k {"),
+]
+FX_LINES = "SELECT session_id, seq, ts AS read_at, k, v, CASE CASE WHEN v % 3 = 0 THEN 11 + k % 3 WHEN v % 7 = 1 THEN 15 + k % 2 ELSE (k * 11 + v) % 30 END " + " ".join(
+    f"WHEN {i} THEN {sql}" for i, sql in enumerate(RECORDS)
+) + " END AS value FROM base"
+
+STDOUT = [
+    _text('{"type":"thread.started","thread_id":"th@t"}'),
+    _text('{"type":"turn.started"}'),
+    _text('{"type":"turn.completed","usage":{"input_tokens":@k}}'),
+    _text('{"type":"turn.failed","error":{"message":"status 503 Unavailable url: https://h@k.example/x cf-ray: ab@m"}}'),
+    _text('{"type":"error","message":"Reconnecting... @t/5 request ID abcdef@k0"}'),
+    _text('{"type":"item.completed","item":{"type":"agent_message","id":"i@k","text":"answer @k"}}'),
+    _text('{"type":"item.completed","item":{"type":"item.updated","item":{"type":"command_execution","id":"i@k","command":"cat skills/q@t/SKILL.md","exit_code":@t,"status":"completed"}}}'),
+    _text('{"type":"item.started","item":{"type":"command_execution","id":"i@k","command":"ls","status":"in_progress"}}'),
+    _text('{"type":"item.updated","item":{"type":"todo_list","id":"i@k","items":[{"text":"a","completed":true},{"text":"b"},{"text":"c","completed":false}]}}'),
+    _text('{"type":"item.started","item":{"type":"collab_tool_call","id":"i@k","tool":"spawn_agent","sender_thread_id":"th0","receiver_thread_ids":["r@t","r@m"]}}'),
+    _text('{"type":"item.completed","item":{"type":"file_change","id":"i@k","status":"completed","changes":[{"kind":"add","path":"a@t"},{"kind":"update"}]}}'),
+    _text('{"type":"item.completed","item":{"type":"mcp_tool_call","id":"i@k","server":"srv","tool":"find","status":"failed"}}'),
+    _text('{"type":"item.started","item":{"type":"tool_use","id":"i@k","name":"write_stdin"}}'),
+    _text('{"type":"item.completed","item":{"type":"tool_result","tool_use_id":"i@k","name":"grep"}}'),
+    _text('{"type":"item.completed","item":{"type":"web_search","id":"i@k","action":"open_page"}}'),
+    _text("plain text @k"),
+]
+FX_STDOUT = "SELECT session_id AS run_id, 'task1' AS task_id, seq, ts AS read_at, k, v, CASE (k * 5 + v) % 16 " + " ".join(
+    f"WHEN {i} THEN {sql}" for i, sql in enumerate(STDOUT)
+) + " END AS value FROM base"
+
+VIEWS = {
+    "base": BASE, "typed": TYPED, "log_events": LOG_EVENTS, "fx_sessions": FX_SESSIONS, "fx_lines": FX_LINES, "fx_stdout": FX_STDOUT,
+}
 
 
 def _fill(text: str, engine: dict[str, str]) -> str:
-    return text.format(**engine)
+    for name, expression in engine.items():
+        text = text.replace("{" + name + "}", expression)
+    return text
 
 
 def duck_views() -> dict[str, str]:
@@ -173,5 +258,28 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log_events(spark, sf_dir).repartition("seq")
 
 
+@shared
+def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed session-log lines, the bronze table."""
+    lines = view(spark, sf_dir, "fx_lines").withColumn("path", F.concat(F.lit("rollout-"), "session_id", F.lit(".jsonl")))
+    return parse_lines(lines.repartition("seq"))
+
+
+@shared
+def stdout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "fx_stdout").repartition("seq")
+
+
+@shared
+def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised session-log events."""
+    return normalize_session(bronze(spark, sf_dir))
+
+
+@shared
+def stdout_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize_stdout(stdout_lines(spark, sf_dir))
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "fx_sessions")

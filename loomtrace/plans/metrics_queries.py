@@ -476,13 +476,13 @@ def review_findings(spark, sf):
 
 cte("efficiency", """
 SELECT o.session_id, CASE WHEN o.outcome = 'completed' THEN CAST(l.total AS DOUBLE) END AS tokens_per_successful_session,
-  CASE WHEN l.total > 0 THEN round(f.review_findings * 1000.0 / l.total, 6) END AS review_findings_per_1k_tokens
+  CASE WHEN l.total > 0 THEN f.review_findings * 1000.0 / CAST(l.total AS DOUBLE) END AS review_findings_per_1k_tokens
 FROM outcomes o JOIN ledger l ON o.session_id = l.session_id JOIN fold f ON f.session_id = o.session_id""")
 
 
 @query("derived_efficiency", f"""
 SELECT session_id, {known('tokens_per_successful_session', 'tokens_per_successful_session')}, CAST(NULL AS DOUBLE) AS tokens_per_accepted_task,
-  'unknown' AS tokens_per_accepted_task_coverage, {partial('review_findings_per_1k_tokens', 'review_findings_per_1k_tokens')} FROM efficiency""")
+  'unknown' AS tokens_per_accepted_task_coverage, {partial('round(review_findings_per_1k_tokens, 6)', 'review_findings_per_1k_tokens')} FROM efficiency""")
 def derived_efficiency(spark, sf):
     rows = events(spark, sf)
     out = M.derived_efficiency(M.session_fold(rows), M.token_ledger(M.thread_fold(rows), fixtures.sessions(spark, sf)))

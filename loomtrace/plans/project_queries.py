@@ -248,7 +248,7 @@ SELECT p.*, f.lower_fence, f.upper_fence, coalesce(p.value < f.lower_fence OR p.
 FROM points p JOIN fences f ON f.project = p.project AND f.series = p.series""")
 
 
-@query("outlier_fences", 'SELECT project, series, available, round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence FROM fences')
+@query("outlier_fences", 'SELECT project, series, available, round(lower_fence, 6) + 0 AS lower_fence, round(upper_fence, 6) + 0 AS upper_fence FROM fences')
 def outlier_fences(spark, sf):
     return six(S.outlier_fences(points(spark, sf)), "lower_fence", "upper_fence")
 
@@ -345,7 +345,7 @@ def series_normalize(spark, sf):
 
 
 @query("chart_analysis", f"""
-SELECT f.project, f.series, f.available AS available_count, z.processed_count, g.n AS outlier_count, round(f.lower_fence, 4) AS lower_fence, round(f.upper_fence, 4) AS upper_fence,
+SELECT f.project, f.series, f.available AS available_count, z.processed_count, g.n AS outlier_count, round(f.lower_fence, 4) + 0 AS lower_fence, round(f.upper_fence, 4) + 0 AS upper_fence,
   z.window_size, round(s.lo, 5) AS scale_min, round(s.hi, 5) AS scale_max, round(m.med, 4) AS project_median, round({NORM.format(x=BASED.format(x='m.med'))}, 5) AS normalized_median
 FROM fences f JOIN sizes z ON z.project = f.project AND z.series = f.series JOIN scales s ON s.project = f.project
 JOIN bases b ON b.project = f.project AND b.series = f.series
@@ -397,7 +397,7 @@ FROM (SELECT m.project_group AS project, m.session_id, m.started_at, CAST(x.cove
 cte("an_jumps", """
 SELECT j.project, 'Baseline' AS class, concat('baseline:', j.session_id, ':', CAST(j.idx AS VARCHAR)) AS item_id, j.session_id, j.started_at, CASE WHEN j.jump >= 0.7 THEN 3 ELSE 2 END AS severity,
   j.jump, greatest(0, j.idx - 2) AS start_index, least(t.rows - 1, j.idx + 1) AS end_index
-FROM (SELECT *, abs(norm_trend - lag(norm_trend) OVER (PARTITION BY project ORDER BY idx)) AS jump FROM normed WHERE series = 'tokens') AS j
+FROM (SELECT *, abs(norm_moving_median - lag(norm_moving_median) OVER (PARTITION BY project ORDER BY idx)) AS jump FROM normed WHERE series = 'startContext') AS j
 JOIN totals t ON t.project = j.project WHERE j.jump >= 0.45""")
 
 
@@ -417,7 +417,7 @@ def anomalies_data(spark, sf):
 
 
 def jumps(spark, sf):
-    return S.anomalies_baseline(charted(spark, sf), totals(spark, sf))
+    return S.anomalies_baseline(charted(spark, sf), totals(spark, sf), "startContext", "norm_moving_median")
 
 
 @query("anomalies_baseline", 'SELECT project, class, item_id, session_id, started_at, severity, start_index, end_index FROM an_jumps')
