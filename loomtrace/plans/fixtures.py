@@ -207,8 +207,25 @@ FX_STDOUT = "SELECT session_id AS run_id, 'task1' AS task_id, seq, ts AS read_at
     f"WHEN {i} THEN {sql}" for i, sql in enumerate(STDOUT)
 ) + " END AS value FROM base"
 
+FX_FILES = """
+SELECT session_id, concat('sessions/rollout-2026-04-07T10-00-00-', session_id, '.jsonl') AS session_ref, updated_at AS mtime, user_id FROM fx_sessions
+UNION ALL SELECT session_id, concat('sessions/b/rollout-2026-04-08T10-00-00-', session_id, '.jsonl'), updated_at + user_id % 3 - 1, user_id FROM fx_sessions WHERE source = 'cli'
+"""
+
+FX_INDEX = """
+SELECT seq, CASE WHEN v % 31 = 0 THEN concat('bad line ', CAST(k AS VARCHAR(20))) ELSE concat('{"', CASE WHEN v % 2 = 0 THEN 'id' ELSE 'session_id' END, '":"', session_id,
+  '","thread_name":"', CASE WHEN k % 5 = 0 THEN ' ' ELSE concat('name ', CAST(k AS VARCHAR(20))) END, '","updated_at":"', substr(ts, 1, 10), '"}') END AS value FROM base WHERE et = 'signup'
+"""
+
+FX_EDGES = """
+SELECT a.session_id AS parent, b.session_id AS child FROM (SELECT session_id, user_id * 2 AS kin FROM fx_sessions WHERE user_id > 0
+  UNION ALL SELECT session_id, user_id * 2 + 1 FROM fx_sessions WHERE user_id > 0
+  UNION ALL SELECT session_id, CAST(user_id / 16 AS BIGINT) FROM fx_sessions WHERE user_id % 16 = 0 AND user_id > 0) AS a JOIN fx_sessions b ON b.user_id = a.kin
+"""
+
 VIEWS = {
     "base": BASE, "typed": TYPED, "log_events": LOG_EVENTS, "fx_sessions": FX_SESSIONS, "fx_lines": FX_LINES, "fx_stdout": FX_STDOUT,
+    "fx_files": FX_FILES, "fx_index": FX_INDEX, "fx_edges": FX_EDGES,
 }
 
 
