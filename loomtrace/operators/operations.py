@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.functions import exprs as X
+from loomtrace.functions import json as J
 from loomtrace.operators.columns import ensure_columns
 from loomtrace.operators.ordered import carry, lookup, running_total
 
@@ -95,6 +96,26 @@ def scope_thread(events: DataFrame) -> DataFrame:
     )
 
 
+def operation_identity(payload: Column) -> list[Column]:
+    """Operation id and scope thread of an open payload.
+
+    The first key that is present decides, even when it holds null or no text.
+    """
+
+    def first_present(*keys: str) -> Column:
+        found = None
+        for key in keys:
+            value = J.node(payload, f"$.{key}")
+            test, text = value.isNotNull(), J.clean(payload, f"$.{key}")
+            found = F.when(test, text) if found is None else found.when(test, text)
+        return found
+
+    return [
+        first_present("tool_use_id", "item_id", "call_id").alias("operation_id"),
+        first_present("thread_id", "sender_thread_id", "parent_thread_id").alias("scope_thread_id"),
+    ]
+
+
 def lifecycle_events(events: DataFrame) -> DataFrame:
     """Events that belong to an operation, with its key."""
     work = scope_thread(classify_events(events))

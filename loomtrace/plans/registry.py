@@ -6,7 +6,7 @@ import importlib
 
 from loomtrace.plans.oracle import build
 
-MODULES = ["metrics_queries", "task_queries", "project_queries", "log_queries", "catalog_queries", "thread_queries"]
+MODULES = ["metrics_queries", "task_queries", "project_queries", "log_queries", "catalog_queries", "thread_queries", "storage_queries"]
 
 
 def _modules():

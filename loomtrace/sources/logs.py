@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
 from loomtrace.operators.catalog import ROLLOUT_NAME
-from loomtrace.operators.normalize import UNPARSED
+from loomtrace.operators.normalize import UNPARSED, normalize_session, normalize_stdout, parse_lines
 from loomtrace.operators.ordered import running_total
 from loomtrace.session import cut_lineage
 
@@ -68,9 +67,8 @@ def session_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def discover_session_files(spark: SparkSession, path: str) -> DataFrame:
+def files_of(lines: DataFrame) -> DataFrame:
     """One row per log file: the id its first line states, else the one in its name, else none."""
-    lines = read_lines(spark, path)
     first = lines.groupBy("path").agg(F.min_by("value", "seq").alias("first_line"), F.max("modified").alias("modified"))
     tree = F.try_parse_json(F.col("first_line"))
     stated = F.when(J.text(tree, "$.type") == "session_meta", J.clean(tree, "$.payload.id"))
@@ -82,6 +80,10 @@ def discover_session_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def discover_session_files(spark: SparkSession, path: str) -> DataFrame:
+    return files_of(read_lines(spark, path))
+
+
 def startup_metadata(bronze: DataFrame) -> DataFrame:
     """First session_meta of each session, and whether it leads the file and names its session."""
     is_meta = (F.col("raw_type") == "session_meta") & F.col("p").isNotNull()
@@ -161,19 +163,22 @@ def stderr_events(lines: DataFrame, stdout_lines: DataFrame) -> DataFrame:
     )
 
 
+def replay(stdout_events: DataFrame, errors: DataFrame, agent_events: DataFrame, owners: DataFrame) -> DataFrame:
+    """All events of runs; sub-agent events take the run and task of their owner."""
+    children = agent_events.join(owners, "session_id")
+    children = children.withColumns({"run_id": F.col("owner_run"), "task_id": F.col("owner_task")}).drop("owner_run", "owner_task")
+    return stdout_events.unionByName(errors, allowMissingColumns=True).unionByName(children, allowMissingColumns=True)
+
+
 def replay_run_dir(spark: SparkSession, path: str) -> DataFrame:
     """All events of the run folders below a path: stdout, sub-agent logs and stderr."""
-    from loomtrace.operators.normalize import normalize_session, normalize_stdout, parse_lines
-
     stdout = cut_lineage(run_lines(spark, path, "stdout.jsonl"))
-    events = normalize_stdout(stdout)
     errors = stderr_events(run_lines(spark, path, "stderr.log"), stdout)
     agents = run_lines(spark, path, "*.jsonl").where(F.col("path").contains("/subagents/"))
     agents = agents.withColumn("session_id", F.regexp_replace(file_name(F.col("path")), r"\.jsonl$", ""))
     owners = agents.select("session_id", F.col("run_id").alias("owner_run"), F.col("task_id").alias("owner_task")).distinct()
-    children = normalize_session(cut_lineage(parse_lines(agents))).join(owners, "session_id")
-    children = children.withColumns({"run_id": F.col("owner_run"), "task_id": F.col("owner_task")}).drop("owner_run", "owner_task")
-    return events.unionByName(errors, allowMissingColumns=True).unionByName(children, allowMissingColumns=True)
+    children = normalize_session(cut_lineage(parse_lines(agents)))
+    return replay(normalize_stdout(stdout), errors, children, owners)
 
 
 def index_rows(lines: DataFrame) -> DataFrame:
