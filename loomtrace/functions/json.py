@@ -51,9 +51,14 @@ def texts(tree: Column, path: str) -> Column:
     return F.filter(F.transform(items, lambda x: text(x, "$")), lambda x: x.isNotNull())
 
 
-def embedded(value: Column) -> Column:
-    """JSON held in a string, as a tree; null when the text is no JSON."""
-    return F.try_parse_json(value)
+def parse(value: Column) -> Column:
+    """Tree of a JSON text, null unless the text is one JSON value and nothing more.
+
+    The parser stops after the first value, so the text is read as the first of two list items.
+    """
+    pair = F.try_parse_json(F.concat(F.lit("["), value, F.lit(",0]")))
+    alone = node(pair, "$[1]").isNotNull() & node(pair, "$[2]").isNull()
+    return F.when(alone, node(pair, "$[0]"))
 
 
 def as_text(tree: Column) -> Column:

@@ -29,7 +29,7 @@ CATALOG_COLUMNS = {
 
 def sandbox_kind(policy: Column) -> Column:
     """The `type` of a JSON policy, else the policy text itself."""
-    return F.coalesce(X.trim_null(F.get_json_object(policy, "$.type")), X.trim_null(policy))
+    return F.coalesce(J.clean(J.parse(X.trim_null(policy)), "$.type"), X.trim_null(policy))
 
 
 def thread_name() -> Column:
@@ -81,7 +81,7 @@ def project_identity() -> list[Column]:
 def session_scope(source: Column) -> Column:
     """main, subsession or unknown, read from the catalog's source text."""
     text = X.trim_null(source)
-    tree = F.try_parse_json(text)
+    tree = J.parse(text)
     spawn = F.try_variant_get(tree, "$.subagent.thread_spawn", "variant")
     parent = F.try_variant_get(tree, "$.subagent.thread_spawn.parent_thread_id", "variant")
     named = (F.schema_of_variant(parent) == "STRING") & X.trim_null(F.try_variant_get(parent, "$", "string")).isNotNull()
@@ -235,7 +235,7 @@ def names_thread(name: Column, thread: Column) -> Column:
 def source_fields(source: Column) -> list[Column]:
     """Label, parent thread and depth the source text gives away."""
     text = X.trim_null(source)
-    tree = F.when(text.startswith("{"), F.try_parse_json(text))
+    tree = F.when(text.startswith("{"), J.parse(text))
     spawn = J.node(tree, "$.subagent.thread_spawn")
     depth = J.node(tree, "$.subagent.thread_spawn.depth")
     label = (

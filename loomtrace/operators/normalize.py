@@ -46,7 +46,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     `lines` has session_id, path, seq, value and read_at (the file's time, for lines without one).
     """
-    tree = F.try_parse_json(F.col("value"))
+    tree = J.parse(F.col("value"))
     rows = lines.withColumn("record", tree).withColumn("valid", J.is_object(F.col("record")))
     payload = F.when(F.col("valid"), J.node(F.col("record"), "$.payload"))
     rows = rows.withColumn("p", F.when(J.is_object(payload), payload))
@@ -337,10 +337,10 @@ def normalize_session(bronze: DataFrame, task_id: str | None = None, resource_se
             "is_output": _is("response_item", "function_call_output"),
             "arguments": F.when(
                 _is("response_item", "function_call"),
-                F.coalesce(J.embedded(J.text(F.col("p"), "$.arguments")), J.node(F.col("p"), "$.arguments")),
+                F.coalesce(J.parse(J.text(F.col("p"), "$.arguments")), J.node(F.col("p"), "$.arguments")),
             ),
             "output": F.when(
-                _is("response_item", "function_call_output"), F.coalesce(J.embedded(J.text(F.col("p"), "$.output")), J.node(F.col("p"), "$.output"))
+                _is("response_item", "function_call_output"), F.coalesce(J.parse(J.text(F.col("p"), "$.output")), J.node(F.col("p"), "$.output"))
             ),
         }
     )
@@ -427,7 +427,7 @@ def normalize_stdout(bronze_lines: DataFrame) -> DataFrame:
 
     Nested `item.*` records are unwrapped; the thread is the last one started.
     """
-    tree = F.try_parse_json(F.col("value"))
+    tree = J.parse(F.col("value"))
     rows = bronze_lines.withColumn("record", tree).withColumn("valid", J.is_object(F.col("record")))
     rows = rows.withColumn(
         "raw_type", F.when(F.col("valid"), F.coalesce(J.text(F.col("record"), "$.type"), F.lit("unknown"))).otherwise("invalid_json")

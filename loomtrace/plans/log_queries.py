@@ -189,7 +189,7 @@ SELECT session_id, seq, json_valid({js('$.output')}) AS is_json, CASE WHEN json_
 def parse_embedded_json(spark, sf):
     rows = silver(spark, sf).where((F.col("raw_type") == "response_item") & F.try_variant_get("payload", "$.type", "string").isin("function_call_output"))
     raw = J.text(F.col("payload"), "$.output")
-    tree = J.embedded(raw)
+    tree = J.parse(raw)
     return rows.select("session_id", "seq", tree.isNotNull().alias("is_json"), J.text(tree, "$.agent_id").alias("agent_id"), F.when(tree.isNull(), raw).alias("plain"))
 
 

@@ -25,5 +25,7 @@ def shared(fn):
     return get
 
 
-def forget() -> None:
-    _made.clear()
+def forget(keep: tuple[str, ...] = ()) -> None:
+    """Drop the shared tables but those of the named functions."""
+    for key in [k for k in _made if k[-1] not in keep]:
+        del _made[key]

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A repeated key in a log line keeps its last value instead of spoiling the line.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -70,7 +70,7 @@ def session_lines(spark: SparkSession, path: str) -> DataFrame:
 def files_of(lines: DataFrame) -> DataFrame:
     """One row per log file: the id its first line states, else the one in its name, else none."""
     first = lines.groupBy("path").agg(F.min_by("value", "seq").alias("first_line"), F.max("modified").alias("modified"))
-    tree = F.try_parse_json(F.col("first_line"))
+    tree = J.parse(F.col("first_line"))
     stated = F.when(J.text(tree, "$.type") == "session_meta", J.clean(tree, "$.payload.id"))
     named = F.nullif(F.regexp_extract(file_name(F.col("path")), ROLLOUT_NAME, 1), F.lit(""))
     session_id = F.coalesce(stated, named)
@@ -105,7 +105,7 @@ def _canonical(tree: Column) -> list[Column]:
 
 def canonical_rows(lines: DataFrame) -> DataFrame:
     """Canonical events from JSON lines; blank, invalid and non-object lines are dropped."""
-    tree = F.try_parse_json(F.trim("value"))
+    tree = J.parse(F.trim("value"))
     return lines.withColumn("tree", tree).where(J.is_object(F.col("tree"))).select(*_canonical(F.col("tree")))
 
 
@@ -119,9 +119,9 @@ def scan_event_array(spark: SparkSession, path: str) -> DataFrame:
     An array file is one JSON value, so it is read whole; line files keep being split.
     """
     # Fixed value: the lead that tells an array from lines.
-    whole = spark.read.option("wholetext", "true").text(path).where(F.col("value").rlike(r"^\s*\["))
+    whole = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"^\s*\["))
     text = F.regexp_replace("value", r",\s*\]\s*$", "]")
-    items = whole.select(F.explode(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")).alias("tree"))
+    items = whole.select(F.explode(F.try_variant_get(J.parse(text), "$", "array<variant>")).alias("tree"))
     arrays = items.where(J.is_object(F.col("tree"))).select(*_canonical(F.col("tree")))
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*\["))
     return arrays.unionByName(canonical_rows(lines))
@@ -136,8 +136,8 @@ def _run_ids(path: Column) -> list[Column]:
 
 def task_ids(spark: SparkSession, path: str) -> DataFrame:
     """Task ids of the task.json files below a folder."""
-    tasks = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "task.json").option("wholetext", "true").text(path)
-    tree = F.try_parse_json(F.col("value"))
+    tasks = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "task.json").text(path, wholetext=True)
+    tree = J.parse(F.col("value"))
     return tasks.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/task\.json$", 1).alias("task_folder"),
         F.coalesce(J.clean(tree, "$.task_id"), J.clean(tree, "$.id")).alias("task_id"),
@@ -186,7 +186,7 @@ def index_rows(lines: DataFrame) -> DataFrame:
 
     `lines` has seq and value; a bad line gives a row with a diagnostic and no session.
     """
-    tree = F.try_parse_json(F.col("value"))
+    tree = J.parse(F.col("value"))
     rows = lines.select(
         F.coalesce(J.clean(tree, "$.id"), J.clean(tree, "$.session_id")).alias("session_id"),
         J.clean(tree, "$.thread_name").alias("thread_name"), J.text(tree, "$.updated_at").alias("updated_at"), "seq", "value",
@@ -197,7 +197,7 @@ def index_rows(lines: DataFrame) -> DataFrame:
 
 
 def index_diagnostics(lines: DataFrame) -> DataFrame:
-    tree = F.try_parse_json(F.col("value"))
+    tree = J.parse(F.col("value"))
     found = F.coalesce(J.clean(tree, "$.id"), J.clean(tree, "$.session_id"))
     return lines.where(found.isNull()).select("seq", F.lit("invalid index line").alias("diagnostic"))
 

@@ -34,21 +34,23 @@ def event_key(ts: Column, raw_type: Column, value: Column) -> Column:
 
 
 def tail_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Stream of lines from landed chunk files `rollout-…-<id>.jsonl.<n>`, with chunk and place."""
-    text = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).text(path)
+    """Stream of lines from landed chunk files `rollout-…-<id>.jsonl.<n>`, with chunk and place.
+
+    A chunk is what one poll found appended, so it is read as one value and split in order.
+    """
+    reader = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger)
     name = file_name(F.col("_metadata.file_path"))
-    return text.where(F.trim("value") != "").select(
+    chunks = reader.text(path, wholetext=True).select(
         rollout_id(F.regexp_extract(name, CHUNK, 1)).alias("session_id"),
         F.coalesce(F.regexp_extract(name, CHUNK, 2).try_cast("bigint"), F.lit(0)).alias("chunk"),
-        F.col("_metadata.file_modification_time").alias("landed"),
-        F.monotonically_increasing_id().alias("place"),
-        F.regexp_replace("value", r"\r$", "").alias("value"),
+        F.posexplode(F.split("value", "\r?\n")).alias("place", "value"),
     )
+    return chunks.where(F.trim("value") != "").withColumn("place", F.col("place").cast("bigint"))
 
 
 def with_tail_columns(lines: DataFrame) -> DataFrame:
     """Columns the processor reads, parsed on the JVM: key, call id and name, own parent."""
-    tree = F.try_parse_json(F.col("value"))
+    tree = J.parse(F.col("value"))
     record = F.when(J.is_object(tree), tree)
     raw_type, p_type = J.text(record, "$.type"), J.text(record, "$.payload.type")
     is_call = (raw_type == "response_item") & p_type.isin("function_call", "custom_tool_call")
