@@ -318,7 +318,7 @@ def linked_events(linked: DataFrame, events: DataFrame) -> DataFrame:
     sized = cut_lineage(placed.join(sizes, "session_id"))
     shifted = running_total(sized, ["root"], "place", {"upto": F.col("n")})
     offsets = shifted.select("root", "session_id", (F.col("upto") - F.col("n")).alias("offset"))
-    # A session may hang under several roots, so this is a plain join on the session.
-    return inside.join(offsets, "session_id").select(
+    # A session may hang under several roots, so it can meet several offsets.
+    return lookup(inside, offsets, ["session_id"], "seq", how="inner").select(
         "root", "session_id", F.col("seq").alias("session_seq"), (F.col("offset") + F.col("idx") + 1).alias("seq")
     )

@@ -197,7 +197,7 @@ def annotate_events(events: DataFrame, operations: DataFrame) -> DataFrame:
     facts = operations.select(
         *KEY, "revision", "started_seq", "terminal_seq", F.col("last_status").alias("operation_status"), F.col("terminal").alias("operation_ended")
     )
-    joined = lookup(rows.withColumn("run_id", X.strip(F.col("run_id"))), facts, KEY, "seq", null_safe=True)
+    joined = lookup(rows.withColumn("run_id", X.strip(F.col("run_id"))), facts, KEY, "seq", null_safe=True, weight="revision")
     root = F.concat_ws(":", F.col("run_id"), F.col("started_seq").cast("string"))
     return joined.withColumn("root_event_id", F.when(F.col("started_seq").isNotNull(), root)).withColumn(
         "is_root", F.coalesce(F.col("seq") == F.col("started_seq"), F.lit(False))

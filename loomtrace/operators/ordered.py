@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from loomtrace.session import cut_lineage
 
 SPAN = 1_000_000
 SALTS = 32
+HOT_ROWS = 5_000_000
 
 
 def _span(order: str, size: int, backwards: bool) -> Column:
@@ -176,24 +177,33 @@ def lookup(
     how: str = "left",
     salts: int = SALTS,
     null_safe: bool = False,
+    weight: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join rows to one-row-per-key facts, spreading a hot key over `salts` tasks.
+    """Shuffle join of rows to facts by key that spreads every hot key over `salts` tasks.
 
-    `spread` is a column of `big` that varies within a key; the small side is repeated per salt,
-    so its size grows by that factor and it is never assumed to fit in memory.
+    Keys with at least `hot_rows` rows are counted (or read off `weight`, a column of `small`),
+    and only their facts are repeated per salt. At most rows / hot_rows keys can be hot, which
+    bounds the broadcast list of them. `spread` is a column of `big` that varies within a key.
     """
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
-    spread_out = small.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        *[F.col(c) for c in small.columns if c not in keys],
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__k_salt"),
+    counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")) if weight is None else small.withColumn("__n", F.col(weight))
+    hot = counted.where(F.col("__n") >= hot_rows).select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys])
+        return df.join(F.broadcast(hot), same, "left").drop(*[f"__h_{k}" for k in keys])
+
+    salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
+    left = marked(big).withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0)).drop("__hot")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = marked(small).select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], *[F.col(c) for c in small.columns if c not in keys], F.explode(every).alias("__k_salt")
     )
     match = F.col("__salt") == F.col("__k_salt")
     for k in keys:
         pair = F.col(f"__k_{k}")
         match = match & (F.col(k).eqNullSafe(pair) if null_safe else F.col(k) == pair)
-    drop = ["__salt", "__k_salt", *[f"__k_{k}" for k in keys]]
-    return salted.join(spread_out, match, how).drop(*drop)
+    return left.join(right, match, how).drop("__salt", "__k_salt", *[f"__k_{k}" for k in keys])
 
 
 def row_index(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "idx") -> DataFrame:
@@ -229,7 +239,7 @@ def exact_percentiles(
     brackets = rows.groupBy(*keys).agg(
         F.percentile_approx("__x", points, accuracy).alias("__ends"), F.count(F.lit(1)).alias("__size")
     )
-    folded = lookup(counted, brackets, keys, "__x", how="inner", null_safe=True)
+    folded = lookup(counted, brackets, keys, "__x", how="inner", null_safe=True, weight="__size")
     low = F.element_at("__ends", F.col("__which") * 2 + 1)
     high = F.element_at("__ends", F.col("__which") * 2 + 2)
     folded = folded.withColumn("__which", F.explode(F.array(*[F.lit(i) for i in range(len(names))])))

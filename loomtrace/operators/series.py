@@ -88,7 +88,7 @@ def outlier_fences(points: DataFrame) -> DataFrame:
 def outlier_flags(points: DataFrame, fences: DataFrame) -> DataFrame:
     """Points with their series' fences and whether they lie outside."""
     outside = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
-    return lookup(points, fences, KEYS, "idx").withColumn("is_outlier", F.coalesce(outside, F.lit(False)))
+    return lookup(points, fences, KEYS, "idx", weight="available").withColumn("is_outlier", F.coalesce(outside, F.lit(False)))
 
 
 def outlier_mode(flagged: DataFrame, mode: str) -> DataFrame:
@@ -130,7 +130,7 @@ def moving_values(processed: DataFrame, windows: DataFrame, chunk: int = CHUNK)
     """
     home = F.floor(F.col("idx") / chunk)
     reach = F.array_distinct(F.array(F.floor((F.col("idx") - HALO) / chunk), home, F.floor((F.col("idx") + HALO) / chunk)))
-    rows = lookup(processed, windows.select(*KEYS, "window_size"), KEYS, "idx").withColumn("chunk", F.explode(reach))
+    rows = lookup(processed, windows, KEYS, "idx", weight="processed_count").withColumn("chunk", F.explode(reach))
     frame = Window.partitionBy(*KEYS, "chunk").orderBy("idx").rowsBetween(-HALO, HALO)
     near = F.collect_list(F.when(F.col("processed").isNotNull(), F.struct("idx", "processed"))).over(frame)
     rows = rows.withColumn("near", near).where(F.col("chunk") == home)

@@ -10,7 +10,7 @@ from loomtrace.functions import tools as T
 from loomtrace.operators.columns import ensure_columns
 from loomtrace.operators.normalize import ROOT_PARENT
 from loomtrace.operators.operations import FAILED_STATUSES, KIND_ORDER
-from loomtrace.operators.ordered import asof_values, carry, row_index, spread_levels
+from loomtrace.operators.ordered import asof_values, carry, lookup, row_index, spread_levels
 from loomtrace.session import cut_lineage
 
 RESULTS = ["tool.result", "shell.result"]
@@ -286,7 +286,7 @@ def agent_graph(events: DataFrame, threads: DataFrame) -> DataFrame:
     receivers = F.when(spawn, F.slice("receiver_thread_ids", 1, 1)).otherwise(F.array_distinct("receiver_thread_ids"))
     named = rows.withColumn("thread_id", F.explode_outer(receivers)).drop("receiver_thread_ids")
     known = threads.where(F.col("depth") > 0).select("session_id", "thread_id", F.lit(True).alias("known"))
-    marked = named.join(known, ["session_id", "thread_id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    marked = lookup(named, known, ["session_id", "thread_id"], "seq").withColumn("known", F.coalesce("known", F.lit(False)))
     bound = marked.where("known").select("session_id", "seq", "ts", "event_type", "thread_id")
     loose = marked.groupBy("session_id", "seq").agg(F.first("ts").alias("ts"), F.first("event_type").alias("event_type"), F.bool_or("known").alias("any_known"))
     loose = loose.where(~F.col("any_known")).select("session_id", "seq", "ts", "event_type", F.lit(None).cast("string").alias("thread_id"))

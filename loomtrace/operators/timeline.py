@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
 from loomtrace.operators.columns import ensure_columns
-from loomtrace.operators.ordered import asof_values, carry
+from loomtrace.operators.ordered import asof_values, carry, lookup
 from loomtrace.operators.threads import event_category, is_other_message
 from loomtrace.session import cut_lineage
 
@@ -174,7 +174,7 @@ def drop_redundant_results(annotated: DataFrame, pairs: DataFrame) -> DataFrame:
     rich = annotated.where(F.coalesce(F.col("duplicate_of").startswith("response_item."), F.lit(False))).select("session_id", F.col("seq").alias("result_seq"))
     richer = chosen.join(rich, ["session_id", "result_seq"], "left_semi")
     plain = results.where(F.col("duplicate_of").isNull() & F.col("event_phase").eqNullSafe("completed") | (_type() == "shell.result") & F.col("duplicate_of").isNull())
-    hidden = plain.join(richer, ["session_id", "kind", "root_event_id"]).where(F.col("seq") != F.col("result_seq")).select("session_id", "seq")
+    hidden = lookup(plain, richer, ["session_id", "kind", "root_event_id"], "seq", how="inner").where(F.col("seq") != F.col("result_seq")).select("session_id", "seq")
     kept = annotated.where(_type() != "patch.apply.duplicate")
     return kept.join(hidden, ["session_id", "seq"], "left_anti")
 
@@ -198,9 +198,7 @@ def task_segments(events: DataFrame) -> DataFrame:
     found = F.when(F.col("turn_id").isNull(), F.col("any.value")).otherwise(F.least("own.value", "untold.value"))
     found = F.when(F.col("next_seq").isNull() | (found < F.col("next_seq")), found)
     last = rows.groupBy(*keys).agg(F.max("seq").alias("last_seq"))
-    joined = by_any.withColumn("found", found).join(last, (by_any["session_id"] == last["session_id"]) & by_any["thread"].eqNullSafe(last["thread"])).select(
-        by_any["session_id"], by_any["thread"], "turn_id", "start_seq", "found", "next_seq", "last_seq"
-    )
+    joined = lookup(by_any.withColumn("found", found), last, keys, "start_seq", null_safe=True)
     return joined.select(
         *keys, "turn_id", "start_seq", F.coalesce("found", F.col("next_seq") - 1, "last_seq").alias("end_seq"), F.col("found").isNotNull().alias("is_closed")
     )

@@ -9,7 +9,7 @@ from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
 from loomtrace.operators.catalog import ROLLOUT_NAME
 from loomtrace.operators.normalize import UNPARSED, normalize_session, normalize_stdout, parse_lines
-from loomtrace.operators.ordered import running_total
+from loomtrace.operators.ordered import lookup, running_total
 from loomtrace.session import cut_lineage
 
 # The canonical event row, with what a missing or wrong field becomes.
@@ -165,7 +165,7 @@ def stderr_events(lines: DataFrame, stdout_lines: DataFrame) -> DataFrame:
 
 def replay(stdout_events: DataFrame, errors: DataFrame, agent_events: DataFrame, owners: DataFrame) -> DataFrame:
     """All events of runs; sub-agent events take the run and task of their owner."""
-    children = agent_events.join(owners, "session_id")
+    children = lookup(agent_events, owners, ["session_id"], "seq", how="inner")
     children = children.withColumns({"run_id": F.col("owner_run"), "task_id": F.col("owner_task")}).drop("owner_run", "owner_task")
     return stdout_events.unionByName(errors, allowMissingColumns=True).unionByName(children, allowMissingColumns=True)
 

@@ -65,10 +65,11 @@ def test_asof_finds_the_nearest_row(spark, inclusive, backwards):
         assert found[i] == (best[2] if best else None)
 
 
-def test_lookup_keeps_hot_and_unmatched_rows(spark):
+@pytest.mark.parametrize("hot_rows", [20, 500, 10_000])
+def test_lookup_keeps_hot_and_unmatched_rows(spark, hot_rows):
     big = spark.range(1000).select(F.when(F.col("id") < 900, "hot").when(F.col("id") < 950, "b").alias("k"), "id")
     small = spark.createDataFrame([("hot", 1), (None, 2)], "k string, x int")
-    got = R.lookup(big, small, ["k"], "id", null_safe=True)
+    got = R.lookup(big, small, ["k"], "id", null_safe=True, hot_rows=hot_rows)
     assert {(r.k, r.x, r["count"]) for r in got.groupBy("k", "x").count().collect()} == {("hot", 1, 900), ("b", None, 50), (None, 2, 50)}
 
 
