@@ -14,7 +14,7 @@ SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
 
 def main(names):
     spark = build_session(
-        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"}
+        master="local[8]", **{"spark.sql.shuffle.partitions": os.environ.get("SHUFFLE", "8"), "spark.ui.enabled": "false", "spark.driver.memory": "12g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     duck = duckdb.connect()

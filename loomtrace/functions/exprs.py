@@ -32,6 +32,11 @@ def parse_rfc3339(value: Column) -> Column:
     return F.when(value.rlike(RFC3339), F.try_to_timestamp(value))
 
 
+def rfc3339(moment: Column) -> Column:
+    """UTC text of a timestamp, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def millis_between(start: Column, end: Column) -> Column:
     """Whole milliseconds from start to end; null when either is missing or time runs backwards."""
     gap = F.unix_micros(end) - F.unix_micros(start)

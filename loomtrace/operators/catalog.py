@@ -174,7 +174,7 @@ def session_list(files: DataFrame, index: DataFrame) -> DataFrame:
     rows = newest_files(files).join(overlay, "session_id", "left")
     return rows.select(
         "session_id", "session_ref", "thread_name", F.lit(None).cast("string").alias("cwd"), "modified",
-        F.coalesce("index_time", F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("updated_at"),
+        F.coalesce("index_time", X.rfc3339(F.col("modified"))).alias("updated_at"),
     )
 
 

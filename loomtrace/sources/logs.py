@@ -53,17 +53,13 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> Data
     return number_lines(text)
 
 
-def rfc3339(moment: Column) -> Column:
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-
-
 def session_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of session logs with the session id of their file; lines without a time take the file's."""
     lines = read_lines(spark, path)
     named = F.nullif(F.regexp_extract(file_name(F.col("path")), ROLLOUT_NAME, 1), F.lit(""))
     return lines.select(
         F.coalesce(named, F.regexp_replace(file_name(F.col("path")), r"\.jsonl$", "")).alias("session_id"),
-        "path", "seq", "value", rfc3339(F.col("modified")).alias("read_at"),
+        "path", "seq", "value", X.rfc3339(F.col("modified")).alias("read_at"),
     )
 
 
@@ -148,7 +144,7 @@ def run_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Lines of one kind of run artefact with their run and task ids."""
     lines = read_lines(spark, path, pattern).where(F.col("path").rlike(RUN_PATH))
     lines = lines.select("*", *_run_ids(F.col("path"))).join(task_ids(spark, path), "task_folder", "left")
-    return lines.withColumn("task_id", F.coalesce("task_id", "task_folder")).withColumn("read_at", rfc3339(F.col("modified")))
+    return lines.withColumn("task_id", F.coalesce("task_id", "task_folder")).withColumn("read_at", X.rfc3339(F.col("modified")))
 
 
 def stderr_events(lines: DataFrame, stdout_lines: DataFrame) -> DataFrame:
