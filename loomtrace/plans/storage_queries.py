@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from loomtrace.functions import json as J
 from loomtrace.operators import catalog as K
 from loomtrace.operators import operations as O
 from loomtrace.operators import session_metrics as M
@@ -250,7 +251,7 @@ def stream_operations(spark, sf):
 SELECT session_id, count(DISTINCT value) AS kept FROM fx_lines GROUP BY session_id""")
 def stream_dedup(spark, sf):
     lines = fixtures.view(spark, sf, "fx_lines").select("session_id", "seq", "value", "read_at")
-    tree = F.try_parse_json("value")
+    tree = J.parse(F.col("value"))
     rows = lines.select("session_id", "seq", "value", F.try_to_timestamp(F.lit("2024-01-01T00:00:00Z")).alias("event_time"), F.lit("t").alias("ts"), F.try_variant_get(tree, "$.type", "string").alias("raw_type"))
     twice = rows.unionByName(rows)
     path, out = land(spark, twice, "seq"), shared_folder(spark, "unique")
@@ -259,20 +260,25 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(out).groupBy("session_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("tail_session", f"""
-SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS seq, value, call_id, CASE WHEN call_id <> '' THEN call_name END AS call_name, parent_thread_id, false AS is_reset FROM named""")
-def tail_session(spark, sf):
+def landed_lines(spark, sf):
+    """The raw lines as a stream of chunks of one line each."""
     lines = fixtures.view(spark, sf, "fx_lines").select("session_id", F.col("seq").alias("chunk"), F.lit(0).cast("bigint").alias("place"), "value")
-    path, out = land(spark, lines, "chunk"), shared_folder(spark, "tail")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    run_to_end(T.tail_session(stream), out, "append")
-    return spark.read.parquet(out).drop("batch")
+    return spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 4).parquet(land(spark, lines, "chunk"))
+
+
+@query("tail_session", """
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS seq, value, parent_thread_id, false AS is_reset FROM named""")
+def tail_session(spark, sf):
+    out = shared_folder(spark, "tail")
+    run_to_end(T.tail_session(landed_lines(spark, sf)), out, "append")
+    return spark.read.parquet(out).select("session_id", "seq", "value", "parent_thread_id", "is_reset")
 
 
-@query("stream_call_names", "SELECT session_id, call_id, call_name, count(*) AS n FROM named WHERE call_id <> '' GROUP BY session_id, call_id, call_name")
+@query("stream_call_names", "SELECT session_id, call_id, seq AS chunk, call_name FROM named WHERE call_id <> ''")
 def stream_call_names(spark, sf):
-    rows = tail_session(spark, sf).where("call_id <> ''")
-    return rows.groupBy("session_id", "call_id", "call_name").agg(F.count(F.lit(1)).alias("n"))
+    out = shared_folder(spark, "names")
+    run_to_end(T.stream_call_names(landed_lines(spark, sf)), out, "append")
+    return spark.read.parquet(out).select("session_id", "call_id", "chunk", "call_name")
 
 
 @query("stream_parent", "SELECT session_id, parent_thread_id, count(*) AS n, CAST(max(place) AS BIGINT) AS last_seq FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS place FROM named) AS p GROUP BY session_id, parent_thread_id")

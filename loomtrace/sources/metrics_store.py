@@ -50,7 +50,8 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, buckets: int = BUCKE
         # The buckets to rewrite are read in full before they are replaced.
         fresh = cut_lineage(kept.unionByName(fresh, allowMissingColumns=True))
     (
-        fresh.repartition("bucket").sortWithinPartitions("bucket", KEY)
+        # Rebalancing splits a large bucket over several files and tasks.
+        fresh.hint("rebalance", "bucket").sortWithinPartitions("bucket", KEY)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     )
 

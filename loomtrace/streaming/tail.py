@@ -64,43 +64,70 @@ def with_tail_columns(lines: DataFrame) -> DataFrame:
     )
 
 
-TAIL_SCHEMA = "session_id string, seq bigint, value string, call_id string, call_name string, parent_thread_id string, is_reset boolean"
-TAIL_STATE = "next_seq bigint, chunk bigint, parent string, names string, keys string"
+TAIL_SCHEMA = "session_id string, seq bigint, chunk bigint, place bigint, value string, parent_thread_id string, is_reset boolean"
+TAIL_STATE = "next_seq bigint, chunk bigint, parent string, keys string"
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values(["chunk", "place"])
 
 
 def _tail_session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Number the new lines of one session and carry its parent, call names and recent keys.
+    """Number the new lines of one session and carry its parent and recent keys.
 
     A chunk number that falls back means the file was replaced: numbering starts again and lines
     whose key is among the recent ones are not told twice.
     """
-    next_seq, last_chunk, parent, names, keys = state.get if state.exists else (1, -1, None, "{}", "[]")
-    names, keys = json.loads(names), json.loads(keys)
-    rows = pd.concat(list(batches)).sort_values(["chunk", "place"])
+    next_seq, last_chunk, parent, keys = state.get if state.exists else (1, -1, None, "[]")
+    keys = json.loads(keys)
+    rows = _in_order(batches)
     replaced = last_chunk >= 0 and int(rows["chunk"].min()) <= last_chunk
     if replaced:
-        next_seq, parent, names = 1, None, {}
+        next_seq, parent = 1, None
     recent = set(keys) if replaced else set()
     out = []
     for row in rows.itertuples(index=False):
         parent = row.own_parent or parent
         if row.key not in recent:
-            out.append((key[0], next_seq, row.value, row.call_id, names.get(row.call_id), parent, replaced))
+            out.append((key[0], next_seq, row.chunk, row.place, row.value, parent, replaced))
         next_seq += 1
-        if row.called is not None and row.call_id:
-            names[row.call_id] = row.called
         keys = (keys + [row.key])[-DEDUP_KEYS:]
-    state.update((next_seq, int(rows["chunk"].max()), parent, json.dumps(names), json.dumps(keys)))
-    yield pd.DataFrame(out, columns=["session_id", "seq", "value", "call_id", "call_name", "parent_thread_id", "is_reset"])
+    state.update((next_seq, int(rows["chunk"].max()), parent, json.dumps(keys)))
+    yield pd.DataFrame(out, columns=["session_id", "seq", "chunk", "place", "value", "parent_thread_id", "is_reset"])
 
 
 def tail_session(lines: DataFrame) -> DataFrame:
-    """Numbered new lines of every session with call name and parent, kept across batches."""
+    """Numbered new lines of every session with their parent, kept across batches."""
     return with_tail_columns(lines).groupBy("session_id").applyInPandasWithState(
         _tail_session, TAIL_SCHEMA, TAIL_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
+NAME_SCHEMA = "session_id string, call_id string, chunk bigint, place bigint, call_name string"
+
+
+def _name_call(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Give each line of one call id the tool its latest earlier call named."""
+    last_chunk, name = state.get if state.exists else (-1, None)
+    rows = _in_order(batches)
+    if last_chunk >= 0 and int(rows["chunk"].min()) <= last_chunk:
+        name = None
+    out = []
+    for row in rows.itertuples(index=False):
+        out.append((*key, row.chunk, row.place, name))
+        name = row.called if row.called is not None else name
+    state.update((int(rows["chunk"].max()), name))
+    yield pd.DataFrame(out, columns=["session_id", "call_id", "chunk", "place", "call_name"])
+
+
+def stream_call_names(lines: DataFrame) -> DataFrame:
+    """Tool name per line with a call id, kept across batches; one small state per call id."""
+    calls = with_tail_columns(lines).where(F.col("call_id") != "")
+    return calls.groupBy("session_id", "call_id").applyInPandasWithState(
+        _name_call, NAME_SCHEMA, "chunk bigint, name string", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def stream_dedup(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drop re-landed lines of a session; the watermark bounds how long a key is remembered.
 

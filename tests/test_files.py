@@ -99,25 +99,32 @@ def test_upsert_keeps_one_current_row(spark, tmp_path):
     assert [(r.session_id, r.n) for r in S.load_by_id(spark, path, ["b", "zzz"], buckets=4).collect()] == [("b", 2)]
 
 
-def tail_once(spark, folder, out):
-    query = T.tail_session(T.tail_lines(spark, str(folder))).writeStream.option("checkpointLocation", f"{out}-cursor")
-    query.trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("append").parquet(str(out))).start().awaitTermination()
-    return {(r.seq, r.value, r.call_name, r.parent_thread_id, r.is_reset) for r in spark.read.parquet(str(out)).collect()}
+def drain(spark, stream, out):
+    query = stream.writeStream.option("checkpointLocation", f"{out}-cursor").trigger(availableNow=True)
+    query.foreachBatch(lambda df, _: df.write.mode("append").parquet(str(out))).start().awaitTermination()
+    return spark.read.parquet(str(out)).collect()
 
 
 def test_tail_carries_state_and_survives_replacement(spark, tmp_path):
-    folder, out = tmp_path / "landing", tmp_path / "out"
+    folder = tmp_path / "landing"
+    tail = lambda: {
+        (r.seq, r.value, r.parent_thread_id, r.is_reset) for r in drain(spark, T.tail_session(T.tail_lines(spark, str(folder))), tmp_path / "out")
+    }
+    names = lambda: {
+        (r.chunk, r.place, r.call_name) for r in drain(spark, T.stream_call_names(T.tail_lines(spark, str(folder))), tmp_path / "names")
+    }
     name = "rollout-2026-04-07T10-00-00-s.jsonl"
     meta = json.dumps(record("session_meta", {"id": "s", "source": {"subagent": {"thread_spawn": {"parent_thread_id": "p"}}}}))
     call = json.dumps(record("response_item", {"type": "function_call", "name": "exec_command", "call_id": "c"}))
     reply = json.dumps(record("response_item", {"type": "function_call_output", "call_id": "c"}))
     write(folder / f"{name}.1", [meta, call])
-    first = tail_once(spark, folder, out)
-    assert first == {(1, meta, None, "p", False), (2, call, None, "p", False)}
+    first = tail()
+    assert first == {(1, meta, "p", False), (2, call, "p", False)}
+    assert names() == {(1, 1, None)}
     write(folder / f"{name}.2", [reply])
-    second = tail_once(spark, folder, out)
-    assert second - first == {(3, reply, "exec_command", "p", False)}
+    second = tail()
+    assert second - first == {(3, reply, "p", False)}
+    assert names() == {(1, 1, None), (2, 0, "exec_command")}
     # The file is replaced: its old lines are known, the new one is told.
-    (folder / "again").mkdir()
     write(folder / "again" / f"{name}.1", [meta, call, "new line"])
-    assert tail_once(spark, folder, out) - second == {(3, "new line", None, "p", True)}
+    assert tail() - second == {(3, "new line", "p", True)}
