@@ -20,6 +20,8 @@ PHASED_KINDS = [
 ]
 KIND_ORDER = [*SPLIT_KINDS, *PHASED_KINDS]
 IMMUTABLE_KINDS = ["stdin.write", "user.input.request", "file.change"]
+LIFECYCLE_TYPES = [*[t for pair in SPLIT_KINDS.values() for t in pair], *PHASED_KINDS]
+MUTABLE_TYPES = [t for t in LIFECYCLE_TYPES if t not in IMMUTABLE_KINDS]
 DUPLICATE_MARKERS = ["patch.apply.duplicate", "context.compacted.duplicate"]
 TERMINAL_WORDS = ["completed", "failed", "cancelled", "error"]
 RESULT_TYPES = [result for _, result in SPLIT_KINDS.values()]
@@ -116,17 +118,15 @@ def operation_identity(payload: Column) -> list[Column]:
     ]
 
 
-def lifecycle_events(events: DataFrame) -> DataFrame:
-    """Events that belong to an operation, with its key."""
-    work = scope_thread(classify_events(events))
-    return work.where(F.col("kind").isNotNull() & (X.strip(F.col("operation_id")) != "") & (F.col("seq") > 0)).withColumns({"operation_id": X.strip(F.col("operation_id")), "run_id": X.strip(F.col("run_id"))})
+def lifecycle_events(events: DataFrame, types: list[str] = LIFECYCLE_TYPES) -> DataFrame:
+    """Events that belong to an operation, with its key; the type filter reaches the scan."""
+    work = scope_thread(classify_events(events.where(F.col("event_type").isin(*types))))
+    return work.where((X.strip(F.col("operation_id")) != "") & (F.col("seq") > 0)).withColumns({"operation_id": X.strip(F.col("operation_id")), "run_id": X.strip(F.col("run_id"))})
 
 
 def _accepted(events: DataFrame) -> DataFrame:
     """Lifecycle events without those an already ended immutable operation refuses."""
-    rows = lifecycle_events(events)
-    mutable = rows.where(~F.col("event_type").isin(*IMMUTABLE_KINDS))
-    fixed = rows.where(F.col("event_type").isin(*IMMUTABLE_KINDS))
+    mutable, fixed = lifecycle_events(events, MUTABLE_TYPES), lifecycle_events(events, IMMUTABLE_KINDS)
     ended = carry(fixed, KEY, "seq", {"ended_before": F.when(F.col("is_terminal"), F.col("seq"))}, inclusive=False)
     return mutable.unionByName(ended.where(F.col("ended_before").isNull()).drop("ended_before"))
 
