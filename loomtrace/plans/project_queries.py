@@ -62,8 +62,18 @@ def skill_pairs(spark, sf):
     return M.used_skill_ids(events(spark, sf))
 
 
+def rounded(name: str, digits: int = 6):
+    """Rounded for comparison; large values keep three decimals, which doubles can hold."""
+    value = F.col(name)
+    return F.when(F.abs(value) >= 1000, F.round(value, 3)).otherwise(F.round(value, digits)).alias(name)
+
+
 def six(df, *names):
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: rounded(n) for n in names})
+
+
+def rd(value: str, digits: int = 6) -> str:
+    return f"(CASE WHEN abs({value}) >= 1000 THEN round({value}, 3) ELSE round({value}, {digits}) + 0 END)"
 
 
 # ---- catalog identity, as the metrics carry it -------------------------------------------------
@@ -231,8 +241,8 @@ def series_coverage(spark, sf):
     return S.series_coverage(points(spark, sf))
 
 
-@query("quantile", """
-SELECT project, series, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90
+@query("quantile", f"""
+SELECT project, series, {rd('quantile_cont(value, 0.1)')} AS p10, {rd('quantile_cont(value, 0.5)')} AS p50, {rd('quantile_cont(value, 0.9)')} AS p90
 FROM points WHERE value IS NOT NULL GROUP BY project, series""")
 def quantile(spark, sf):
     from loomtrace.operators.ordered import exact_percentiles
@@ -249,7 +259,7 @@ SELECT p.*, f.lower_fence, f.upper_fence, coalesce(p.value < f.lower_fence OR p.
 FROM points p JOIN fences f ON f.project = p.project AND f.series = p.series""")
 
 
-@query("outlier_fences", 'SELECT project, series, available, round(lower_fence, 6) + 0 AS lower_fence, round(upper_fence, 6) + 0 AS upper_fence FROM fences')
+@query("outlier_fences", f"SELECT project, series, available, {rd('lower_fence')} AS lower_fence, {rd('upper_fence')} AS upper_fence FROM fences")
 def outlier_fences(spark, sf):
     return six(S.outlier_fences(points(spark, sf)), "lower_fence", "upper_fence")
 
@@ -263,13 +273,13 @@ def outlier_flags(spark, sf):
     return flagged(spark, sf).select("project", "series", "idx", "is_outlier")
 
 
-@query("outlier_mode", """
-SELECT project, series, idx, round(CASE WHEN is_outlier THEN least(upper_fence, greatest(lower_fence, value)) ELSE value END, 6) AS clamped,
-  round(CASE WHEN NOT is_outlier THEN value END, 6) AS excluded, round(value, 6) AS kept FROM flagged""")
+@query("outlier_mode", f"""
+SELECT project, series, idx, {rd('CASE WHEN is_outlier THEN least(upper_fence, greatest(lower_fence, value)) ELSE value END')} AS clamped,
+  {rd('CASE WHEN NOT is_outlier THEN value END')} AS excluded, {rd('value')} AS kept FROM flagged""")
 def outlier_mode(spark, sf):
     rows = flagged(spark, sf)
     for mode, name in (("clamp", "clamped"), ("exclude", "excluded"), ("keep", "kept")):
-        rows = S.outlier_mode(rows, mode).withColumn(name, F.round("processed", 6))
+        rows = S.outlier_mode(rows, mode).withColumn(name, rounded("processed"))
     return rows.select("project", "series", "idx", "clamped", "excluded", "kept")
 
 
@@ -297,14 +307,14 @@ def moved(spark, sf):
     return S.moving_values(processed, S.smoothing_window(processed))
 
 
-@query("moving_average", 'SELECT project, series, idx, round(moving_average, 4) AS moving_average FROM moved')
+@query("moving_average", f"SELECT project, series, idx, {rd('moving_average', 4)} AS moving_average FROM moved")
 def moving_average(spark, sf):
-    return moved(spark, sf).select("project", "series", "idx", F.round("moving_average", 4).alias("moving_average"))
+    return moved(spark, sf).select("project", "series", "idx", rounded("moving_average", 4))
 
 
-@query("moving_median", 'SELECT project, series, idx, round(moving_median, 4) AS moving_median FROM moved')
+@query("moving_median", f"SELECT project, series, idx, {rd('moving_median', 4)} AS moving_median FROM moved")
 def moving_median(spark, sf):
-    return moved(spark, sf).select("project", "series", "idx", F.round("moving_median", 4).alias("moving_median"))
+    return moved(spark, sf).select("project", "series", "idx", rounded("moving_median", 4))
 
 
 cte("slopes", """
@@ -318,10 +328,10 @@ LEFT JOIN (SELECT q.project, q.series, quantile_cont(q.value - coalesce(t.slope,
   ON c.project = p.project AND c.series = p.series""")
 
 
-@query("theil_sen_trend", 'SELECT project, series, idx, round(trend, 4) AS trend FROM trends')
+@query("theil_sen_trend", f"SELECT project, series, idx, {rd('trend', 4)} AS trend FROM trends")
 def theil_sen_trend(spark, sf):
     processed = points(spark, sf).withColumn("processed", F.col("value"))
-    return S.theil_sen_trend(processed).select("project", "series", "idx", F.round("trend", 4).alias("trend"))
+    return S.theil_sen_trend(processed).select("project", "series", "idx", rounded("trend", 4))
 
 
 cte("bases", 'SELECT project, series, coalesce(arg_min(value, idx) FILTER (WHERE value IS NOT NULL), 0) AS base FROM points GROUP BY project, series')
@@ -346,8 +356,8 @@ def series_normalize(spark, sf):
 
 
 @query("chart_analysis", f"""
-SELECT f.project, f.series, f.available AS available_count, z.processed_count, g.n AS outlier_count, round(f.lower_fence, 4) + 0 AS lower_fence, round(f.upper_fence, 4) + 0 AS upper_fence,
-  z.window_size, round(s.lo, 5) AS scale_min, round(s.hi, 5) AS scale_max, round(m.med, 4) AS project_median, round({NORM.format(x=BASED.format(x='m.med'))}, 5) AS normalized_median
+SELECT f.project, f.series, f.available AS available_count, z.processed_count, g.n AS outlier_count, {rd('f.lower_fence', 4)} AS lower_fence, {rd('f.upper_fence', 4)} AS upper_fence,
+  z.window_size, round(s.lo, 5) AS scale_min, round(s.hi, 5) AS scale_max, {rd('m.med', 4)} AS project_median, round({NORM.format(x=BASED.format(x='m.med'))}, 5) AS normalized_median
 FROM fences f JOIN sizes z ON z.project = f.project AND z.series = f.series JOIN scales s ON s.project = f.project
 JOIN bases b ON b.project = f.project AND b.series = f.series
 JOIN (SELECT project, series, count(*) FILTER (WHERE is_outlier) AS n FROM flagged GROUP BY project, series) AS g ON g.project = f.project AND g.series = f.series
@@ -355,7 +365,7 @@ JOIN (SELECT project, series, quantile_cont(value, 0.5) AS med FROM points GROUP
 def chart_analysis(spark, sf):
     rows = S.chart_analysis(charted(spark, sf))
     four, five = ("lower_fence", "upper_fence", "project_median"), ("scale_min", "scale_max", "normalized_median")
-    return rows.withColumns({n: F.round(n, 4) for n in four} | {n: F.round(n, 5) for n in five})
+    return rows.withColumns({n: rounded(n, 4) for n in four} | {n: F.round(n, 5) for n in five})
 
 
 cte("totals", 'SELECT project_group AS project, count(*) AS rows FROM metrics GROUP BY project_group')
