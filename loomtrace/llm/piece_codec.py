@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from hashlib import sha256
@@ -64,7 +65,8 @@ class PieceCodec:
         # No merge reaches over a place where a blank follows something else, unless a piece does.
         over = any(re.search(f"[^{SPACE}]{SPACE}", p.piece) for p in proto.pieces if p.type != kinds.CONTROL)
         merges = proto.trainer_spec.model_type == proto.trainer_spec.BPE
-        self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if merges and not over and not self.suffix else r"(?s).+")
+        self.words = merges and not over and not self.suffix
+        self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.words else r"(?s).+")
         self.bytes_of = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.unknown = proto.trainer_spec.unk_id
         self.known: dict[str, bytes] = {}
@@ -132,31 +134,37 @@ class PieceCodec:
             return text + blank, np.concatenate((low, last)), np.concatenate((high, last))
         return blank + text, np.concatenate((zero, low)), np.concatenate((zero, high))
 
-    def _segment(self, text: str) -> bytes:
-        """Ids and byte lengths of the pieces of one segment, packed."""
-        ids = np.array(self.core.encode(text), "<u4")
+    def _pack(self, segments: list[str]) -> list[bytes]:
+        """Ids and byte lengths of the pieces of each segment, packed."""
+        parts = self.core.encode(segments, num_threads=1)
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        ids = np.fromiter(itertools.chain.from_iterable(parts), "<u4", int(counts.sum()))
         sizes = self.bytes_of[ids]
-        if (ids == self.unknown).any():
-            sizes = np.array([len(p.encode()) for p in self.core.encode(text, out_type=str)], np.int64)
-        return np.stack((ids, sizes.astype("<u4")), axis=1).tobytes()
+        if (ids == self.unknown).any():  # only the piece itself tells how much an unknown id stands for
+            pieces = itertools.chain.from_iterable(self.core.encode(segments, out_type=str, num_threads=1))
+            sizes = np.fromiter((len(p.encode()) for p in pieces), np.int64, len(ids))
+        packed, ends = np.stack((ids, sizes.astype("<u4")), axis=1).tobytes(), (8 * np.cumsum(counts)).tolist()
+        return [packed[i:j] for i, j in zip([0, *ends[:-1]], ends)]
 
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, source start, source end) of the pieces of a whole text, without begin and end ids."""
         text, low, high = self.normalise(data)
-        known, packed = self.known, []
-        for segment in self.segments.findall(text):
-            found = known.get(segment)
-            if found is None:
-                found = self._segment(segment)
-                if len(segment) <= CACHED_CHARS:
-                    if len(known) >= CACHED:
-                        known.clear()
-                    known[segment] = found
-            packed.append(found)
-        both = np.frombuffer(b"".join(packed), "<u4").reshape(-1, 2)
+        if self.words and text[:1] == SPACE and text[-1] != SPACE and 2 * SPACE not in text:
+            segments = text[1:].split(SPACE)  # each stands for itself behind one blank
+            whole = lambda s: SPACE + s
+        else:
+            segments, whole = [SPACE + s for s in self.segments.findall(text)], lambda s: s[1:]
+        known = self.known
+        if len(known) > CACHED:
+            known.clear()
+        new = [s for s in set(segments) if s not in known]
+        known.update(zip(new, self._pack([whole(s) for s in new]) if new else ()))
+        both = np.frombuffer(b"".join(map(known.__getitem__, segments)), "<u4").reshape(-1, 2)
+        for s in new:
+            if len(s) > CACHED_CHARS:
+                del known[s]
         ends = np.cumsum(both[:, 1], dtype=np.int64)
-        begins = ends - both[:, 1]
-        return both[:, 0], low[begins], high[ends - 1]
+        return both[:, 0], low[ends - both[:, 1]], high[ends - 1]
 
     def with_marks(self, ids: np.ndarray) -> np.ndarray:
         return np.concatenate(([self.library.bos_id()], ids, [self.library.eos_id()])).astype("<u4")
