@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import chunk_dedup, mixture, piece_codec, simhash, url_rules
+from loomtrace.llm import chunk_dedup, mixture, piece_codec, simhash, suffix_dedup, url_rules, window_dedup
 from loomtrace.llm.common import table
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoding_digests(table(spark, sf_dir, "documents"), piece_codec.load(TOKENIZER))
 
 
+def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.window_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.byte_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_sizes(table(spark, sf_dir, "documents")).drop("source")
 
@@ -39,6 +47,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_window_dedup": op2_window_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixture": op6_mixture,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
@@ -46,6 +56,28 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_window_dedup": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w
+), h AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 34], ' ') AS win FROM s
+), r AS (
+  SELECT doc_id, i FROM h WHERE win IN (SELECT win FROM h GROUP BY win HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r
+), g AS (
+  SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+), k AS (
+  SELECT doc_id, words, coalesce(ps, []) AS ps FROM w LEFT JOIN g USING (doc_id)
+), u AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w
+), kept AS (
+  SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.p) AS text FROM u ANTI JOIN gone ON u.doc_id = gone.doc_id AND u.p = gone.p GROUP BY u.doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM k LEFT JOIN kept USING (doc_id)""",
     "op6_mixture": r"""
 WITH s AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
