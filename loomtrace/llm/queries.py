@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import chunk_dedup, mixture, piece_codec, simhash, suffix_dedup, url_rules, window_dedup
+from loomtrace.llm import chunk_dedup, cover_topk, mixture, piece_codec, quality, simhash, suffix_dedup, toxicity, url_rules, window_dedup
 from loomtrace.llm.common import table
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,14 @@ def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.window_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_topk.top_k(table(spark, sf_dir, "embeddings"), k=10, scale=1024, every=100)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.byte_digests(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [F.struct(*[F.lit(x).alias(c) for x, c in zip(rule, ("host", "path", "action"))]) for rule in URL_RULES]
     rules = spark.range(1).select(F.inline(F.array(*rows)))
@@ -48,10 +60,13 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_window_dedup": op2_window_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_cover_topk": op4_cover_topk,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixture": op6_mixture,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
     "op10_url_rules": op10_url_rules,
 }
 
@@ -78,6 +93,15 @@ WITH w AS (
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM k LEFT JOIN kept USING (doc_id)""",
+    "op4_cover_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS c FROM embeddings
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.c, v.c), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
     "op6_mixture": r"""
 WITH s AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
