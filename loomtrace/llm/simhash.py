@@ -68,24 +68,33 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
     return around.join(least, "middle").filter("print != low").select(F.col("print").alias("a"), F.col("low").alias("b")).distinct()
 
 
+def _grouped(docs: DataFrame, distance: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their fingerprints, fingerprints with their component's root)."""
+    prints = cut(fingerprints(docs))
+    nodes = cut(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
+    groups = components(links(nodes.select("print"), distance, blocks))
+    rooted = nodes.join(groups.select(F.col("node").alias("print"), "component"), "print", "left")
+    return prints, rooted.select("print", "first", F.coalesce("component", "print").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, text_sha256, fingerprint (16 hexadecimal digits) and component_id of every row of docs.
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row of docs.
 
     component_id is the smallest doc_id reachable through links. Documents with one fingerprint are gathered before
     anything else, so a group of copies is one node. Rows without words have fingerprint zero and link like others; a
     null doc_id has no part in the minimum unless it is alone. Repeated rows share a component; other columns are ignored.
     """
-    prints = cut(fingerprints(docs))
-    nodes = cut(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
-    groups = components(links(nodes.select("print"), distance, blocks))
-    led = nodes.join(groups.select(F.col("node").alias("print"), "component"), "print", "left").select(
-        "print", "first", F.coalesce("component", "print").alias("component")
-    )
-    roots = led.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = led.join(roots, "component").select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", "text_sha256", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that with the smallest doc_id."""
-    return keep_documents(docs, near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    prints, rooted = _grouped(docs, distance, blocks)
+    roots = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = rooted.join(roots, "component").select("print", "component_id")
+    return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """docs with one document of each component: that with the smallest doc_id, and of several such the one whose text
+    has the smallest digest. Null ids stay only where nothing else does."""
+    prints, rooted = _grouped(docs, distance, blocks)
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_sha256")
+    least = prints.groupBy("print").agg(F.min(rank).alias("least"))
+    kept = rooted.join(least, "print").groupBy("component").agg(F.min("least").alias("kept"))
+    return keep_documents(docs, kept.select("kept.doc_id", "kept.text_sha256"))

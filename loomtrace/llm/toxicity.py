@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import cut, fold, keep_documents, whole_text
+from loomtrace.llm.common import cut, fold, whole_text
 from loomtrace.llm.labelled import training_rows
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -18,34 +19,46 @@ SAMPLE = {1: 4000, 0: 8000}  # labelled documents that are learned from, by labe
 TOXIC, CLEAN = 96, 32  # landmarks: strings of toxic documents, and clean strings that look like them
 DECAY = 0.6  # for each character a subsequence leaves out
 STEPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))  # three characters within five
-FLOOR = 0.4  # smaller similarities count as none
+FLOOR = 0.6  # smaller similarities count as none
+SHARPNESS = 8.0  # the machine's kernel is exp(SHARPNESS * (similarity - 1))
+START = "\x02"  # put before every string, so that subsequences know where it begins
+STIFFNESS = 1e-3  # of the machine's norm against its losses
+ODDS = 4.0  # least log odds of a toxic landmark
+APART = 0.4  # the largest kernel between two landmarks
 ALPHABET = 63
 TOKEN = re.compile(r"[^\W_]+")
 SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")  # single characters one after another
 SENTENCE = re.compile(r"[.!?\n]+")
 CACHED = 300_000
 PIECE = 20_000
+TOGETHER = 500_000  # characters whose strings are looked up at once
 
 
-def strings(text: str) -> list[str]:
-    """Words in lower case, and words that are spelled out in single characters."""
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence in lower case; a word spelled out in single characters is a sentence of its own."""
     text = text.lower()
-    return TOKEN.findall(text) + ["".join(TOKEN.findall(x)) for x in SPELLED.findall(text)]
+    spelled = [["".join(TOKEN.findall(x))] for x in SPELLED.findall(text)]
+    return [w for w in map(TOKEN.findall, SENTENCE.split(text)) if w] + spelled
+
+
+def family(words: list[str]) -> int:
+    """The smallest hash of three words in a row: near copies of a text mostly share it, other texts do not."""
+    return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
 class Landmarks:
     """Subsequence kernel against a fixed set of strings.
 
     A string's features are its triples of characters within five places, each weighted by DECAY per character left out;
-    a kernel is the product of two strings' features, divided by both norms. Only triples that landmarks have are looked
-    up, so the cost is linear in the text.
+    a similarity is the product of two strings' features, divided by both norms, and the kernel a sharper function of it.
+    Only triples that landmarks have are looked up, so the cost is linear in the text.
     """
 
     def __init__(self, words: list[str]):
         self.words = words
         tally: dict[str, int] = {}
         for w in words:
-            for c in w:
+            for c in START + w:
                 tally[c] = tally.get(c, 0) + 1
         letters = sorted(tally, key=lambda c: (-tally[c], c))[:ALPHABET]
         self.codes = np.array(sorted(map(ord, letters)), np.uint32) if letters else np.array([0], np.uint32)
@@ -59,8 +72,8 @@ class Landmarks:
 
     def _triples(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(string, triple, weight) of all triples of known characters, and the norm of each string."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        chars = np.frombuffer("".join([START + w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.minimum(np.searchsorted(self.codes, chars), len(self.codes) - 1)
         ids = np.where(self.codes[at] == chars, at + 1, 0) if len(chars) else np.empty(0, np.int64)
         owner = np.repeat(np.arange(len(words)), lengths)
@@ -77,7 +90,7 @@ class Landmarks:
         return o, t, w, np.sqrt(square)
 
     def similar(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(indexes, kernels): the strings with a kernel of FLOOR or more, and their row of kernels, smaller ones as 0."""
+        """(indexes, kernels): the strings with a similarity of FLOOR or more, and their row of kernels; 0 for smaller ones."""
         keep, rows = [], []
         for low in range(0, len(words), PIECE):
             owner, triple, weight, norm = self._triples(words[low : low + PIECE])
@@ -97,10 +110,10 @@ class Landmarks:
             owner, feature, weight = owner[by], feature[by], weight[by]
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             kernel = np.add.reduceat(self.table[feature] * weight[:, None], first, axis=0) / norm[some[owner[first]]][:, None]
-            kernel[kernel < FLOOR] = 0
-            close = kernel.any(axis=1)
+            close = (kernel >= FLOOR).any(axis=1)
+            kernel = kernel[close]
             keep.append(some[owner[first]][close] + low)
-            rows.append(np.minimum(kernel[close], 1))
+            rows.append(np.where(kernel >= FLOOR, np.exp(SHARPNESS * (np.minimum(kernel, 1) - 1)), 0))
         if not keep:
             return np.empty(0, np.int64), np.empty((0, len(self.words)), np.float32)
         return np.concatenate(keep), np.concatenate(rows)
@@ -121,48 +134,58 @@ class Model:
         at, rows = self.landmarks.similar(new)
         self.known.update((new[i], row) for i, row in zip(at.tolist(), rows))
 
-    def sentences(self, text: str) -> np.ndarray:
-        """A row per sentence that has something in common with a landmark: the largest kernel of its strings with each."""
-        found = strings(text)
-        self.learn(set(found))
-        if all(self.known[w] is None for w in set(found)):
-            return np.empty((0, len(self.weights)), np.float32)
-        out = []
-        for sentence in SENTENCE.split(text):
-            rows = [r for r in map(self.known.get, strings(sentence)) if r is not None]
-            if rows:
-                out.append(np.max(rows, axis=0))
-        # what is spelled out over a sentence's end is a sentence of its own
-        out += [r for x in SPELLED.findall(text.lower()) if SENTENCE.search(x) for r in [self.known.get("".join(TOKEN.findall(x)))] if r is not None]
-        return np.array(out, np.float32).reshape(len(out), len(self.weights))
-
-    def margin(self, text: str) -> float:
-        rows = self.sentences(text)
-        return float(max((rows @ self.weights).max() if len(rows) else 0.0, 0.0)) + self.bias
-
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(text) + self.shift, -30, 30))))
-
-
-def _machine(model: Model, rows: np.ndarray, labels: np.ndarray, share: float) -> None:
-    """Linear machine (squared hinge) in the landmarks' whitened space, then a logistic fit of its margins."""
+    def kernels(self, texts: Iterator[str]) -> Iterator[np.ndarray]:
+        """Per text a row for each sentence with a string near a landmark: the largest kernel of its strings with each."""
+        for part in self._parts(texts):
+            self.learn({w for text in part for words in text for w in words})
+            known = self.known
+            for text in part:
+                near = [[known[w] for w in words if known[w] is not None] for words in text]
+                rows = [np.max(x, axis=0) if len(x) > 1 else x[0] for x in near if x]
+                yield np.array(rows, np.float32).reshape(len(rows), len(self.weights))
+
+    @staticmethod
+    def _parts(texts: Iterator[str]) -> Iterator[list[list[list[str]]]]:
+        """Texts taken apart, some at a time, so that their new strings are looked up together."""
+        part, size = [], 0
+        for text in texts:
+            part.append(sentences(text))
+            size += len(text)
+            if size > TOGETHER:
+                yield part
+                part, size = [], 0
+        yield part
+
+    def scores(self, texts: Iterator[str]) -> list[float]:
+        best = [max(float((rows @ self.weights).max()) if len(rows) else 0.0, 0.0) for rows in self.kernels(texts)]
+        return (1 / (1 + np.exp(-np.clip(self.slope * (np.array(best) + self.bias) + self.shift, -30, 30)))).tolist()
+
+
+def _machine(model: Model, rows: np.ndarray, labels: np.ndarray, share: float, toxic: int) -> None:
+    """Support vector machine (squared hinge) among the functions that landmarks span, then a logistic fit of its margins.
+
+    A function is a weight per landmark, its norm taken from the landmarks' own kernels (the Nystroem space). Toxic
+    landmarks, the first ones, speak for label 1 and clean ones against it.
+    """
     words = model.landmarks.words
     gram = np.zeros((len(words), len(words)))
     at, kernels = model.landmarks.similar(words)
     gram[at] = kernels
-    value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(words)))
-    white = vector / np.sqrt(np.maximum(value, 1e-2))
-    x, y = rows @ white, 2 * labels - 1
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    gram = vector * np.maximum(value, 1e-3) @ vector.T  # small similarities were cut off, which may leave it indefinite
+    sign = np.where(np.arange(len(words)) < toxic, 1, -1)
+    y = 2 * labels - 1
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
-    w, b = np.zeros(x.shape[1]), 0.0
-    step = 1 / (2 * (weight * ((x**2).sum(axis=1) + 1)).sum() + 1e-3)
+    step = 1 / (2 * (weight * ((rows**2).sum(axis=1) + 1)).sum() + 2 * STIFFNESS * np.linalg.norm(gram, 2))
+    w, b = np.zeros(len(words)), 0.0
     v, c, t = w, b, 1.0
-    for _ in range(600):
-        slack = np.maximum(0, 1 - y * (x @ v + c)) * y * weight
-        new_w, new_b, t_next = v - step * (1e-3 * v - 2 * slack @ x), c + step * 2 * slack.sum(), (1 + (1 + 4 * t * t) ** 0.5) / 2
+    for _ in range(1000):
+        slack = np.maximum(0, 1 - y * (rows @ v + c)) * y * weight
+        new_w = np.maximum(sign * (v - step * (2 * STIFFNESS * gram @ v - 2 * slack @ rows)), 0) * sign
+        new_b, t_next = c + step * 2 * slack.sum(), (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, c = new_w + (t - 1) / t_next * (new_w - w), new_b + (t - 1) / t_next * (new_b - b)
         w, b, t = new_w, new_b, t_next
-    model.weights, model.bias = white @ w, float(b)
+    model.weights, model.bias = w, float(b)
     # calibration with the share of toxic documents among all labelled ones
     margin = np.maximum(rows @ model.weights, 0) + model.bias
     share = min(max(share, 1e-3), 1 - 1e-3)
@@ -185,7 +208,7 @@ def _apart(words: list[str], most: int) -> list[str]:
         row = dict(zip(at.tolist(), kernels))
         taken: list[int] = []
         for i, w in enumerate(words):
-            if len(taken) < most and (i not in row or not taken or row[i][taken].max() < 0.85):
+            if len(taken) < most and (i not in row or not taken or row[i][taken].max() < APART):
                 taken.append(i)
                 chosen.append(w)
     return chosen
@@ -203,10 +226,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
     def words(batches):
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                own = sorted(set(strings(text.as_py())))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(np.full(len(own), label.as_py()), pa.int32())], ["word", "label"])
-
-    counts = cut(rows.mapInArrow(words, "word string, label int").groupBy("word").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")))
+                told = [w for words in sentences(text.as_py()) for w in words]
+                own = sorted(set(told))
+                same = [pa.array(np.full(len(own), x), t) for x, t in ((label.as_py(), pa.int32()), (family(told), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *same], ["word", "label", "family"])
+
+    # a word counts once for near copies of a document
+    counts = rows.mapInArrow(words, "word string, label int, family bigint").distinct()
+    counts = cut(counts.groupBy("word").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")))
     totals = rows.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = totals["toxic"] or 0, totals["n"] - (totals["toxic"] or 0)
     if not toxic or not clean:
@@ -214,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
         model.shift = 30.0 if toxic else -30.0 if clean else 0.0
         return model
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (clean + 1))
-    told = counts.filter(F.col("toxic") >= max(2, toxic // 1000)).select("word", (odds * F.sqrt("toxic")).alias("told"), odds.alias("odds")).filter(odds > 1.5)
+    told = counts.filter(F.col("toxic") >= max(3, toxic // 250)).select("word", (odds * F.sqrt("toxic")).alias("told"), odds.alias("odds")).filter(odds > ODDS)
     bad = _apart([r["word"] for r in told.filter(F.length("word") > 2).orderBy(F.desc("told"), "word").limit(4 * TOXIC).collect()], TOXIC)
     first = Landmarks(bad)
 
@@ -231,24 +258,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
     def witness(batches):
         for batch in batches:
             out = []
-            for text in batch["text"]:
-                found = model.sentences(text.as_py())
+            for found in model.kernels(x.as_py() for x in batch["text"]):
                 out.append(found[found[:, : len(bad)].max(axis=1).argmax()].tolist() if len(found) and bad else [0.0] * len(model.weights))
-            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(out, pa.list_(pa.float64()))], ["label", "row"])
+            kin = [family([w for words in sentences(x.as_py()) for w in words]) for x in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(kin, pa.int64()), pa.array(out, pa.list_(pa.float64()))], ["label", "family", "row"])
 
-    seen = rows.select("label", "text").mapInArrow(witness, "label int, row array<double>").collect()
+    seen = rows.select("label", "text").mapInArrow(witness, "label int, family bigint, row array<double>")
+    seen = seen.groupBy("label", "family").agg(F.max("row").alias("row")).collect()
     x, y = np.array([r["row"] for r in seen]).reshape(len(seen), len(model.weights)), np.array([r["label"] for r in seen], float)
     order = np.lexsort((*x.T, y)) if len(model.weights) else np.arange(len(y))
     share = labels.filter(~fold("doc_id", FOLDS, HELD_OUT)).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if len(model.weights):
-        _machine(model, x[order], y[order], share or 0.0)
+        _machine(model, x[order], y[order], share or 0.0, len(bad))
     else:
         model.shift = float(np.log(min(max(share, 1e-3), 1 - 1e-3) / (1 - min(max(share, 1e-3), 1 - 1e-3))))
     model.known = {}
     return model
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, with_key: bool = False) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.3) of every row of docs.
 
     A document's margin is that of its worst sentence, whole texts read. Null texts are empty ones and score like a text
@@ -260,11 +288,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: dict[int, int] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            scores = pa.array([model.score(x.as_py()) for x in batch["text"]], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_sha256"], scores], ["doc_id", "text_sha256", "score"])
-
-    key = F.sha2(whole_text(), 256) if with_key else F.lit("")
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("text_sha256"), whole_text().alias("text"))
-    scored = text.mapInArrow(run, "doc_id bigint, text_sha256 string, score double")
-    out = scored.select("doc_id", "text_sha256", fold("doc_id", FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
-    return out if with_key else out.drop("text_sha256")
+            scores = pa.array(model.scores(x.as_py() for x in batch["text"]), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], scores], ["doc_id", "score"])
+
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+    scored = text.mapInArrow(run, "doc_id bigint, score double")
+    return scored.select("doc_id", fold("doc_id", FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:
+    """docs without the rows that score_documents predicts as toxic; rows pass through whole, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            scores = model.scores(x.as_py() or "" for x in batch["text"])
+            yield batch.filter(pa.array(np.array(scores) < THRESHOLD, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
