@@ -19,15 +19,17 @@ SAMPLE = {1: 4000, 0: 8000}  # labelled documents that are learned from, by labe
 TOXIC, CLEAN = 96, 32  # landmarks: strings of toxic documents, and clean strings that look like them
 DECAY = 0.6  # for each character a subsequence leaves out
 STEPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))  # three characters within five
-FLOOR = 0.6  # smaller similarities count as none
-SHARPNESS = 8.0  # the machine's kernel is exp(SHARPNESS * (similarity - 1))
+FLOOR = 0.5  # smaller similarities count as none
+SHARPNESS = 5.0  # the machine's kernel is exp(SHARPNESS * (similarity - 1))
 START = "\x02"  # put before every string, so that subsequences know where it begins
-STIFFNESS = 1e-3  # of the machine's norm against its losses
+ALTERED = 0.2  # weight of the altered forms of toxic landmarks; either label has 0.5
+STIFFNESS = 1e-4  # of the machine's norm against its losses
 ODDS = 4.0  # least log odds of a toxic landmark
 APART = 0.4  # the largest kernel between two landmarks
 ALPHABET = 63
 TOKEN = re.compile(r"[^\W_]+")
 SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")  # single characters one after another
+BROKEN = re.compile(r"[^\W_]+(?:(?:[^\w\s]|_)+[^\W_]+)+")  # marks inside a word
 SENTENCE = re.compile(r"[.!?\n]+")
 CACHED = 300_000
 PIECE = 20_000
@@ -35,9 +37,9 @@ TOGETHER = 500_000  # characters whose strings are looked up at once
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence in lower case; a word spelled out in single characters is a sentence of its own."""
+    """The words of each sentence in lower case; a word that is spelled out or broken by marks is a sentence of its own."""
     text = text.lower()
-    spelled = [["".join(TOKEN.findall(x))] for x in SPELLED.findall(text)]
+    spelled = [["".join(TOKEN.findall(x))] for x in SPELLED.findall(text) + BROKEN.findall(text)]
     return [w for w in map(TOKEN.findall, SENTENCE.split(text)) if w] + spelled
 
 
@@ -46,6 +48,12 @@ def family(words: list[str]) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
+def altered(word: str) -> list[str]:
+    """The word with a strange character put in, or in place of one of its own, at a few places."""
+    places = range(1, len(word), max(1, len(word) // 4))
+    return [word[:i] + "0" + word[i:] for i in places] + [word[:i] + "0" + word[i + 1 :] for i in places if len(word) > 6 and i + 1 < len(word)]
+
+
 class Landmarks:
     """Subsequence kernel against a fixed set of strings.
 
@@ -174,14 +182,17 @@ def _machine(model: Model, rows: np.ndarray, labels: np.ndarray, share: float, t
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     gram = vector * np.maximum(value, 1e-3) @ vector.T  # small similarities were cut off, which may leave it indefinite
     sign = np.where(np.arange(len(words)) < toxic, 1, -1)
-    y = 2 * labels - 1
+    # toxic landmarks teach in altered forms too
+    _, forms = model.landmarks.similar([v for w in words[:toxic] for v in altered(w)])
+    x, y = np.concatenate((rows, forms)), np.concatenate((2 * labels - 1, np.ones(len(forms))))
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
-    step = 1 / (2 * (weight * ((rows**2).sum(axis=1) + 1)).sum() + 2 * STIFFNESS * np.linalg.norm(gram, 2))
+    weight = np.concatenate((weight, np.full(len(forms), ALTERED / max(1, len(forms)))))
+    step = 1 / (2 * (weight * ((x**2).sum(axis=1) + 1)).sum() + 2 * STIFFNESS * np.linalg.norm(gram, 2))
     w, b = np.zeros(len(words)), 0.0
     v, c, t = w, b, 1.0
-    for _ in range(1000):
-        slack = np.maximum(0, 1 - y * (rows @ v + c)) * y * weight
-        new_w = np.maximum(sign * (v - step * (2 * STIFFNESS * gram @ v - 2 * slack @ rows)), 0) * sign
+    for _ in range(3000):
+        slack = np.maximum(0, 1 - y * (x @ v + c)) * y * weight
+        new_w = np.maximum(sign * (v - step * (2 * STIFFNESS * gram @ v - 2 * slack @ x)), 0) * sign
         new_b, t_next = c + step * 2 * slack.sum(), (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, c = new_w + (t - 1) / t_next * (new_w - w), new_b + (t - 1) / t_next * (new_b - b)
         w, b, t = new_w, new_b, t_next
