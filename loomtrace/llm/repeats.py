@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomtrace.llm import anchors as A
 from loomtrace.llm.common import cut, whole_text
 
-MOST = 2000  # distinct contexts of an anchor that one task compares
+MOST = 20_000  # distinct contexts of an anchor that one task compares
 COVERED, SAMPLE, SINGLE = 0, 1, 2  # a mark's windows are repeated; the same, and it stands for its context; to be compared
 ROWS = 8000  # contexts compared at once
 
@@ -206,7 +206,7 @@ def _compared(contexts: DataFrame, how: Method) -> DataFrame:
                 )
 
     few = contexts.filter("NOT hot").drop("hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(resolve, RUNS)
-    many = contexts.filter("hot").mapInArrow(expand, "doc_id bigint, text_key bigint, start bigint, gram bigint, key bigint, weight bigint")
+    many = cut(contexts.filter("hot").mapInArrow(expand, "doc_id bigint, text_key bigint, start bigint, gram bigint, key bigint, weight bigint"))
     often = many.groupBy("gram", "key").agg(F.sum("weight").alias("n")).filter("n > 1")
     found = many.filter("weight = 1").join(often, ["gram", "key"]).select("doc_id", "text_key", F.col("start").alias("first"), F.col("start").alias("last"))
     return few.unionByName(found)
