@@ -119,7 +119,8 @@ def _marks(docs: DataFrame, how: Method, most: int) -> DataFrame:
     """(doc_id, text_key, at, gram, role, hot) of repeated anchors."""
     rows = cut(_anchor_rows(docs, how))
     degree = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
-    degree = degree.select("gram", (F.col("low") != F.col("high")).alias("branches"))
+    # a table, so that both sides of the join are dealt for it alone and a hot anchor's partition can be split
+    degree = cut(degree.select("gram", (F.col("low") != F.col("high")).alias("branches")))
     repeated = cut(rows.join(degree, "gram"))
     place = F.struct("doc_id", "text_key", "at")
     branching = repeated.filter("branches")
