@@ -14,7 +14,7 @@ from loomtrace.operators.ordered import lookup, row_index, running_total, spread
 from loomtrace.session import cut_lineage
 
 ACTIVE_SECONDS = 120
-PAGE_DEFAULT, PAGE_MAX = 50, 500
+PAGE_DEFAULT = 50
 
 # The pattern of a session file's name, and the catalog's columns with their types.
 ROLLOUT_NAME = r"^rollout-\d{4}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}-(.+)\.jsonl$"
@@ -165,7 +165,8 @@ def matches(query: str | None, columns: list[str]) -> Column:
 
 
 def page_size(limit: int | None) -> int:
-    return min(max(limit if limit is not None else PAGE_DEFAULT, 1), PAGE_MAX)
+    """Rows of a page: as many as asked for, at least one."""
+    return max(limit if limit is not None else PAGE_DEFAULT, 1)
 
 
 def session_list(files: DataFrame, index: DataFrame) -> DataFrame:
@@ -255,12 +256,14 @@ def project_catalog(identified: DataFrame) -> DataFrame:
     """
     rows = identified.withColumn("catalog_key", F.coalesce(F.concat(F.lit("cwd:"), "project_cwd"), "project_key"))
     scope = F.col("session_scope")
+    newest_first = F.struct(F.col("updated_at").isNull().alias("unknown"), (-F.col("updated_at").cast("double")).alias("age"), "session_id")
     made = rows.groupBy("catalog_key").agg(
         F.count_distinct("session_id").alias("sessions"),
         F.count_distinct("project_key").alias("backend_keys"),
         *[F.count_if(scope == s).alias(f"{s}_sessions") for s in ("main", "subsession", "unknown")],
         F.bool_or("degraded").alias("degraded"),
-        F.max_by(F.struct("cwd", "project_branch", "project_origin"), F.struct("updated_at", "session_id")).alias("n"),
+        F.array_join(F.array_sort(F.collect_set("project_key")), ",").alias("backend_key_list"),
+        F.min_by(F.struct("cwd", "project_branch", "project_origin"), newest_first).alias("n"),
     )
     return made.select("*", *project_label()).drop("n").orderBy("degraded", "label", "catalog_key")
 
@@ -278,8 +281,7 @@ def project_label() -> list[Column]:
 
 
 def session_preview(events: DataFrame, limit: int = 80) -> DataFrame:
-    """Newest events of each session (at most 200) beside the session's size and time span."""
-    limit = min(max(limit, 1), 200)
+    """Newest `limit` events of each session beside the session's size and time span."""
     newest = Window.partitionBy("session_id").orderBy(F.col("seq").desc())
     recent = events.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= limit)
     spans = events.groupBy("session_id").agg(

@@ -422,6 +422,23 @@ def quarantine(events: DataFrame) -> DataFrame:
 # ---- the stdout log ----------------------------------------------------------------------------
 
 
+def unwrap_item(item: Column, raw_type: Column, value: Column) -> Column:
+    """struct(item, kind): the innermost item of nested `item.*` records and the type of the record around it.
+
+    A line has at most as many levels as opening braces, so the walk ends at any depth.
+    """
+    # Records that wrap an item.
+    nested = lambda x: F.coalesce(
+        J.text(x, "$.type").isin("item.started", "item.updated", "item.completed") & J.is_object(J.node(x, "$.item")), F.lit(False)
+    )
+    start = F.struct(item.alias("item"), raw_type.alias("kind"))
+    levels = F.sequence(F.lit(1), F.length(value) - F.length(F.replace(value, F.lit("{"), F.lit(""))))
+    step = lambda acc, _: F.when(
+        nested(acc["item"]), F.struct(J.node(acc["item"], "$.item").alias("item"), J.text(acc["item"], "$.type").alias("kind"))
+    ).otherwise(acc)
+    return F.when(nested(item), F.aggregate(levels, start, step)).otherwise(start)
+
+
 def normalize_stdout(bronze_lines: DataFrame) -> DataFrame:
     """Canonical events of stdout logs: run_id, task_id, seq, value, read_at per line.
 
@@ -434,13 +451,11 @@ def normalize_stdout(bronze_lines: DataFrame) -> DataFrame:
     )
     item_record = F.col("raw_type").startswith("item.")
     first = J.node(F.col("record"), "$.item")
-    nested = lambda x: J.text(x, "$.type").isin("item.started", "item.updated", "item.completed") & J.is_object(J.node(x, "$.item"))
-    second = F.when(F.coalesce(nested(first), F.lit(False)), J.node(first, "$.item"))
-    third = F.when(F.coalesce(nested(second), F.lit(False)), J.node(second, "$.item"))
-    inner_type = F.when(third.isNotNull(), J.text(second, "$.type")).when(second.isNotNull(), J.text(first, "$.type")).otherwise(F.col("raw_type"))
+    inner = F.when(item_record & J.is_object(first), unwrap_item(first, F.col("raw_type"), F.col("value")))
+    inner_type = F.coalesce(inner["kind"], F.col("raw_type"))
     rows = rows.withColumns(
         {
-            "item": F.when(item_record & J.is_object(first), F.coalesce(third, second, first)),
+            "item": inner["item"],
             "item_phase": F.when(item_record, F.when(inner_type == "item.started", "started").when(inner_type == "item.updated", "updated").otherwise("completed")),
             "started_thread": F.when(F.col("raw_type") == "thread.started", F.struct(J.text(F.col("record"), "$.thread_id").alias("id"))),
         }

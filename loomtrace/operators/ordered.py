@@ -256,21 +256,16 @@ def exact_percentiles(
     return result
 
 
-def spread_levels(edges: DataFrame, start: DataFrame, step, max_levels: int = 10_000) -> DataFrame:
-    """Union of `start` and repeated `step(frontier, edges)` until a level is empty.
+def spread_levels(edges: DataFrame, start: DataFrame, step) -> DataFrame:
+    """Union of `start` and repeated `step(frontier, edges)` until a level is empty, however deep that is.
 
     Each level is checkpointed; the driver only learns whether another level is needed.
     """
     edges = cut_lineage(edges)
     frontier = cut_lineage(start)
     levels = [frontier]
-    for _ in range(max_levels):
-        frontier = cut_lineage(step(frontier, edges))
-        if frontier.isEmpty():
-            break
+    while not (frontier := cut_lineage(step(frontier, edges))).isEmpty():
         levels.append(frontier)
-    else:
-        raise ValueError(f"recursion deeper than {max_levels} levels")
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

@@ -183,18 +183,18 @@ def source_fields(spark, sf):
 
 
 cte("projects", """
-SELECT catalog_key, count(*) AS sessions, count(DISTINCT project_key) AS backend_keys, count(*) FILTER (WHERE session_scope = 'main') AS main_sessions,
+SELECT catalog_key, count(*) AS sessions, count(DISTINCT project_key) AS backend_keys, string_agg(DISTINCT project_key, ',' ORDER BY project_key) AS backend_key_list, count(*) FILTER (WHERE session_scope = 'main') AS main_sessions,
   count(*) FILTER (WHERE session_scope = 'subsession') AS subsession_sessions, count(*) FILTER (WHERE session_scope = 'unknown') AS unknown_sessions, bool_or(degraded) AS degraded,
   arg_max_null(cwd, o) AS cwd, arg_max_null(git_branch, o) AS branch, arg_max_null(git_origin_url, o) AS origin
 FROM (SELECT i.*, s.cwd, s.git_branch, s.git_origin_url, c.session_scope, i.project_group AS catalog_key, s.updated_at * 1000000 + s.rk AS o FROM identity i
-  JOIN (SELECT *, row_number() OVER (ORDER BY session_id) AS rk FROM fx_sessions) AS s ON s.session_id = i.session_id JOIN scopes c ON c.session_id = i.session_id) AS p GROUP BY catalog_key""")
+  JOIN (SELECT *, row_number() OVER (ORDER BY session_id DESC) AS rk FROM fx_sessions) AS s ON s.session_id = i.session_id JOIN scopes c ON c.session_id = i.session_id) AS p GROUP BY catalog_key""")
 
 
 def catalog(spark, sf):
     return K.project_catalog(K.with_identity(sessions(spark, sf)))
 
 
-@query("project_catalog", "SELECT catalog_key, sessions, backend_keys, main_sessions, subsession_sessions, unknown_sessions, degraded FROM projects")
+@query("project_catalog", "SELECT catalog_key, sessions, backend_keys, backend_key_list, main_sessions, subsession_sessions, unknown_sessions, degraded FROM projects")
 def project_catalog(spark, sf):
     return catalog(spark, sf).drop("label", "description")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,7 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
+    elif re.match(r"local(\[|$)", context.master):  # one machine; local-cluster has executors of its own
         context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

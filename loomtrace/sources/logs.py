@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
 from loomtrace.operators.catalog import ROLLOUT_NAME
-from loomtrace.operators.normalize import UNPARSED, normalize_session, normalize_stdout, parse_lines
-from loomtrace.operators.ordered import lookup, running_total
+from loomtrace.operators.normalize import UNPARSED, normalize_session, normalize_stdout, parse_lines, subagent_threads
+from loomtrace.operators.ordered import lookup, row_index, running_total
 from loomtrace.session import cut_lineage
 
 # The canonical event row, with what a missing or wrong field becomes.
@@ -77,7 +80,26 @@ def files_of(lines: DataFrame) -> DataFrame:
 
 
 def discover_session_files(spark: SparkSession, path: str) -> DataFrame:
-    return files_of(read_lines(spark, path))
+    """files_of, from the first line of every file alone: lines are compared where they are read, none is moved.
+
+    Files of empty lines are listed with a diagnostic unless their name tells the id; files of no bytes are not seen by
+    Spark's readers.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    listed = reader.format("binaryFile").load(path).select(F.col("path"), F.col("modificationTime").alias("modified"))
+    line = F.regexp_replace("value", r"\r$", "")
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), line.alias("value"), place.alias("place"))
+    first = lines.where(F.col("value") != "").groupBy("path").agg(F.min_by("value", "place").alias("value"))
+    told = listed.select(_plain_path(F.col("path")).alias("at"), F.col("path"), "modified").join(
+        first.select(_plain_path(F.col("path")).alias("at"), "value"), "at", "left"
+    )
+    return files_of(told.select("path", "value", "modified", F.lit(1).alias("seq")))
+
+
+def _plain_path(path: Column) -> Column:
+    """A file's path without its scheme and URL escapes, as different readers write it."""
+    return F.url_decode(F.replace(F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?/*", "/"), F.lit("+"), F.lit("%2B")))
 
 
 def startup_metadata(bronze: DataFrame) -> DataFrame:
@@ -112,15 +134,26 @@ def scan_event_log(spark: SparkSession, path: str) -> DataFrame:
 def scan_event_array(spark: SparkSession, path: str) -> DataFrame:
     """Files that hold one JSON array (a trailing comma is forgiven) or one row per line.
 
-    An array file is one JSON value, so it is read whole; line files keep being split.
+    A file is an array when its first character that is not blank is `[`. An array file is one JSON value, so it is read
+    whole; line files are split and never loaded whole. The driver learns the paths of array files. A malformed array
+    gives one unparsed row with the file's text.
     """
-    # Fixed value: the lead that tells an array from lines.
-    whole = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"^\s*\["))
-    text = F.regexp_replace("value", r",\s*\]\s*$", "]")
-    items = whole.select(F.explode(F.try_variant_get(J.parse(text), "$", "array<variant>")).alias("tree"))
-    arrays = items.where(J.is_object(F.col("tree"))).select(*_canonical(F.col("tree")))
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*\["))
-    return arrays.unionByName(canonical_rows(lines))
+    lead = F.substring(F.trim(F.translate("value", "\t\r", "  ")), 1, 1)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), lead.alias("lead"), place.alias("place"))
+    leads = lines.where(F.col("lead") != "").groupBy("path").agg(F.min_by("lead", "place").alias("c"))
+    # Fixed value: the character that tells an array from lines.
+    kinds = {r["path"]: r["c"] == "[" for r in leads.collect()}
+    arrays, others = ([unquote(p) for p, is_array in kinds.items() if is_array is kind] for kind in (True, False))
+    empty = spark.createDataFrame([], "value string")
+    rows = canonical_rows(spark.read.text(others) if others else empty)
+    if not arrays:
+        return rows
+    whole = spark.read.text(arrays, wholetext=True).withColumn("tree", J.parse(F.regexp_replace("value", r",\s*\]\s*$", "]")))
+    items = whole.select("value", F.try_variant_get("tree", "$", "array<variant>").alias("items"))
+    good = items.select(F.explode("items").alias("tree")).where(J.is_object(F.col("tree"))).select(*_canonical(F.col("tree")))
+    bad = items.where(F.col("items").isNull()).select(F.parse_json(F.to_json(F.struct(F.lit("unparsed").alias("parse_status"), F.struct(F.col("value").alias("raw_line")).alias("payload")))).alias("tree"))
+    return rows.unionByName(good).unionByName(bad.select(*_canonical(F.col("tree"))))
 
 
 RUN_PATH = r"([^/]+)/runs/[^/]*?--([^/]+)/"
@@ -166,15 +199,38 @@ def replay(stdout_events: DataFrame, errors: DataFrame, agent_events: DataFrame,
     return stdout_events.unionByName(errors, allowMissingColumns=True).unionByName(children, allowMissingColumns=True)
 
 
+def in_replay_order(stdout_events: DataFrame, errors: DataFrame, children: DataFrame) -> DataFrame:
+    """Events of runs numbered from 1: each stdout line, behind it the logs of the agents it is the first to name (by
+    thread id), stderr last. Logs of agents that no line names are left out; a child without a parent takes the thread
+    that stdout was in.
+    """
+    named = subagent_threads(stdout_events).select("run_id", F.col("thread_id").alias("session_id"), F.col("first_seq").alias("anchor"))
+    spoke = stdout_events.select("run_id", F.col("seq").alias("anchor"), F.col("thread_id").alias("speaker"))
+    named = named.join(spoke, ["run_id", "anchor"], "left")
+    kids = lookup(children, named, ["run_id", "session_id"], "seq", how="inner")
+    kids = kids.withColumn("parent_thread_id", F.coalesce("parent_thread_id", "speaker")).drop("speaker")
+    last = F.lit(1 << 40)
+    parts = [
+        stdout_events.withColumns({"anchor": F.col("seq"), "rank": F.lit(0), "who": F.lit("")}),
+        kids.withColumns({"rank": F.lit(1), "who": F.col("session_id")}),
+        errors.withColumns({"anchor": last + F.col("seq"), "rank": F.lit(2), "who": F.lit("")}),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    placed = row_index(every, ["run_id"], F.floor(F.col("anchor") / 1000), [F.col(c) for c in ("anchor", "rank", "who", "seq")], "at")
+    return placed.withColumn("seq", F.col("at") + 1).drop("anchor", "rank", "who", "at")
+
+
 def replay_run_dir(spark: SparkSession, path: str) -> DataFrame:
-    """All events of the run folders below a path: stdout, sub-agent logs and stderr."""
+    """All events of the run folders below a path, in replay order: stdout, sub-agent logs and stderr."""
     stdout = cut_lineage(run_lines(spark, path, "stdout.jsonl"))
     errors = stderr_events(run_lines(spark, path, "stderr.log"), stdout)
     agents = run_lines(spark, path, "*.jsonl").where(F.col("path").contains("/subagents/"))
     agents = agents.withColumn("session_id", F.regexp_replace(file_name(F.col("path")), r"\.jsonl$", ""))
     owners = agents.select("session_id", F.col("run_id").alias("owner_run"), F.col("task_id").alias("owner_task")).distinct()
     children = normalize_session(cut_lineage(parse_lines(agents)))
-    return replay(normalize_stdout(stdout), errors, children, owners)
+    children = lookup(children.drop("run_id", "task_id"), owners, ["session_id"], "seq", how="inner")
+    children = children.withColumnsRenamed({"owner_run": "run_id", "owner_task": "task_id"})
+    return in_replay_order(cut_lineage(normalize_stdout(stdout)), errors, children)
 
 
 def index_rows(lines: DataFrame) -> DataFrame:
@@ -213,12 +269,29 @@ def scan_thread_catalog(spark: SparkSession, path: str, **jdbc: str) -> DataFram
 
 
 def collect_receiver_ids(rows: DataFrame, value: str = "payload_text") -> DataFrame:
-    """Thread ids any `receiver_thread_ids` list names, at any depth and inside JSON strings, sorted.
+    """Thread ids any `receiver_thread_ids` list names, at any depth and inside strings that are JSON, sorted.
 
-    The JSON text is searched after its escapes are taken out, so nesting does not matter.
+    Values are opened level by level. Every level takes an opening bracket or a quote, so their number bounds the walk; rows
+    that nowhere hold the key are not opened.
     """
-    flat = F.regexp_replace(F.col(value), r"\\+", "")
-    lists = F.regexp_extract_all(flat, F.lit(r'"receiver_thread_ids"\s*:\s*\[([^\]]*)\]'), 1)
-    names = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r'"([^"]*)"'), 1)))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda n: X.strip(n)), lambda n: n != "")))
-    return rows.withColumn("receivers", ids)
+    text = F.col(value)
+    none = F.array().cast("array<variant>")
+
+    def opened(x: Column) -> Column:
+        inside = J.parse(F.try_variant_get(x, "$", "string"))
+        return (
+            F.when(J.is_object(x), F.map_values(F.try_variant_get(x, "$", "map<string,variant>")))
+            .when(J.kind(x).startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>"))
+            .when((J.kind(x) == "STRING") & inside.isNotNull(), F.array(inside))
+            .otherwise(none)
+        )
+
+    def step(acc: Column, _: Column) -> Column:
+        named = F.flatten(F.transform(acc["open"], lambda x: F.coalesce(F.when(J.is_object(x), J.texts(x, "$.receiver_thread_ids")), F.array().cast("array<string>"))))
+        return F.struct(F.flatten(F.transform(acc["open"], opened)).alias("open"), F.concat(acc["ids"], named).alias("ids"))
+
+    start = F.struct(F.array_compact(F.array(J.parse(text))).alias("open"), F.array().cast("array<string>").alias("ids"))
+    levels = F.sequence(F.lit(0), F.length(text) - F.length(F.translate(text, '[{"', "")))
+    found = F.when(text.contains("receiver_thread_ids"), F.aggregate(levels, start, step)["ids"])
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda n: X.strip(n)), lambda n: n != "")))
+    return rows.withColumn("receivers", F.coalesce(ids, F.array().cast("array<string>")))

@@ -7,8 +7,8 @@ updated per operation, and session metrics are rebuilt for the sessions a batch
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +23,6 @@ from loomtrace.sources import metrics_store
 from loomtrace.sources.logs import file_name
 
 POLL = "2500 milliseconds"
-DEDUP_KEYS = 128
 CHUNK = r"^(.*\.jsonl)(?:\.(\d+))?$"
 
 
@@ -36,16 +35,19 @@ def event_key(ts: Column, raw_type: Column, value: Column) -> Column:
 def tail_lines(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Stream of lines from landed chunk files `rollout-…-<id>.jsonl.<n>`, with chunk and place.
 
-    A chunk is what one poll found appended, so it is read as one value and split in order.
+    A chunk is what one poll found appended, so it is read as one value and split in order. Empty lines are not numbered,
+    lines of blanks are, as in a batch. A chunk has to end with a line's end; one that does not fails the stream.
     """
     reader = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger)
     name = file_name(F.col("_metadata.file_path"))
-    chunks = reader.text(path, wholetext=True).select(
+    # a line that is still being written belongs to the next chunk
+    whole = F.when(F.col("value").endswith("\n"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("chunk ends inside a line: "), name)))
+    chunks = reader.text(path, wholetext=True).withColumn("value", whole).select(
         rollout_id(F.regexp_extract(name, CHUNK, 1)).alias("session_id"),
         F.coalesce(F.regexp_extract(name, CHUNK, 2).try_cast("bigint"), F.lit(0)).alias("chunk"),
         F.posexplode(F.split("value", "\r?\n")).alias("place", "value"),
     )
-    return chunks.where(F.trim("value") != "").withColumn("place", F.col("place").cast("bigint"))
+    return chunks.where(F.col("value") != "").withColumn("place", F.col("place").cast("bigint"))
 
 
 def with_tail_columns(lines: DataFrame) -> DataFrame:
@@ -65,7 +67,8 @@ def with_tail_columns(lines: DataFrame) -> DataFrame:
 
 
 TAIL_SCHEMA = "session_id string, seq bigint, chunk bigint, place bigint, value string, parent_thread_id string, is_reset boolean"
-TAIL_STATE = "next_seq bigint, chunk bigint, parent string, keys string"
+TAIL_STATE = "next_seq bigint, chunk bigint, parent string, keys binary"
+KEY_BYTES = 8
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -73,27 +76,26 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def _tail_session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Number the new lines of one session and carry its parent and recent keys.
+    """Number the new lines of one session and carry its parent and a digest of every line told.
 
     A chunk number that falls back means the file was replaced: numbering starts again and lines
-    whose key is among the recent ones are not told twice.
+    that were told before are not told twice, however long ago.
     """
-    next_seq, last_chunk, parent, keys = state.get if state.exists else (1, -1, None, "[]")
-    keys = json.loads(keys)
+    next_seq, last_chunk, parent, keys = state.get if state.exists else (1, -1, None, b"")
+    told = {keys[i : i + KEY_BYTES] for i in range(0, len(keys), KEY_BYTES)}
     rows = _in_order(batches)
     replaced = last_chunk >= 0 and int(rows["chunk"].min()) <= last_chunk
     if replaced:
         next_seq, parent = 1, None
-    recent = set(keys) if replaced else set()
-    out = []
-    for row in rows.itertuples(index=False):
-        parent = row.own_parent or parent
-        if row.key not in recent:
-            out.append((key[0], next_seq, row.chunk, row.place, row.value, parent, replaced))
-        next_seq += 1
-        keys = (keys + [row.key])[-DEDUP_KEYS:]
-    state.update((next_seq, int(rows["chunk"].max()), parent, json.dumps(keys)))
-    yield pd.DataFrame(out, columns=["session_id", "seq", "chunk", "place", "value", "parent_thread_id", "is_reset"])
+    digests = [blake2b(k.encode(), digest_size=KEY_BYTES).digest() for k in rows["key"]]
+    parents = rows["own_parent"].replace("", None).ffill().fillna(parent) if parent else rows["own_parent"].replace("", None).ffill()
+    out = pd.DataFrame({
+        "session_id": key[0], "seq": range(next_seq, next_seq + len(rows)), "chunk": rows["chunk"], "place": rows["place"],
+        "value": rows["value"], "parent_thread_id": parents, "is_reset": replaced,
+    })
+    last = parents.iloc[-1]
+    state.update((next_seq + len(rows), int(rows["chunk"].max()), last if isinstance(last, str) else None, b"".join(told | set(digests))))
+    yield out[[not (replaced and d in told) for d in digests]]
 
 
 def tail_session(lines: DataFrame) -> DataFrame:
@@ -128,12 +130,15 @@ def stream_call_names(lines: DataFrame) -> DataFrame:
     )
 
 
-def stream_dedup(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop re-landed lines of a session; the watermark bounds how long a key is remembered.
+def stream_dedup(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Drop re-landed lines of a session, whenever they come; no line is late.
 
-    `events` has session_id, event_time, ts, raw_type and value.
+    `events` has session_id, event_time, ts, raw_type and value. A caller who knows that nothing lands again after some
+    time may give a `delay`: keys are then forgotten behind that watermark.
     """
     keyed = events.withColumn("key", event_key(F.col("ts"), F.col("raw_type"), F.col("value")))
+    if delay is None:
+        return keyed.dropDuplicates(["session_id", "key"])
     return keyed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["session_id", "key"])
 
 

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from loomtrace.operators.normalize import normalize_session, parse_lines
+from loomtrace.operators.normalize import normalize_session, normalize_stdout, parse_lines
 from loomtrace.session import cut_lineage
 from loomtrace.sources import logs as L
 from loomtrace.sources import metrics_store as S
@@ -73,14 +73,17 @@ def test_run_folder_replay(spark, tmp_path):
     write(tmp_path / "task-a" / "task.json", [{"task_id": "T1"}])
     write(run / "stdout.jsonl", [
         {"type": "thread.started", "thread_id": "main"},
+        {"type": "item.completed", "item": {"type": "collab_tool_call", "id": "i0", "tool": "spawn_agent", "receiver_thread_ids": ["kid"]}},
         {"type": "item.completed", "item": {"type": "command_execution", "id": "i1", "command": "ls", "status": "completed", "exit_code": 0}},
     ])
+    write(run / "subagents" / "nobody.jsonl", [record("session_meta", {"id": "nobody"})])
     write(run / "stderr.log", ["warn one", "warn two"])
     write(run / "subagents" / "kid.jsonl", [record("session_meta", {"id": "kid"}), record("event_msg", {"type": "task_started", "turn_id": "t"})])
     rows = [(r.run_id, r.task_id, r.seq, r.event_type, r.thread_id) for r in L.replay_run_dir(spark, str(tmp_path)).collect()]
     assert sorted(rows, key=str) == sorted([
-        ("r1", "T1", 1, "thread.started", "main"), ("r1", "T1", 2, "shell.result", "main"), ("r1", "T1", 3, "stderr.line", None),
-        ("r1", "T1", 4, "stderr.line", None), ("r1", "T1", 1, "agent.session", "kid"), ("r1", "T1", 2, "task.started", "kid"),
+        ("r1", "T1", 1, "thread.started", "main"), ("r1", "T1", 2, "collab.spawn_agent", "main"), ("r1", "T1", 3, "agent.session", "kid"),
+        ("r1", "T1", 4, "task.started", "kid"), ("r1", "T1", 5, "shell.result", "main"), ("r1", "T1", 6, "stderr.line", None),
+        ("r1", "T1", 7, "stderr.line", None),
     ], key=str)
 
 
@@ -91,6 +94,63 @@ def test_event_arrays_and_lines(spark, tmp_path, text):
     assert sorted((r.seq, r.event_type, r.payload.toJson()) for r in rows) == [(1, "raw.unparsed", '{"a":1}'), (2, "raw.unparsed", "{}")]
 
 
+def test_array_file_without_last_comma(spark, tmp_path):
+    (tmp_path / "a b+c.json").write_text('\n [\n{"seq":1},\n{"seq":2}\n]\n')
+    (tmp_path / "lines.json").write_text('{"seq":3}\n[4]\n')
+    (tmp_path / "broken.json").write_text('[{"seq":5},')
+    rows = L.scan_event_array(spark, str(tmp_path)).collect()
+    assert sorted((r.seq, r.parse_status) for r in rows) == [(0, "unparsed"), (1, "parsed"), (2, "parsed"), (3, "parsed")]
+
+
+def test_files_without_lines_are_found(spark, tmp_path):
+    write(tmp_path / "blank x.jsonl", ["", ""])
+    write(tmp_path / "rollout-2026-04-07T10-00-00-s.jsonl", ["", json.dumps(record("session_meta", {"id": "s"}))])
+    rows = {r.session_ref.split("/")[-1]: (r.session_id, r.diagnostic) for r in L.discover_session_files(spark, str(tmp_path)).collect()}
+    missing = (None, "session id not found")
+    assert rows == {"blank x.jsonl": missing, "rollout-2026-04-07T10-00-00-s.jsonl": ("s", None)}
+
+
+def test_receivers_are_read_from_json_only(spark):
+    inner = json.dumps({"receiver_thread_ids": ["deep", 7]})
+    payload = {"text": 'prose "receiver_thread_ids": ["ghost"]', "x": [{"y": {"receiver_thread_ids": ["a]b", " ok ", ""]}}], "z": json.dumps({"q": inner})}
+    rows = spark.createDataFrame([(json.dumps(payload),), ("{broken",), (None,), ("{}",)], "payload_text string")
+    assert sorted(r.receivers for r in L.collect_receiver_ids(rows).collect()) == [[], [], [], ["a]b", "deep", "ok"]]
+
+
+def test_items_are_unwrapped_at_any_depth(spark):
+    item = {"type": "command_execution", "id": "i", "command": "ls"}
+    for kind in ("item.completed", "item.updated", "item.started", "item.completed"):
+        item = {"type": kind, "item": item}
+    lines = spark.createDataFrame([("r", "t", 1, json.dumps(item), "2026-04-07T10:00:00Z")], "run_id string, task_id string, seq bigint, value string, read_at string")
+    row = normalize_stdout(lines).first()
+    assert (row.operation_id, row.event_type) == ("i", "shell.result")
+
+
+def test_nothing_is_too_late_for_dedup(spark, tmp_path):
+    schema = "session_id string, event_time timestamp, ts string, raw_type string, value string"
+    for i, hour in enumerate((10, 11, 8, 8)):
+        row = (("s", f"2026-04-07 {hour:02d}:00:00", "t", "k", f"line {hour}"),)
+        spark.createDataFrame(row, "session_id string, event_time string, ts string, raw_type string, value string").selectExpr(
+            "session_id", "CAST(event_time AS timestamp) AS event_time", "ts", "raw_type", "value"
+        ).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        told = drain(spark, T.stream_dedup(stream), tmp_path / "out")
+    assert sorted(r.value for r in told) == ["line 10", "line 11", "line 8"]
+
+
+def test_a_replaced_file_is_not_told_again(spark, tmp_path):
+    name = "rollout-2026-04-07T10-00-00-s.jsonl"
+    lines = [f"line {i}" for i in range(300)] + ["  "]
+    write(tmp_path / "in" / f"{name}.1", lines)
+    read = lambda: drain(spark, T.tail_session(T.tail_lines(spark, str(tmp_path / "in"))), tmp_path / "out")
+    assert len(read()) == 301
+    write(tmp_path / "in" / "again" / f"{name}.1", [*lines, "new"])
+    assert [(r.seq, r.value) for r in read() if r.is_reset] == [(302, "new")]
+    (tmp_path / "in" / f"{name}.2").write_text("half a li")
+    with pytest.raises(Exception, match="inside a line"):
+        read()
+
+
 def test_upsert_keeps_one_current_row(spark, tmp_path):
     path = str(tmp_path / "store")
     S.upsert(spark, path, spark.createDataFrame([("a", 1), ("b", 1)], "session_id string, n int"), buckets=4)
