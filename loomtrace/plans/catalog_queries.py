@@ -38,7 +38,9 @@ def index(spark, sf):
 
 
 def state(spark, sf):
-    threads = sessions(spark, sf).where(F.col("tokens_used").isNotNull())
+    # sessions without tokens stand in the catalog under an id that no file has, so each place is asked
+    named = F.when(F.col("tokens_used").isNull(), F.concat("session_id", F.lit("-old"))).otherwise(F.col("session_id"))
+    threads = sessions(spark, sf).withColumn("session_id", named)
     return K.from_state(threads.select("*", F.col("session_id").alias("id"), F.concat(F.lit("sessions/b/rollout-2026-04-08T10-00-00-"), "session_id", F.lit(".jsonl")).alias("rollout_path"), F.lit(0).alias("archived")))
 
 
@@ -86,9 +88,9 @@ def duplicate_files(spark, sf):
 
 
 cte("state_rows", """
-SELECT session_id, concat('sessions/b/rollout-2026-04-08T10-00-00-', session_id, '.jsonl') AS session_ref, coalesce(nullif(trim(title), ''), first_user_message, agent_nickname) AS thread_name,
+SELECT CASE WHEN tokens_used IS NULL THEN s.session_id || '-old' ELSE s.session_id END AS session_id, concat('sessions/b/rollout-2026-04-08T10-00-00-', CASE WHEN tokens_used IS NULL THEN s.session_id || '-old' ELSE s.session_id END, '.jsonl') AS session_ref, coalesce(nullif(trim(title), ''), first_user_message, agent_nickname) AS thread_name,
   CASE WHEN trim(title) <> '' THEN 'title' WHEN first_user_message IS NOT NULL THEN 'first_user_message' WHEN agent_nickname IS NOT NULL THEN 'agent_nickname' END AS name_source,
-  updated_at, model, tokens_used, cwd, agent_role FROM fx_sessions WHERE tokens_used IS NOT NULL""")
+  updated_at, model, tokens_used, cwd, agent_role FROM fx_sessions AS s""")
 
 
 @query("list_indexed_sessions", """
@@ -162,9 +164,9 @@ def project_identity(spark, sf):
 
 
 @query("normalize_path", """
-SELECT session_id, replace(cwd, '/./sub/..', '') AS path, concat('/root/', replace(replace(cwd, '/./sub/..', ''), '/home/u/', '')) AS home_path FROM fx_sessions WHERE cwd IS NOT NULL""")
+SELECT session_id, replace(cwd, '/./sub/..', '') AS path, ('/root/' || replace(replace(cwd, '/./sub/..', ''), '/home/u/', '')) AS home_path FROM fx_sessions""")
 def normalize_path(spark, sf):
-    rows = sessions(spark, sf).where(F.col("cwd").isNotNull())
+    rows = sessions(spark, sf)
     tilde = F.regexp_replace("cwd", "^/home/u/", "~/x/../")
     return rows.select("session_id", K.normalize_path(F.col("cwd")).alias("path"), K.normalize_path(tilde, "/root").alias("home_path"))
 
@@ -221,13 +223,13 @@ def latest_event(spark, sf):
 
 
 cte("reach", """
-SELECT session_id AS root, session_id, [session_id] AS way FROM fx_sessions WHERE source = 'cli'
+SELECT session_id AS root, session_id, [session_id] AS way FROM fx_sessions
 UNION ALL SELECT r.root, e.child, list_append(r.way, e.child) FROM reach r JOIN fx_edges e ON e.parent = r.session_id WHERE NOT list_contains(r.way, e.child)""")
 cte("linked", "SELECT root, session_id, min(way) AS way FROM reach GROUP BY root, session_id")
 
 
 def linked(spark, sf):
-    roots = sessions(spark, sf).where(F.col("source") == "cli").select(F.col("session_id").alias("root"))
+    roots = sessions(spark, sf).select(F.col("session_id").alias("root"))
     return K.linked_sessions(roots, fixtures.view(spark, sf, "fx_edges"))
 
 

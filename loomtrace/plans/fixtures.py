@@ -214,7 +214,7 @@ UNION ALL SELECT session_id, concat('sessions/b/rollout-2026-04-08T10-00-00-', s
 
 FX_INDEX = """
 SELECT seq, CASE WHEN v % 31 = 0 THEN concat('bad line ', CAST(k AS VARCHAR(20))) ELSE concat('{"', CASE WHEN v % 2 = 0 THEN 'id' ELSE 'session_id' END, '":"', session_id,
-  '","thread_name":"', CASE WHEN k % 5 = 0 THEN ' ' ELSE concat('name ', CAST(k AS VARCHAR(20))) END, '","updated_at":"', substr(ts, 1, 10), '"}') END AS value FROM base WHERE et = 'signup'
+  '","thread_name":"', CASE WHEN k % 5 = 0 THEN ' ' ELSE concat('name ', CAST(k AS VARCHAR(20))) END, '","updated_at":"', substr(ts, 1, 10), '"}') END AS value FROM base
 """
 
 FX_EDGES = """

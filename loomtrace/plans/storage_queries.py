@@ -99,7 +99,7 @@ def scan_event_array(spark, sf):
     return canonical_out(L.scan_event_array(spark, path))
 
 
-STDERR = "SELECT run_id, 'task1' AS task_id, k, v, seq AS at, read_at FROM fx_stdout WHERE v % 10 = 0"
+STDERR = "SELECT run_id, 'task1' AS task_id, k, v, seq AS at, read_at FROM fx_stdout"
 cte("err_rows", f"""
 SELECT e.run_id, row_number() OVER (PARTITION BY e.run_id ORDER BY e.at) + m.last_seq AS seq, 'stderr.line' AS event_type, 'stderr ' || e.k AS text
 FROM ({STDERR}) AS e JOIN (SELECT run_id, max(seq) AS last_seq FROM fx_stdout GROUP BY run_id) AS m ON m.run_id = e.run_id""")
@@ -108,7 +108,7 @@ FROM ({STDERR}) AS e JOIN (SELECT run_id, max(seq) AS last_seq FROM fx_stdout GR
 def stderr_lines(spark, sf):
     from loomtrace.operators.ordered import row_index
 
-    rows = fixtures.stdout_lines(spark, sf).where(F.col("v") % 10 == 0)
+    rows = fixtures.stdout_lines(spark, sf)
     numbered = row_index(rows, ["run_id"], F.floor(F.col("seq") / 100_000), [F.col("seq")], "at")
     return numbered.select("run_id", "task_id", (F.col("at") + 1).alias("seq"), "read_at", F.concat(F.lit("stderr "), F.col("k").cast("string")).alias("value"))
 
@@ -130,8 +130,9 @@ def scan_run_dir(spark, sf):
 @query("scan_thread_catalog", "SELECT session_id, thread_name, name_source, updated_at, tokens_used, model FROM state_rows")
 def scan_thread_catalog(spark, sf):
     path = shared_folder(spark, "threads")
-    rows = fixtures.sessions(spark, sf).where(F.col("tokens_used").isNotNull())
-    rows.select("*", F.col("session_id").alias("id"), F.lit(None).cast("string").alias("rollout_path"), F.lit(0).alias("archived")).write.parquet(path)
+    rows = fixtures.sessions(spark, sf)
+    named = F.when(F.col("tokens_used").isNull(), F.concat("session_id", F.lit("-old"))).otherwise(F.col("session_id"))
+    rows.select("*", named.alias("id"), F.lit(None).cast("string").alias("rollout_path"), F.lit(0).alias("archived")).write.parquet(path)
     state = K.from_state(L.scan_thread_catalog(spark, path))
     return state.select("session_id", "thread_name", "name_source", F.unix_seconds("updated_at").alias("updated_at"), "tokens_used", "model")
 
