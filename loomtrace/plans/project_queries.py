@@ -30,8 +30,8 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def build_metrics(spark, sf):
-    rows = events(spark, sf)
+def build_metrics(spark, sf, rows=None):
+    rows = events(spark, sf) if rows is None else rows
     catalog = metric_sessions(spark, sf)
     made = M.session_metrics(rows, O.project_operations(rows), catalog)
     group = F.coalesce(F.concat(F.lit("cwd:"), F.col("project_cwd")), F.col("project_key"))

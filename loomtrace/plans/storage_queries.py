@@ -7,14 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from loomtrace.functions import json as J
+from loomtrace.functions.covered import flatten_covered
 from loomtrace.operators import catalog as K
 from loomtrace.operators import operations as O
 from loomtrace.operators import session_metrics as M
+from loomtrace.operators.columns import EVENT_COLUMNS
+from loomtrace.operators.projects import project_rollup
 from loomtrace.plans import fixtures
 from loomtrace.plans.log_queries import silver
 from loomtrace.plans.metrics_queries import OPS_COLUMNS, events, metric_sessions
 from loomtrace.plans.oracle import cte
-from loomtrace.plans.project_queries import metrics
+from loomtrace.plans.project_queries import COVERED, DOCUMENT, ROLLUP_BODY, build_metrics, metrics
 from loomtrace.session import cut_lineage, ensure_checkpoint_dir
 from loomtrace.sources import logs as L
 from loomtrace.sources import metrics_store as S
@@ -99,6 +102,38 @@ def scan_event_array(spark, sf):
     return canonical_out(L.scan_event_array(spark, path))
 
 
+def logged_events(spark, sf):
+    """Flat events read back from canonical log lines that hold the event table."""
+    rows = fixtures.log_events(spark, sf)
+    top = [c for c in ("ts", "seq", "event_type", "raw_type", "parse_status", "task_id") if c in rows.columns]
+    rest = [c for c in EVENT_COLUMNS if c in rows.columns and c not in ("artifact_path", "run_id", "source", *top)]
+    # half of the artefacts stand under the other name
+    other = F.col("v") % 2 == 0
+    paths = [F.when(~other, F.col("artifact_path")).alias("artifact_path"), F.when(other, F.col("artifact_path")).alias("path")]
+    line = F.to_json(F.struct(*top, F.col("session_id").alias("run_id"), F.struct(*rest, *paths).alias("payload")))
+    path = shared_folder(spark, "events")
+    rows.select(line.alias("value")).write.text(path)
+    return cut_lineage(L.flat_events(L.scan_event_log(spark, path)).drop("payload"))
+
+
+@query("event_log_session_detail", f"SELECT {', '.join([*DOCUMENT, *[c + '_coverage' for c in COVERED]])} FROM metrics")
+def event_log_session_detail(spark, sf):
+    return flatten_covered(build_metrics(spark, sf, logged_events(spark, sf)).select(*DOCUMENT))
+
+
+@query("event_log_project_rollup", f"SELECT project_key, count(*) AS sessions, {ROLLUP_BODY} FROM metrics GROUP BY project_key")
+def event_log_project_rollup(spark, sf):
+    return flatten_covered(project_rollup(build_metrics(spark, sf, logged_events(spark, sf))))
+
+
+@query("event_log_task_outcome", "SELECT * FROM task_outcomes")
+def event_log_task_outcome(spark, sf):
+    from loomtrace.operators import tasks
+
+    found = tasks.task_outcome(tasks.task_intervals(logged_events(spark, sf)))
+    return found.select("session_id", "started_seq", "outcome", "outcome_coverage", "error_type")
+
+
 STDERR = "SELECT run_id, 'task1' AS task_id, k, v, seq AS at, read_at FROM fx_stdout"
 cte("err_rows", f"""
 SELECT e.run_id, row_number() OVER (PARTITION BY e.run_id ORDER BY e.at) + m.last_seq AS seq, 'stderr.line' AS event_type, 'stderr ' || e.k AS text

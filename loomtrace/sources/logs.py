@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
 from loomtrace.operators.catalog import ROLLOUT_NAME
+from loomtrace.operators.columns import EVENT_COLUMNS
 from loomtrace.operators.normalize import UNPARSED, normalize_session, normalize_stdout, parse_lines, subagent_threads
 from loomtrace.operators.ordered import lookup, row_index, running_total
 from loomtrace.session import cut_lineage
@@ -131,6 +132,28 @@ def scan_event_log(spark: SparkSession, path: str) -> DataFrame:
     return canonical_rows(spark.read.text(path))
 
 
+# Payload fields that tell what a started task is about, the first with text wins.
+TASK_TEXT = ["title", "task", "prompt", "message", "summary"]
+
+
+def flat_events(canonical: DataFrame) -> DataFrame:
+    """The flat rows operators read, from canonical events with their payload.
+
+    A field is taken when it has the column's type. `artifact_path` falls back to `path` where it is absent, a started
+    task's title to the other texts that describe it; the session is the payload's, else the run.
+    """
+    payload = F.col("payload")
+    kept = {"run_id", "task_id", "seq", "ts", "event_type", "raw_type", "parse_status", "source"}
+    get = {"string": J.text, "bigint": J.whole, "int": lambda t, p: J.whole(t, p).cast("int"), "array<string>": J.texts}
+    fields = {c: get[kind](payload, f"$.{c}") for c, kind in EVENT_COLUMNS.items() if c not in kept}
+    fields["session_id"] = F.coalesce(J.clean(payload, "$.session_id"), "run_id")
+    path = F.when(J.node(payload, "$.artifact_path").isNull(), J.text(payload, "$.path"))
+    fields["artifact_path"] = F.coalesce(fields["artifact_path"], path)
+    about = F.coalesce(*[J.clean(payload, f"$.{name}") for name in TASK_TEXT])
+    fields["title"] = F.when(F.col("event_type") == "task.started", about).otherwise(fields["title"])
+    return canonical.select(*[F.col(c) for c in sorted(kept)], *[value.alias(c) for c, value in fields.items()], "payload")
+
+
 def scan_event_array(spark: SparkSession, path: str) -> DataFrame:
     """Files that hold one JSON array (a trailing comma is forgiven) or one row per line.
 

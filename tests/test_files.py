@@ -94,6 +94,18 @@ def test_event_arrays_and_lines(spark, tmp_path, text):
     assert sorted((r.seq, r.event_type, r.payload.toJson()) for r in rows) == [(1, "raw.unparsed", '{"a":1}'), (2, "raw.unparsed", "{}")]
 
 
+def test_canonical_log_to_flat_events(spark, tmp_path):
+    line = lambda kind, **payload: {"seq": 1, "run_id": "r", "event_type": kind, "payload": payload}
+    write(tmp_path / "e.jsonl", [
+        line("task.started", title=" ", prompt="do it", summary="s"), line("file.change", path="x/review.md"), line("file.change", artifact_path=None, path="y"),
+        line("shell.call", title="t", total_tokens="7", input_tokens=7, receiver_thread_ids=["a", 1]),
+    ])
+    rows = L.flat_events(L.scan_event_log(spark, str(tmp_path))).collect()
+    assert [(r.session_id, r.title, r.artifact_path, r.total_tokens, r.input_tokens, r.receiver_thread_ids) for r in rows] == [
+        ("r", "do it", None, None, None, None), ("r", None, "x/review.md", None, None, None), ("r", None, None, None, None, None), ("r", "t", None, None, 7, ["a"]),
+    ]
+
+
 def test_array_file_without_last_comma(spark, tmp_path):
     (tmp_path / "a b+c.json").write_text('\n [\n{"seq":1},\n{"seq":2}\n]\n')
     (tmp_path / "lines.json").write_text('{"seq":3}\n[4]\n')
