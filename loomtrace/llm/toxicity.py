@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,19 +30,33 @@ ODDS = 4.0  # least log odds of a toxic landmark
 APART = 0.4  # the largest kernel between two landmarks
 ALPHABET = 63
 TOKEN = re.compile(r"[^\W_]+")
-SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")  # single characters one after another
-BROKEN = re.compile(r"[^\W_]+(?:(?:[^\w\s]|_)+[^\W_]+)+")  # marks inside a word
-SENTENCE = re.compile(r"[.!?\n]+")
+ENDS = re.compile(r"[.!?]")
 CACHED = 300_000
 PIECE = 20_000
 TOGETHER = 500_000  # characters whose strings are looked up at once
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence in lower case; a word that is spelled out or broken by marks is a sentence of its own."""
-    text = text.lower()
-    spelled = [["".join(TOKEN.findall(x))] for x in SPELLED.findall(text) + BROKEN.findall(text)]
-    return [w for w in map(TOKEN.findall, SENTENCE.split(text)) if w] + spelled
+def tokens_of(text: str) -> list[str]:
+    """What blanks separate, in lower case; a line's end is a token that ends a sentence."""
+    return text.lower().replace("\n", " . ").split()
+
+
+def strings(token: str) -> list[str]:
+    """The words of a token, and what they are together when marks break it."""
+    found = TOKEN.findall(token)
+    return found if len(found) < 2 else [*found, "".join(found)]
+
+
+def spelled(tokens: list[str], known: set[str]) -> list[str]:
+    """Words that three or more tokens of one character each, one after another, spell out. known: the distinct tokens."""
+    single = {t: f[0] for t in known if len(t) < 5 and len(f := TOKEN.findall(t)) == 1 and len(f[0]) == 1}
+    out, run, last = [], [], -2
+    for i in [i for i, t in enumerate(tokens) if t in single] if single else []:
+        if i != last + 1:
+            out, run = [*out, run], []
+        run.append(single[tokens[i]])
+        last = i
+    return ["".join(x) for x in [*out, run] if len(x) > 2]
 
 
 def family(words: list[str]) -> int:
@@ -132,32 +148,56 @@ class Model:
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks, self.weights, self.bias, self.slope, self.shift = landmarks, np.zeros(len(landmarks.words)), 0.0, 0.0, 0.0
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty what was looked up: kernels of strings and of tokens, and the tokens that end a sentence."""
         self.known: dict[str, np.ndarray | None] = {}
+        self.rows: dict[str, np.ndarray | None] = {}
+        self.ends: set[str] = set()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+    def learn(self, words: list[str]) -> None:
+        """Kernels of strings that were not seen before."""
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
         self.known.update(dict.fromkeys(new))
         at, rows = self.landmarks.similar(new)
         self.known.update((new[i], row) for i, row in zip(at.tolist(), rows))
 
+    def largest(self, words: list[str]) -> np.ndarray | None:
+        near = [r for r in map(self.known.get, words) if r is not None]
+        return None if not near else near[0] if len(near) == 1 else np.max(near, axis=0)
+
     def kernels(self, texts: Iterator[str]) -> Iterator[np.ndarray]:
-        """Per text a row for each sentence with a string near a landmark: the largest kernel of its strings with each."""
+        """Per text a row for each sentence with a string near a landmark: the largest kernel of its strings with each.
+
+        A word that is spelled out in single characters is a sentence of its own.
+        """
         for part in self._parts(texts):
-            self.learn({w for text in part for words in text for w in words})
-            known = self.known
-            for text in part:
-                near = [[known[w] for w in words if known[w] is not None] for words in text]
-                rows = [np.max(x, axis=0) if len(x) > 1 else x[0] for x in near if x]
-                yield np.array(rows, np.float32).reshape(len(rows), len(self.weights))
+            if len(self.known) > CACHED or len(self.rows) > CACHED:
+                self.forget()
+            sets = [set(tokens) for tokens in part]
+            apart = [spelled(tokens, known) for tokens, known in zip(part, sets)]
+            new = {t: strings(t) for t in set().union(*sets) if t not in self.rows}
+            self.learn([w for words in [*new.values(), *apart] for w in words])
+            self.rows.update((t, self.largest(words)) for t, words in new.items())
+            self.ends.update(t for t in new if ENDS.search(t))
+            for tokens, known, words in zip(part, sets, apart):
+                out = [r for r in map(self.known.get, words) if r is not None]
+                near = {t for t in known if self.rows[t] is not None}
+                if near:
+                    at = [i for i, t in enumerate(tokens) if t in near]
+                    ends = [i for i, t in enumerate(tokens) if t in self.ends]
+                    for _, group in itertools.groupby(at, lambda i: bisect.bisect_left(ends, i)):
+                        found = [self.rows[t] for t in dict.fromkeys(tokens[i] for i in group)]
+                        out.append(np.max(found, axis=0) if len(found) > 1 else found[0])
+                yield np.array(out, np.float32).reshape(len(out), len(self.weights))
 
     @staticmethod
-    def _parts(texts: Iterator[str]) -> Iterator[list[list[list[str]]]]:
-        """Texts taken apart, some at a time, so that their new strings are looked up together."""
+    def _parts(texts: Iterator[str]) -> Iterator[list[list[str]]]:
+        """Tokens of texts, some at a time, so that their new strings are looked up together."""
         part, size = [], 0
         for text in texts:
-            part.append(sentences(text))
+            part.append(tokens_of(text))
             size += len(text)
             if size > TOGETHER:
                 yield part
@@ -237,8 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
     def words(batches):
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                told = [w for words in sentences(text.as_py()) for w in words]
-                own = sorted(set(told))
+                told = tokens_of(text.as_py())
+                own = sorted({w for t in set(told) for w in strings(t)} | set(spelled(told, set(told))))
                 same = [pa.array(np.full(len(own), x), t) for x, t in ((label.as_py(), pa.int32()), (family(told), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *same], ["word", "label", "family"])
 
@@ -271,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
             out = []
             for found in model.kernels(x.as_py() for x in batch["text"]):
                 out.append(found[found[:, : len(bad)].max(axis=1).argmax()].tolist() if len(found) and bad else [0.0] * len(model.weights))
-            kin = [family([w for words in sentences(x.as_py()) for w in words]) for x in batch["text"]]
+            kin = [family(tokens_of(x.as_py())) for x in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["label"], pa.array(kin, pa.int64()), pa.array(out, pa.list_(pa.float64()))], ["label", "family", "row"])
 
     seen = rows.select("label", "text").mapInArrow(witness, "label int, family bigint, row array<double>")
@@ -283,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
         _machine(model, x[order], y[order], share or 0.0, len(bad))
     else:
         model.shift = float(np.log(min(max(share, 1e-3), 1 - 1e-3) / (1 - min(max(share, 1e-3), 1 - 1e-3))))
-    model.known = {}
+    model.forget()
     return model
 
 
