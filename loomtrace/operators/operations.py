@@ -9,6 +9,7 @@ from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
 from loomtrace.operators.columns import ensure_columns
 from loomtrace.operators.ordered import carry, lookup, running_total
+from loomtrace.session import cut_lineage
 
 # Operation kinds in their sorting order. "split" kinds have a call and a result
 # event type; "phased" kinds have one event type that carries a phase. Kinds marked immutable
@@ -192,11 +193,14 @@ def order_operations(operations: DataFrame) -> DataFrame:
 
 
 def annotate_events(events: DataFrame, operations: DataFrame) -> DataFrame:
-    """Each event with its operation's revision, status, preferred terminal and root event id."""
+    """Each event with its operation's revision, status, preferred terminal and root event id.
+
+    The snapshots are stored first: they are read several times, and each time would fold all events anew.
+    """
     rows = scope_thread(classify_events(events)).withColumn("operation_id", X.trim_null(F.col("operation_id")))
-    facts = operations.select(
+    facts = cut_lineage(operations.select(
         *KEY, "revision", "started_seq", "terminal_seq", F.col("last_status").alias("operation_status"), F.col("terminal").alias("operation_ended")
-    )
+    ))
     joined = lookup(rows.withColumn("run_id", X.strip(F.col("run_id"))), facts, KEY, "seq", null_safe=True, weight="revision")
     root = F.concat_ws(":", F.col("run_id"), F.col("started_seq").cast("string"))
     return joined.withColumn("root_event_id", F.when(F.col("started_seq").isNotNull(), root)).withColumn(

@@ -146,3 +146,15 @@ def test_terminal_preference(events_of):
     ]
     row = O.project_operations(events_of(rows)).first()
     assert (row.terminal_seq, row.last_seq, row.duration_ms) == (2, 3, 1000)
+
+
+def test_annotation_reads_events_once(spark, events_of, tmp_path):
+    from loomtrace.operators import operations as O
+
+    rows = [{"seq": i, "event_type": "shell.call", "operation_id": f"o{i % 3}", "phase": "started"} for i in range(1, 9)]
+    events_of(rows).write.parquet(str(tmp_path / "scanned"))
+    events = spark.read.parquet(str(tmp_path / "scanned"))
+    annotated = O.annotate_events(events, O.project_operations(events))
+    assert annotated.count() == 8
+    plan = annotated._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "revision" not in line for line in plan.splitlines()) == 1
