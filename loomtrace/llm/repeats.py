@@ -124,11 +124,11 @@ def _marks(docs: DataFrame, how: Method, most: int) -> DataFrame:
     repeated = cut(rows.join(degree, "gram"))
     place = F.struct("doc_id", "text_key", "at")
     branching = repeated.filter("branches")
-    contexts = branching.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("sample"))
-    width = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"))
-    contexts = cut(contexts.join(width, "gram").select("gram", "context", "weight", "sample", (F.col("contexts") > most).alias("hot")))
+    contexts = cut(branching.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("sample")))
+    wide = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("gram", F.lit(True).alias("wide"))
     role = F.when(F.col("weight") == 1, SINGLE).when(place.eqNullSafe(F.col("sample")), SAMPLE).otherwise(COVERED)
-    roles = branching.join(contexts, ["gram", "context"]).select("doc_id", "text_key", "at", "gram", role.alias("role"), "hot")
+    hot = F.coalesce("wide", F.lit(False)).alias("hot")
+    roles = branching.join(contexts, ["gram", "context"]).join(wide, "gram", "left").select("doc_id", "text_key", "at", "gram", role.alias("role"), hot)
     plain = repeated.filter("NOT branches").select("doc_id", "text_key", "at", "gram", F.lit(COVERED).alias("role"), F.lit(False).alias("hot"))
     return cut(plain.unionByName(roles))
 
