@@ -48,9 +48,10 @@ def exact_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFr
     lists = lists.select("row", F.transform("list", lambda c: F.struct(c["key"], c["variant"])).alias("recipe"))
     known = base.select("row", "doc_id", "text_sha256").join(lists, "row", "left")
     known = cut(known.withColumn("recipe", F.coalesce("recipe", F.expr("array()").cast(lists.schema["recipe"].dataType))))
-    groups = known.groupBy(F.col("recipe").alias("same")).agg(
+    # a table too, so that the join can split the partition of a large group
+    groups = cut(known.groupBy(F.col("recipe").alias("same")).agg(
         F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep")
-    )
+    ))
     return known.join(groups, F.col("recipe") == F.col("same")).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256"
     )
