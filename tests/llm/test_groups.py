@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from edge_cases import EDGES
-from loomtrace.llm import chunk_dedup, components, mixture, simhash, url_rules
+from loomtrace.llm import chunk_dedup, components, mixture, shingle_dedup, simhash, url_rules
 
 
 def test_chunks_give_the_text_back(spark):
@@ -93,6 +93,41 @@ def test_links_are_all_pairs_within_two_bits(spark, seed):
     assert {s: got.get(s, s) for s in signed} == want
 
 
+def brute_jaccard(a, b):
+    return not a and not b or len(a & b) * 5 >= len(a | b) * 4
+
+
+def brute_shingles(text):
+    words = [w.decode() for w in (text or "").encode().lower().split()]
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+@pytest.mark.parametrize("pivots", [0, 2])
+def test_near_copies_are_all_pairs_by_jaccard(rows_of, edges, nothing, pivots):
+    import corpus_pipeline
+
+    draw = random.Random(11)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(4)) for _ in range(500)]
+    passage, texts = draw.choices(words, k=60), ["one two", "One  two", "one two three four", "", " "]
+    for _ in range(40):
+        text = draw.choices(words, k=draw.randint(5, 150)) + passage * draw.randint(0, 1)
+        for _ in range(draw.randint(1, 6)):
+            texts.append(" ".join(text))
+            text = list(text)
+            for _ in range(draw.randint(1, 3)):
+                text[draw.randrange(len(text))] = draw.choice(words)
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    sets = {i: brute_shingles(t) for i, t, _ in rows}
+    want = set(brute_components(sorted(sets), lambda a, b: brute_jaccard(sets[a], sets[b])).values())
+    kept = {r.doc_id for r in shingle_dedup.drop_near_copies(rows_of(rows), pivots=pivots).collect()}
+    assert kept == want and len(want) < len(rows) - 20
+    if pivots:
+        assert {r.doc_id for r in corpus_pipeline.near_dedup(None, rows_of(rows[::-1]), None).collect()} == want
+        kept = shingle_dedup.drop_near_copies(edges)
+        assert kept.columns == edges.columns and kept.count() == len({brute_shingles(t) for _, t, _ in EDGES})
+        assert shingle_dedup.drop_near_copies(nothing).collect() == []
+
+
 def test_long_chain_of_components(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components.components(edges).collect()
