@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import re
 import zlib
@@ -47,16 +48,26 @@ def strings(token: str) -> list[str]:
     return found if len(found) < 2 else [*found, "".join(found)]
 
 
-def spelled(tokens: list[str], known: set[str]) -> list[str]:
-    """Words that three or more tokens of one character each, one after another, spell out. known: the distinct tokens."""
-    single = {t: f[0] for t in known if len(t) < 5 and len(f := TOKEN.findall(t)) == 1 and len(f[0]) == 1}
-    out, run, last = [], [], -2
-    for i in [i for i, t in enumerate(tokens) if t in single] if single else []:
-        if i != last + 1:
-            out, run = [*out, run], []
-        run.append(single[tokens[i]])
-        last = i
-    return ["".join(x) for x in [*out, run] if len(x) > 2]
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 for a letter or digit, 2 for a blank, 0 for others."""
+    chars = list(map(chr, range(0x110000)))
+    return np.fromiter(map(str.isalnum, chars), np.uint8, len(chars)) + 2 * np.fromiter(map(str.isspace, chars), np.uint8, len(chars))
+
+
+def spelled(text: str) -> list[str]:
+    """Words that three or more single characters spell out, with one to three others between neighbours.
+
+    Marks and line ends count as characters between, blanks in a row as one; text is in lower case.
+    """
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = np.concatenate((np.full(1, 2, np.uint8), _kinds()[chars], np.full(1, 2, np.uint8)))
+    alone = np.flatnonzero((kind[1:-1] == 1) & (kind[:-2] != 1) & (kind[2:] != 1))
+    if len(alone) < 3:
+        return []
+    place = np.cumsum((kind[1:-1] != 2) | (kind[:-2] != 2))[alone]  # blanks in a row take one place
+    runs = np.split(alone, np.flatnonzero(np.diff(place) > 4) + 1)
+    return ["".join(map(text.__getitem__, run)) for run in runs if len(run) > 2]
 
 
 def family(words: list[str]) -> int:
@@ -175,8 +186,8 @@ class Model:
         for part in self._parts(texts):
             if len(self.known) > CACHED or len(self.rows) > CACHED:
                 self.forget()
+            part, apart = [tokens for tokens, _ in part], [words for _, words in part]
             sets = [set(tokens) for tokens in part]
-            apart = [spelled(tokens, known) for tokens, known in zip(part, sets)]
             new = {t: strings(t) for t in set().union(*sets) if t not in self.rows}
             self.learn([w for words in [*new.values(), *apart] for w in words])
             self.rows.update((t, self.largest(words)) for t, words in new.items())
@@ -193,11 +204,11 @@ class Model:
                 yield np.array(out, np.float32).reshape(len(out), len(self.weights))
 
     @staticmethod
-    def _parts(texts: Iterator[str]) -> Iterator[list[list[str]]]:
-        """Tokens of texts, some at a time, so that their new strings are looked up together."""
+    def _parts(texts: Iterator[str]) -> Iterator[list[tuple[list[str], list[str]]]]:
+        """Tokens of texts and words spelled out, some at a time, so that their new strings are looked up together."""
         part, size = [], 0
         for text in texts:
-            part.append(tokens_of(text))
+            part.append((tokens_of(text), spelled(text.lower())))
             size += len(text)
             if size > TOGETHER:
                 yield part
@@ -278,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
                 told = tokens_of(text.as_py())
-                own = sorted({w for t in set(told) for w in strings(t)} | set(spelled(told, set(told))))
+                own = sorted({w for t in set(told) for w in strings(t)} | set(spelled(text.as_py().lower())))
                 same = [pa.array(np.full(len(own), x), t) for x, t in ((label.as_py(), pa.int32()), (family(told), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *same], ["word", "label", "family"])
 

@@ -1,6 +1,7 @@
 """Search against brute force; classifiers on labels they have not seen; the pipeline's stages."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -83,6 +84,22 @@ def test_insults_with_gaps_and_inserted_characters(rows_of, spark):
     bad = model.scores(iter([f"{clean} {x} {clean}" for x in ("scoundrel", "SCOUNDREL", "scoundr1el", "nincom1poop", "s c o u n d r e l", "n.i.n.c.o.m.p.o.o.p", "ninc-om*poop", "nincompooop")]))
     good = model.scores(iter([clean, "", ". . .", "a b c", clean * 100]))
     assert min(bad) >= 0.3 > max(good)
+    gapped = ("s - c - o - u - n - d - r - e - l", "s * c * o * u * n * d * r * e * l", "\n".join("scoundrel"), "\n\n".join("scoundrel"), "s.c.o. u.n.d. r.e.l", "s   c    o     u n d r e l")
+    assert min(model.scores(iter([f"{clean} {x} {clean}" for x in gapped]))) >= 0.3
+
+
+def test_words_spelled_out():
+    spell = toxicity.spelled
+    for text in ("s - c - u - m", "s * c * u * m", "s\nc\nu\nm", "s.c. u.m", "so s     c u m", "s_c_u_m!", "s -\nc u m"):
+        assert spell(text) == ["scum"]
+    assert spell("") == spell("a b") == spell("ab cd ef") == spell("a - - b - - c") == []
+    assert spell("a b c and d e f - g") == ["abc", "defg"]
+    old = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]{1,3}[^\W_](?![^\W_])){2,}")  # the rule before tokens were looked up once
+    draw = random.Random(9)
+    for _ in range(3000):
+        text = "".join(draw.choice("abé1 -._") for _ in range(30))
+        if "  " not in text:
+            assert spell(text) == ["".join(re.findall(r"[^\W_]", x)) for x in old.findall(text)]
 
 
 def test_classifiers_on_edges(edges, nothing, spark):
