@@ -23,6 +23,8 @@ TOXIC, CLEAN = 96, 32  # landmarks: strings of toxic documents, and clean string
 DECAY = 0.6  # for each character a subsequence leaves out
 STEPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))  # three characters within five
 FLOOR = 0.5  # smaller similarities count as none
+STRANGE, SHORTEST = 2, 4  # characters put into a landmark, or marks and digits in place of its own; of landmarks of four characters or more
+KEPT = 0.8  # of a landmark's kernel, for each strange character
 SHARPNESS = 5.0  # the machine's kernel is exp(SHARPNESS * (similarity - 1))
 START = "\x02"  # put before every string, so that subsequences know where it begins
 ALTERED = 0.2  # weight of the altered forms of toxic landmarks; either label has 0.5
@@ -78,7 +80,21 @@ def family(words: list[str]) -> int:
 def altered(word: str) -> list[str]:
     """The word with a strange character put in, or in place of one of its own, at a few places."""
     places = range(1, len(word), max(1, len(word) // 4))
-    return [word[:i] + "0" + word[i:] for i in places] + [word[:i] + "0" + word[i + 1 :] for i in places if len(word) > 6 and i + 1 < len(word)]
+    put_in = [word[:i] + x + word[i:] for x in ("0", "00") for i in places]
+    return put_in + [word[:i] + "0" + word[i + 1 :] for i in places if len(word) >= SHORTEST and i + 1 < len(word)]
+
+
+def strange(word: str, text: str, most: int = STRANGE) -> int:
+    """Least number of characters put into the word, or other than letters in place of its own, that give the text; over most if more."""
+    i = 0
+    while i < min(len(word), len(text)) and word[i] == text[i]:
+        i += 1
+    if i == len(word):
+        return len(text) - i
+    if i == len(text) or not most:
+        return most + 1
+    found = strange(word[i:], text[i + 1 :], most - 1)
+    return 1 + (found if text[i].isalpha() else min(found, strange(word[i + 1 :], text[i + 1 :], most - 1)))
 
 
 class Landmarks:
@@ -87,6 +103,10 @@ class Landmarks:
     A string's features are its triples of characters within five places, each weighted by DECAY per character left out;
     a similarity is the product of two strings' features, divided by both norms, and the kernel a sharper function of it.
     Only triples that landmarks have are looked up, so the cost is linear in the text.
+
+    Short landmarks lose most triples by one strange character. So a string that holds a whole landmark, but for at most
+    STRANGE characters put in or marks and digits in place of its own, has a kernel of KEPT for each of them at least, as
+    one gapped subsequence. Letters are put in between its first and its last character only.
     """
 
     def __init__(self, words: list[str]):
@@ -104,6 +124,11 @@ class Landmarks:
         self.place[known] = np.arange(len(known))
         self.table = np.zeros((max(1, len(known)), len(words)), np.float32)
         np.add.at(self.table, (at, owner), weight / np.maximum(norm[owner], 1e-9))
+        self.ends: dict[tuple[str, str, int], list[int]] = {}  # landmarks by their ends ("" for any) and the length of altered forms
+        for i, w in enumerate(words):
+            if len(w) >= SHORTEST:
+                for first, last, more in itertools.product((w[0], ""), (w[-1], ""), range(STRANGE + 1)):
+                    self.ends.setdefault((first, last, len(w) + more), []).append(i)
 
     def _triples(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(string, triple, weight) of all triples of known characters, and the norm of each string."""
@@ -125,7 +150,26 @@ class Landmarks:
         return o, t, w, np.sqrt(square)
 
     def similar(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(indexes, kernels): the strings with a similarity of FLOOR or more, and their row of kernels; 0 for smaller ones."""
+        """(indexes, kernels): the strings with a similarity of FLOOR or more, or that hold a landmark with strange characters,
+        and their row of kernels; 0 for others."""
+        at, rows = self._alike(words)
+        place = dict(zip(at.tolist(), range(len(at))))
+        held = []
+        for i, w in enumerate(words):
+            if w:
+                key = (w[0] if w[0].isalpha() else "", w[-1] if w[-1].isalpha() else "", len(w))
+                held += [(i, j, n) for j in self.ends.get(key, ()) if (n := strange(self.words[j], w)) <= STRANGE]
+        if not held:
+            return at, rows
+        new = [i for i in dict.fromkeys(i for i, _, _ in held) if i not in place]
+        place.update(zip(new, range(len(at), len(at) + len(new))))
+        rows = np.concatenate((rows, np.zeros((len(new), len(self.words)), rows.dtype)))
+        for i, j, n in held:
+            rows[place[i], j] = max(rows[place[i], j], KEPT**n)
+        return np.concatenate((at, np.array(new, np.int64))), rows
+
+    def _alike(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Strings with a similarity of FLOOR or more, by their triples."""
         keep, rows = [], []
         for low in range(0, len(words), PIECE):
             owner, triple, weight, norm = self._triples(words[low : low + PIECE])

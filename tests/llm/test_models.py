@@ -64,14 +64,14 @@ def test_toxicity_of_unseen_labels(spark):
     assert held_out(spark, "op3_toxicity", "toxic") > 0.75
 
 
-def insults(rows_of, spark):
+def insults(rows_of, spark, bad=("scoundrel", "nincompoop"), n=600):
     draw = random.Random(7)
     words = ["".join(draw.choice("aeioulmnrst") for _ in range(draw.randint(2, 8))) for _ in range(400)]
     said, marks = [], []
-    for i in range(600):
+    for i in range(n):
         text = [draw.choice(words) for _ in range(40)]
         if toxic := i % 5 == 0:
-            text[draw.randrange(40)] = draw.choice(["scoundrel", "nincompoop"])
+            text[draw.randrange(40)] = draw.choice(bad)
         said.append((i, " ".join(text) + ".", "s"))
         marks.append((i, 1, int(toxic)))
     return rows_of(said), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"), words
@@ -88,6 +88,20 @@ def test_insults_with_gaps_and_inserted_characters(rows_of, spark):
     assert min(model.scores(iter([f"{clean} {x} {clean}" for x in gapped]))) >= 0.3
 
 
+SHORT = ["idiot", "moron", "clown", "trash", "loser", "scum", "stupid", "rascal", "fool", "jerk"]
+
+
+def test_short_insults_with_strange_characters(rows_of, spark):
+    docs, labels, words = insults(rows_of, spark, SHORT, 3000)
+    model = toxicity.fit(docs, labels)
+    clean = " ".join(words[:50])
+    forms = {x for w in SHORT for i in range(1, len(w)) for x in (w[:i] + "0" + w[i:], w[:i] + "00" + w[i:], w[:i] + "x" + w[i:], w[:i] + "4" + w[i + 1 :])}
+    forms |= {"idi00t", "1diot", "cl0wn", "l0ser", "sc0um", "tra00sh", "s.c.0.u.m", "l o 0 s e r"}
+    scores = dict(zip(sorted(forms), model.scores(iter([f"{clean} {x} {clean}" for x in sorted(forms)]))))
+    assert not [x for x, score in scores.items() if score < 0.3]
+    assert max(model.scores(iter([" ".join(words[i : i + 50]) for i in range(0, 400, 50)] + ["", "crown crash lover scam motion rapid reveal foil park"]))) < 0.3
+
+
 def test_words_spelled_out():
     spell = toxicity.spelled
     for text in ("s - c - u - m", "s * c * u * m", "s\nc\nu\nm", "s.c. u.m", "so s     c u m", "s_c_u_m!", "s -\nc u m"):
