@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import chunk_dedup, cover_topk, mixture, piece_codec, quality, simhash, suffix_dedup, toxicity, url_rules, window_dedup
+from loomtrace.llm import (
+    block_text, chunk_dedup, collocations, cover_topk, mixture, piece_codec, quality, simhash, suffix_dedup, toxicity, url_rules, window_dedup, word_runs,
+)
 from loomtrace.llm.common import table
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -57,6 +59,18 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.run_digests(word_runs.with_repeated_tails(table(spark, sf_dir, "documents")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_window_dedup": op2_window_dedup,
@@ -68,6 +82,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_url_rules": op10_url_rules,
+    "op11_word_runs": op11_word_runs,
+    "op12_collocations": op12_collocations,
+    "op13_main_text": op13_main_text,
 }
 
 ORACLES = {
@@ -143,4 +160,86 @@ WITH rules(rh, rp, action) AS (
   FROM q JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY n
 )
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM q LEFT JOIN m USING (n)""",
+    "op11_word_runs": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o,
+         list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)) AS digits
+  FROM documents
+), h AS (
+  SELECT id, doc_id, o, CAST(len(o) AS BIGINT) AS n, xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || digits, lambda c, b:
+           list_reduce([xor(c, b)] || range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))) AS h
+  FROM d
+), p AS (
+  SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM h
+), w AS (
+  SELECT id, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE o END AS w FROM p
+), q AS (
+  SELECT id, n, w, unnest(range(1, n // 4 + 1)) AS q FROM w
+), k AS (
+  SELECT id, n, w, q, unnest(range(0, (n - 1) // q - 2)) AS k FROM q
+), c AS (
+  SELECT DISTINCT id, q FROM k
+  WHERE w[k * q + 1] = w[k * q + q + 1] AND w[k * q + 1] = w[k * q + 2 * q + 1] AND w[k * q + 1] = w[k * q + 3 * q + 1]
+    AND w[k * q + 1 : k * q + 2 * q] = w[k * q + q + 1 : k * q + 3 * q]
+), i AS (
+  SELECT id, q, w, unnest(range(0, n - q)) AS i FROM c JOIN w USING (id)
+), same AS (
+  SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM i WHERE w[i + 1] = w[i + q + 1]
+), stretch AS (
+  SELECT id, q, min(i) AS start, count(*) + q AS length FROM same GROUP BY id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), r AS (
+  SELECT id, start, length, min(q) AS q FROM stretch GROUP BY ALL
+), gone AS (
+  SELECT DISTINCT id, unnest(range(start + q, start + length)) AS i FROM r
+), u AS (
+  SELECT id, unnest(w) AS word, unnest(range(n)) AS i FROM w
+), kept AS (
+  SELECT id, string_agg(word, ' ' ORDER BY i) AS text FROM u ANTI JOIN gone USING (id, i) GROUP BY id
+), best AS (
+  SELECT id, count(*) OVER (PARTITION BY id) AS n_runs, start, length, q,
+         string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) OVER (PARTITION BY id) AS listed
+  FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY length DESC, start, q) = 1
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM w LEFT JOIN best USING (id) LEFT JOIN kept USING (id)""",
+    "op12_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, s, unnest([array_to_string(w[i : i + s - 1], ' ') FOR i IN range(1, len(w) - s + 2)]) AS phrase FROM w, range(1, 4) AS r(s)
+), n AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, s, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10
+), c AS (
+  SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, s)) AS k FROM f WHERE s > 1
+), cuts AS (
+  SELECT c.*, x.f AS l, y.f AS r, (1000000 :: HUGEINT * a * a) // (x.f :: HUGEINT * y.f) AS score
+  FROM c JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[: k], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')
+), b AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, phrase, max(f) AS longer FROM (
+    SELECT lang, f, unnest([array_to_string(w[: 2], ' '), array_to_string(w[2 :], ' ')]) AS phrase FROM (SELECT lang, f, string_split(phrase, ' ') AS w FROM f WHERE s = 3)
+  ) GROUP BY ALL
+)
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM b LEFT JOIN inside USING (lang, phrase) JOIN n USING (lang) WHERE coalesce(100 * longer < 50 * a, true)
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "binary") QUALIFY row_number() OVER o <= 2000""",
+    "op13_main_text": r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages
+), b AS (
+  SELECT page_id, url, unnest(regexp_split_to_array(regexp_replace(body, '<b>|</b>|<br>', ' ', 'g'), '<[^>]*>')) AS raw, unnest(range(len(regexp_split_to_array(regexp_replace(body, '<b>|</b>|<br>', ' ', 'g'), '<[^>]*>')))) AS i FROM a
+), c AS (
+  SELECT page_id, url, i, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(raw, '&quot;?', '"', 'g'), '&(lt|gt);', '<', 'g'), '&amp;', '&'), '&amp', '&'), chr(160), ' '), '\s+', ' ', 'g')) AS block FROM b
+)
+SELECT page_id, url, coalesce(string_agg(block, chr(10) ORDER BY i) FILTER (block <> ''), '') AS text,
+       CAST(length(coalesce(string_agg(block, chr(10) ORDER BY i) FILTER (block <> ''), '')) AS BIGINT) AS n_chars
+FROM c GROUP BY page_id, url""",
 }
