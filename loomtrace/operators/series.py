@@ -7,15 +7,13 @@ series in one task.
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions import covered as C
 from loomtrace.operators.ordered import carry, exact_percentiles, lookup, row_index
 from loomtrace.operators.projects import failure_preference, session_time
+from loomtrace.operators.slopes import median_slopes
 from loomtrace.session import cut_lineage
 
 KEYS = ["project", "series"]
@@ -27,8 +25,6 @@ SERIES = [
 FENCE_FACTOR, FENCE_MIN_POINTS = 1.5, 4
 HALO = 4
 CHUNK = 100_000
-SLOPE_BLOCK = 4_000
-SLOPE_ROUNDS, SLOPE_CUTS = 14, 15
 FLAT = 1e-6
 JUMP, BIG_JUMP = 0.45, 0.7
 
@@ -146,99 +142,14 @@ def moving_values(processed: DataFrame, windows: DataFrame, chunk: int = CHUNK)
     ).drop("near", "inside", "chunk")
 
 
-def _slopes_of_small(points: pd.DataFrame) -> pd.DataFrame:
-    x, y = points["idx"].to_numpy(float), points["y"].to_numpy(float)
-    i, j = np.triu_indices(len(x), 1)
-    slopes = (y[j] - y[i]) / (x[j] - x[i])
-    return pd.DataFrame({"project": points["project"].iloc[:1], "series": points["series"].iloc[:1], "slope": [float(np.median(slopes))]})
-
-
-def _count_block_pair(rows: pd.DataFrame) -> pd.DataFrame:
-    """Slopes at most each cut, between two blocks of one series or inside one block."""
-    first = rows.iloc[0]
-    cuts = np.asarray(first["cuts"], dtype=float)
-    left = rows[rows["block"] == first["a"]]
-    xa, ya = left["idx"].to_numpy(float), left["y"].to_numpy(float)
-    if first["a"] == first["b"]:
-        i, j = np.triu_indices(len(xa), 1)
-        dx = xa[j] - xa[i]
-        slopes = np.where(dx > 0, 1.0, -1.0) * (ya[j] - ya[i]) / np.abs(dx)
-    else:
-        right = rows[rows["block"] == first["b"]]
-        slopes = ((right["y"].to_numpy(float)[:, None] - ya[None, :]) / (right["idx"].to_numpy(float)[:, None] - xa[None, :])).ravel()
-    counts = np.searchsorted(np.sort(slopes), cuts, side="right")
-    return pd.DataFrame(
-        {"project": [first["project"]], "series": [first["series"]], "counts": [counts.astype("int64").tolist()]}
-    )
-
-
-def _median_slopes_of_large(points: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Median slope of long series: bisection on the slope, counting pairs block by block.
-
-    Blocks of consecutive points meet pairwise, each pair in its own task; only counts leave it.
-    The bounds close in on the two middle slopes until they are apart by rounding only.
-    """
-    pairs_n = F.floor(F.col("n") * (F.col("n") - 1) / 2)
-    blocks = F.floor((F.col("last_idx")) / SLOPE_BLOCK)
-    state = cut_lineage(
-        sizes.select(
-            *KEYS, blocks.alias("blocks"),
-            F.explode(F.array(F.floor((pairs_n - 1) / 2) + 1, F.floor(pairs_n / 2) + 1)).alias("rank"),
-            (F.col("low_y") - F.col("high_y")).alias("low"), (F.col("high_y") - F.col("low_y")).alias("high"),
-        ).distinct()
-    )
-    block = F.floor(F.col("idx") / SLOPE_BLOCK)
-    for _ in range(SLOPE_ROUNDS):
-        step = (F.col("high") - F.col("low")) / (SLOPE_CUTS + 1)
-        cut = state.withColumn("cuts", F.array(*[F.col("low") + step * i for i in range(1, SLOPE_CUTS + 1)]))
-        # Every block is paired with itself and every other one.
-        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks")))
-        rows = (
-            lookup(points.withColumn("block", block), cut, KEYS, "idx", how="inner")
-            .withColumn("other", other)
-            .select(*KEYS, "rank", "cuts", "idx", "y", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-        )
-        counted = rows.groupBy(*KEYS, "rank", "a", "b").applyInPandas(
-            lambda key, pdf: _count_block_pair(pdf).assign(rank=key[2]), "project string, series string, rank bigint, counts array<bigint>"
-        )
-        summed = counted.groupBy(*KEYS, "rank").agg(
-            F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(SLOPE_CUTS)]).alias("counts")
-        )
-        passed = F.size(F.filter("counts", lambda c: c < F.col("rank")))
-        joined = cut.join(summed, [*KEYS, "rank"])
-        state = cut_lineage(
-            joined.select(
-                *KEYS, "blocks", "rank",
-                F.when(passed > 0, F.get("cuts", (passed - 1).cast("int"))).otherwise(F.col("low")).alias("low"),
-                F.when(passed < SLOPE_CUTS, F.get("cuts", passed.cast("int"))).otherwise(F.col("high")).alias("high"),
-            )
-        )
-    return state.groupBy(*KEYS).agg(F.avg("high").alias("slope"))
-
-
-def theil_sen_slopes(processed: DataFrame, small: int = SLOPE_BLOCK) -> DataFrame:
-    """Median of the slopes between all known points of each series, exact at any length.
-
-    Series of at most `small` points are solved in one bounded task each.
-    """
-    known = cut_lineage(
-        processed.where(F.col("processed").isNotNull()).select(*KEYS, "idx", F.col("processed").alias("y"))
-    )
-    sizes = known.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"), F.min("y").alias("low_y"), F.max("y").alias("high_y"), F.max("idx").alias("last_idx")
-    )
-    several = cut_lineage(sizes.where(F.col("n") > 1))
-    short = lookup(known, several.where(F.col("n") <= small).select(*KEYS, "n"), KEYS, "idx", how="inner")
-    slopes = short.groupBy(*KEYS).applyInPandas(_slopes_of_small, "project string, series string, slope double")
-    long = several.where(F.col("n") > small)
-    if not long.isEmpty():
-        slopes = slopes.unionByName(_median_slopes_of_large(known, long))
-    return slopes
+def theil_sen_slopes(processed: DataFrame) -> DataFrame:
+    """Median of the slopes between all known points of each series."""
+    return median_slopes(processed.select(*KEYS, "idx", F.col("processed").alias("y")))
 
 
-def theil_sen_trend(processed: DataFrame, small: int = SLOPE_BLOCK) -> DataFrame:
+def theil_sen_trend(processed: DataFrame) -> DataFrame:
     """Trend value at every known point; a lone point is its own trend."""
-    slopes = cut_lineage(theil_sen_slopes(processed, small))
+    slopes = cut_lineage(theil_sen_slopes(processed))
     sloped = lookup(processed, slopes, KEYS, "idx")
     slope = F.coalesce("slope", F.lit(0.0))
     rest = sloped.select(*KEYS, (F.col("processed") - slope * F.col("idx")).alias("rest"))

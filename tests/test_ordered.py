@@ -102,10 +102,9 @@ def test_moving_values_cross_chunks(spark):
 
 
 @pytest.mark.parametrize("n", [60, 61])
-def test_long_series_trend_equals_all_pairs(spark, n, monkeypatch):
-    monkeypatch.setattr(S, "SLOPE_BLOCK", 16)
+def test_long_series_trend_equals_all_pairs(spark, n):
     rows, df = points(spark, n)
     known = [(r[2], r[3]) for r in rows if r[3] is not None]
     slopes = [(b[1] - a[1]) / (b[0] - a[0]) for i, a in enumerate(known) for b in known[i + 1 :]]
-    got = S.theil_sen_slopes(df, small=10).first()
+    got = S.theil_sen_slopes(df).first()
     assert got.slope == pytest.approx(np.median(slopes), abs=1e-9)
