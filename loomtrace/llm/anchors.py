@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import xxhash
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -24,8 +25,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
-IS_BLANK = np.zeros(256, dtype=bool)
-IS_BLANK[[32, *range(9, 14)]] = True
 
 
 @functools.lru_cache(maxsize=4)
@@ -53,24 +52,13 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64) * BASE)
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of UTF-8 bytes; blanks are space and 0x09 to 0x0D."""
-    edge = np.diff(np.concatenate(([True], IS_BLANK[data], [True])).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-
-
 def word_values(data: np.ndarray) -> np.ndarray:
-    """A 64-bit value per word, from its bytes."""
-    starts, ends = word_bounds(data)
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):  # pieces of bounded size; a word longer than a piece is one piece
-        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + 16 * STEP, side="right")))
-        low = starts[at]
-        sums = prefix_sums(BYTE_VALUES[data[low : ends[upto - 1]]])
-        out[at:upto] = span_hash(sums, starts[at:upto] - low, ends[at:upto] - low)
-        at = upto
-    return out
+    """A 64-bit hash per word of UTF-8 bytes; blanks are space and 0x09 to 0x0D."""
+    known: dict[bytes, int] = {}
+    words = data.tobytes().split()
+    for word in set(words):
+        known[word] = xxhash.xxh64_intdigest(word, 35)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def slide(op, x: np.ndarray, width: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Repeated windows of whole texts, found through content-chosen anchors and Spark joins.
 
-A text is a sequence of units (words or bytes). Anchors (see anchors.py) are the nodes of a sparse de Bruijn graph; the
-context of an anchor, all windows over it, is the path through the node. Steps:
+A text is a sequence of units (words or bytes). Two equal windows meet at equal anchors (see anchors.py); the context of an
+anchor is all windows over it. Steps:
 
 1. Count anchors. One that occurs once cannot lie in a repeated window.
 2. A repeated anchor whose occurrences all have one context does not branch: all its windows are repeated. Neighbouring
@@ -125,7 +125,7 @@ def _marks(docs: DataFrame, how: Method, most: int) -> DataFrame:
     place = F.struct("doc_id", "text_key", "at")
     branching = repeated.filter("branches")
     contexts = cut(branching.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("weight"), F.min(place).alias("sample")))
-    wide = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("gram", F.lit(True).alias("wide"))
+    wide = cut(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("gram", F.lit(True).alias("wide")))
     role = F.when(F.col("weight") == 1, SINGLE).when(place.eqNullSafe(F.col("sample")), SAMPLE).otherwise(COVERED)
     hot = F.coalesce("wide", F.lit(False)).alias("hot")
     roles = branching.join(contexts, ["gram", "context"]).join(wide, "gram", "left").select("doc_id", "text_key", "at", "gram", role.alias("role"), hot)

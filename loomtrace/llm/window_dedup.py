@@ -1,4 +1,4 @@
-"""Remove word windows that occur more than once: de Bruijn compaction over anchors, verified at source coordinates."""
+"""Remove word windows that occur more than once, found through content-chosen anchors."""
 
 from __future__ import annotations
 
@@ -39,8 +39,10 @@ def _resolve(grams: np.ndarray, weights: np.ndarray, payloads: list[bytes]) -> t
     often = np.empty(len(order), bool)
     often[order] = (np.bincount(group, weights[row][order]) > 1)[group] if len(order) else False
     row, offsets = row[often], offsets[often]
+    if not len(row):  # the contexts share less than a window
+        return row, offsets, offsets
     # offsets of a row fall by one from window to window
-    new = np.concatenate(([True], (row[1:] != row[:-1]) | (offsets[1:] != offsets[:-1] - 1))) if len(row) else np.empty(0, bool)
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (offsets[1:] != offsets[:-1] - 1)))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(row)) - 1
     return row[first], offsets[last], offsets[first]

@@ -108,3 +108,26 @@ def test_deep_shallow_orders_like_a_plain_sort():
     for i in (1, 5, 149, 151, 399):
         a, b = rows[got[i - 1]], rows[got[i]]
         assert common[i] == next((j for j in range(40) if a[j] != b[j]), 40)
+
+
+def test_passages_shorter_than_a_window_stay(rows_of):
+    """Texts that share 12 to 34 words meet at anchors, but no window is repeated."""
+    rows = []
+    for n in range(12, 37):
+        for t in range(4):
+            shared = [f"s{n}x{t}x{i}" for i in range(n)]
+            for side in "ab":
+                rows.append((len(rows), " ".join([f"{side}{n}p{t}q{i}" for i in range(40)] + shared + [f"{side}{n}r{t}s{i}" for i in range(40)]), "s"))
+    got = window_dedup.window_digests(rows_of(rows)).collect()
+    assert order(got) == order(by_words(rows, 35))
+
+
+def test_long_words_that_differ_everywhere(rows_of):
+    """A Thue-Morse word and its complement are different words for every polynomial modulus of two."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    first, second = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    around = [f"w{i}" for i in range(34)]
+    rows = [(i, " ".join(around[:17] + [w] + around[17:]), "s") for i, w in enumerate([first, second])] * 2
+    got = window_dedup.window_digests(rows_of(rows[:2])).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    assert order(window_dedup.window_digests(rows_of(rows)).collect()) == order(by_words(rows, 35))
