@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
-from loomtrace.operators.ordered import lookup, row_index, running_total, spread_levels
+from loomtrace.operators.ordered import lookup, row_index, running_total
 from loomtrace.session import cut_lineage
 
 ACTIVE_SECONDS = 120
@@ -296,19 +296,20 @@ def latest_event(events: DataFrame) -> DataFrame:
 
 
 def linked_sessions(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """Sessions reachable from each root over `parent`, `child` edges, with their smallest path.
+    """Sessions reachable from each root over `parent`, `child` edges, with the smallest of their shortest paths.
 
-    A session is never entered twice on one path, so cycles end. Each level keeps one path per
-    session, which is the smallest of that length.
+    A session is entered once for each root, so cycles end and rounds are at most the longest shortest path.
     """
-    start = roots.select("root", F.col("root").alias("session_id"), F.array("root").alias("way"))
-
-    def follow(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-        found = frontier.join(edges, frontier["session_id"] == edges["parent"]).where(~F.array_contains("way", F.col("child")))
-        step = found.select("root", F.col("child").alias("session_id"), F.array_append("way", F.col("child")).alias("way"))
-        return step.groupBy("root", "session_id").agg(F.min("way").alias("way"))
-
-    return spread_levels(edges, start, follow).groupBy("root", "session_id").agg(F.min("way").alias("way"))
+    edges = cut_lineage(edges.select("parent", "child"))
+    frontier = cut_lineage(roots.select("root", F.col("root").alias("session_id"), F.array("root").alias("way")))
+    reached = frontier
+    while True:
+        step = frontier.join(edges, frontier["session_id"] == edges["parent"]).select("root", F.col("child").alias("session_id"), F.array_append("way", F.col("child")).alias("way"))
+        found = step.groupBy("root", "session_id").agg(F.min("way").alias("way"))
+        frontier = cut_lineage(found.join(reached.select("root", "session_id"), ["root", "session_id"], "left_anti"))
+        if frontier.isEmpty():
+            return reached
+        reached = reached.unionByName(frontier)
 
 
 def linked_events(linked: DataFrame, events: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ in the number of events, however long a session is and however many tasks overla
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,13 @@ from loomtrace.functions import covered as C
 from loomtrace.functions import exprs as X
 from loomtrace.operators.columns import TOKEN_COLUMNS, ensure_columns, event_thread, has_tokens
 from loomtrace.operators.operations import is_failed
-from loomtrace.operators.ordered import asof, asof_values, carry, lookup, running_total, spread_levels
+from loomtrace.operators.ordered import SPAN, asof, asof_values, carry, lookup, row_index, running_total, spread_levels
 from loomtrace.operators.session_metrics import TOKENS, outcome_columns
 from loomtrace.session import cut_lineage
 
 TERMINALS = ["task.completed", "agent.aborted", "agent.failed"]
 SIGNALS = ["agent_role", "requested_agent_type", "receiver_role", "collaboration_mode_kind", "model_context_window", "actor_type"]
-CHILD_BUCKET = 50_000
+PART = 10_000  # numbers of children listed at once
 
 # Words that name a task class, and the order and labels of the signals they are
 # looked for in.
@@ -224,56 +226,96 @@ def task_duration(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("total_ms", task_total())
 
 
-def task_children(tasks: DataFrame, bucket: int = CHILD_BUCKET) -> DataFrame:
-    """Edges parent -> child: the child's parent thread is the parent's and it starts in its interval.
+def _interval_sums(tasks: DataFrame, children: DataFrame, values: list[str], span: int) -> DataFrame:
+    """Sums of the children's values inside each task: differences of running totals at its two ends.
 
-    The range condition is cut into buckets of sequence numbers, so no thread meets itself whole.
+    `children` gives session_id, parent_thread_id, started_seq and the values. A child of a task names the task's thread
+    as its parent thread and starts after the task's start, up to its end. Starts, ends and children are swept together
+    along the sequence numbers of a thread, so nothing is paired however many tasks overlap.
     """
-    size = F.lit(bucket)
-    spread = F.sequence(F.floor(F.col("started_seq") / size), F.floor(F.col("end_seq") / size))
-    parents = tasks.where(F.col("thread_id").isNotNull() & (F.col("end_seq") >= F.col("started_seq"))).select(
-        "session_id", F.col("thread_id").alias("thread"), F.col("started_seq").alias("parent_seq"), F.col("task_key").alias("parent_key"),
-        "end_seq", F.explode(spread).alias("bucket"),
-    )
-    children = tasks.where(F.col("parent_thread_id").isNotNull()).select(
-        "session_id", F.col("parent_thread_id").alias("thread"), F.col("started_seq").alias("child_seq"),
-        F.col("task_key").alias("child_key"), F.floor(F.col("started_seq") / size).alias("bucket"),
-    )
-    inside = (F.col("child_seq") >= F.col("parent_seq")) & (F.col("child_seq") <= F.col("end_seq")) & (F.col("child_seq") != F.col("parent_seq"))
-    return parents.join(children, ["session_id", "thread", "bucket"]).where(inside).select(
-        "session_id", "parent_seq", "child_seq", "parent_key", "child_key"
+    here = ["session_id", "thread"]
+    owner = [c for c in tasks.columns if c not in values]
+    points = children.select("session_id", F.col("parent_thread_id").alias("thread"), (F.col("started_seq") * 2).alias("at"), *values)
+    ends = F.explode(F.array(F.struct(F.col("started_seq").alias("seq"), F.lit(-1).alias("sign")), F.struct(F.col("end_seq").alias("seq"), F.lit(1).alias("sign"))))
+    parents = tasks.where(F.col("thread_id").isNotNull() & (F.col("end_seq") >= F.col("started_seq")))
+    marks = parents.select("session_id", F.col("thread_id").alias("thread"), F.struct(*owner).alias("task"), ends.alias("end"))
+    marks = marks.select(*here, (F.col("end.seq") * 2 + 1).alias("at"), "task", F.col("end.sign").alias("sign"))
+    swept = points.where(F.col("parent_thread_id").isNotNull()).unionByName(marks, allowMissingColumns=True)
+    totals = running_total(swept, here, "at", {v: F.col(v) for v in values}, span=2 * span).where(F.col("sign").isNotNull())
+    inside = totals.groupBy("session_id", F.col("task.started_seq").alias("started_seq")).agg(
+        F.first("task").alias("task"), *[F.sum(F.col("sign") * F.col(v)).alias(v) for v in values]
     )
+    return inside.select(*[F.col(f"task.{c}") for c in owner], *values)
 
 
-def task_rollup(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Totals with everything below added, level by level along the child edges.
+def task_children(tasks: DataFrame, span: int = SPAN) -> DataFrame:
+    """Edges parent -> child: the child's parent thread is the parent's and it starts in its interval.
 
-    A task reached over several paths counts once per path. Values become partial, since a leaf
-    adds an unknown child sum; the task's own part keeps its coverage.
+    The children of a thread are numbered along its sequence numbers. Those of one task are a range of numbers, found by
+    counting at its two ends and joined by equality, so work grows with the edges that there are.
+    """
+    here = ["session_id", "thread"]
+    tasks = cut_lineage(tasks.select("session_id", "thread_id", "parent_thread_id", "started_seq", "end_seq", "task_key"))
+    children = tasks.where(F.col("parent_thread_id").isNotNull()).select(
+        "session_id", F.col("parent_thread_id").alias("thread"), F.col("started_seq").alias("child_seq"), F.col("task_key").alias("child_key")
+    )
+    children = cut_lineage(row_index(children, here, F.floor(F.col("child_seq") / span), [F.col("child_seq")], "number"))
+    parents = tasks.where(F.col("thread_id").isNotNull() & (F.col("end_seq") >= F.col("started_seq"))).select(
+        "session_id", F.col("thread_id").alias("thread"), F.col("started_seq").alias("parent_seq"), F.col("task_key").alias("parent_key"), "end_seq"
+    )
+    last = ["number"]
+    opened = asof(parents, children, here, "parent_seq", "child_seq", last, inclusive=True, span=span).withColumnRenamed("number", "before")
+    ranged = asof(cut_lineage(opened), children, here, "end_seq", "child_seq", last, inclusive=True, span=span).withColumnRenamed("number", "upto")
+    first = F.coalesce(F.col("before") + 1, F.lit(0).cast("bigint"))
+    ranged = ranged.where(F.col("upto") >= first).withColumn("first", first)
+    # in two steps, so that a row never holds more than PART numbers
+    part = F.explode(F.sequence(F.floor(F.col("first") / PART), F.floor(F.col("upto") / PART)))
+    parted = ranged.withColumn("part", part)
+    number = F.explode(F.sequence(F.greatest("first", F.col("part") * PART), F.least("upto", (F.col("part") + 1) * PART - 1)))
+    met = parted.select(*here, "parent_seq", "parent_key", number.alias("number")).join(children, [*here, "number"])
+    return met.select("session_id", "parent_seq", "child_seq", "parent_key", "child_key")
+
+
+def task_rollup(tasks: DataFrame, span: int = SPAN) -> DataFrame:
+    """Totals with everything below added, level by level.
+
+    A task reached over several paths counts once per path. A level's sums below every task are differences of running
+    totals over the level before, so no edges are listed; sums of values travel with the number of values in them, since
+    a sum of nothing is unknown. Values become partial, since a leaf adds an unknown child sum; the task's own part keeps
+    its coverage.
     """
     names = list(TOKENS)
+    sums, counts = [f"sum_{n}" for n in names], [f"count_{n}" for n in names]
     node = ["session_id", "started_seq"]
-    own = tasks.select(*node, F.lit(0).alias("level"), *[F.col(f"own_{n}.value").alias(n) for n in names])
-    links = edges.select("session_id", "parent_seq", "child_seq")
-
-    def raise_one_level(frontier: DataFrame, links: DataFrame) -> DataFrame:
-        below = frontier.withColumnRenamed("started_seq", "child_seq")
-        return (
-            links.join(below, ["session_id", "child_seq"])
-            .groupBy("session_id", F.col("parent_seq").alias("started_seq"))
-            .agg((F.max("level") + 1).alias("level"), *[F.sum(n).alias(n) for n in names])
-        )
-
-    levels = spread_levels(links, own, raise_one_level)
+    place = ["session_id", "started_seq", "end_seq", "thread_id", "parent_thread_id"]
+    tasks = cut_lineage(tasks)
+    nodes = tasks.select(*place)
+    start = tasks.select(
+        *place, F.lit(0).alias("level"), F.lit(1).cast("bigint").alias("paths"),
+        *[F.coalesce(F.col(f"own_{n}.value"), F.lit(0)).cast("bigint").alias(s) for n, s in zip(names, sums)],
+        *[F.col(f"own_{n}.value").isNotNull().cast("bigint").alias(c) for n, c in zip(names, counts)],
+    )
+
+    depth = itertools.count(1)
+
+    def raise_one_level(frontier: DataFrame, nodes: DataFrame) -> DataFrame:
+        above = _interval_sums(nodes, frontier, ["paths", *sums, *counts], span)
+        return above.where("paths > 0").withColumn("level", F.lit(next(depth))).select(*start.columns)
+
+    levels = spread_levels(nodes, start, raise_one_level)
+    below = F.col("level") > 0
     totals = levels.groupBy(*node).agg(
-        *[F.sum(n).alias(f"sum_{n}") for n in names], F.sum(F.when(F.col("level") > 0, F.col("total"))).alias("below")
-    )
-    direct = tasks.select("session_id", F.col("started_seq").alias("child_seq"), "total_ms")
-    spans = (
-        links.join(direct, ["session_id", "child_seq"])
-        .groupBy("session_id", F.col("parent_seq").alias("started_seq"))
-        .agg(C.covered_sum("total_ms").alias("children_ms"))
+        *[F.when(F.sum(c) > 0, F.sum(s)).alias(s) for s, c in zip(sums, counts)],
+        F.when(F.sum(F.when(below, F.col("count_total"))) > 0, F.sum(F.when(below, F.col("sum_total")))).alias("below"),
     )
+    ms = tasks.select(
+        "session_id", "parent_thread_id", "started_seq", F.lit(1).cast("bigint").alias("children"),
+        F.coalesce(F.col("total_ms.value"), F.lit(0)).alias("ms"), F.col("total_ms.value").isNotNull().cast("bigint").alias("with_ms"),
+        (F.col("total_ms.coverage") == C.KNOWN).cast("bigint").alias("known_ms"),
+    )
+    spans = _interval_sums(nodes, ms, ["children", "ms", "with_ms", "known_ms"], span).where("children > 0")
+    complete = F.when(F.col("known_ms") == F.col("children"), C.KNOWN).otherwise(C.PARTIAL)
+    spans = spans.select(*node, C.covered(F.when(F.col("with_ms") > 0, F.col("ms")), complete, C.DERIVED).alias("children_ms"))
     joined = tasks.join(totals, node, "left").join(spans, node, "left")
     return joined.select(
         *tasks.columns,
@@ -289,7 +331,7 @@ def task_facts(events: DataFrame, operations: DataFrame, sessions: DataFrame) ->
     tasks = task_class(task_signals(task_outcome(task_intervals(events)), events, sessions))
     tasks = task_duration(task_operations(task_token_delta(tasks, events), operations))
     tasks = cut_lineage(tasks)
-    tasks = task_rollup(tasks, task_children(tasks))
+    tasks = task_rollup(tasks)
     identity = sessions.select("session_id", "project_key", "session_scope")
     return lookup(tasks, identity, ["session_id"], "started_seq")
 

@@ -10,7 +10,8 @@ from loomtrace.functions import tools as T
 from loomtrace.operators.columns import ensure_columns
 from loomtrace.operators.normalize import ROOT_PARENT
 from loomtrace.operators.operations import FAILED_STATUSES, KIND_ORDER
-from loomtrace.operators.ordered import asof_values, carry, lookup, row_index, spread_levels
+from loomtrace.operators.ordered import asof_values, carry, lookup, row_index, running_total
+from loomtrace.operators.trees import double
 from loomtrace.session import cut_lineage
 
 RESULTS = ["tool.result", "shell.result"]
@@ -207,27 +208,32 @@ def thread_index(events: DataFrame, agents: DataFrame, root: Column) -> DataFram
 
 
 def thread_closure(index: DataFrame) -> DataFrame:
-    """Tree of threads: depth, path from the root, direct children and first event below."""
-    rows = cut_lineage(index)
-    edges = rows.where(F.col("parent_thread_id").isNotNull()).select("session_id", F.col("parent_thread_id").alias("up"), F.col("thread_id").alias("down"), "first_seq")
-    start = rows.where(F.col("parent_thread_id").isNull()).select("session_id", "thread_id", F.lit(0).alias("depth"), F.array("thread_id").alias("way"))
-
-    def descend(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-        joined = frontier.withColumnRenamed("thread_id", "up").join(edges, ["session_id", "up"])
-        joined = joined.where(~F.array_contains("way", F.col("down")))
-        return joined.select("session_id", F.col("down").alias("thread_id"), (F.col("depth") + 1).alias("depth"), F.array_append("way", F.col("down")).alias("way"))
-
-    tree = cut_lineage(spread_levels(edges, start, descend))
-    children = edges.groupBy("session_id", F.col("up").alias("thread_id")).agg(F.count(F.lit(1)).alias("children"))
-    # Every thread adds its first event to all threads above it.
-    firsts = rows.select("session_id", "thread_id", "first_seq")
-    below = (
-        tree.join(firsts, ["session_id", "thread_id"]).select("session_id", F.explode("way").alias("thread_id"), "first_seq")
-        .groupBy("session_id", "thread_id").agg(F.min("first_seq").alias("first_below"))
-    )
-    return tree.join(children, ["session_id", "thread_id"], "left").join(below, ["session_id", "thread_id"], "left").withColumn(
-        "children", F.coalesce("children", F.lit(0))
-    )
+    """Tree of threads: depth, place in preorder, size and first event of the subtree, direct children.
+
+    One thread lies below another when its preorder lies in [preorder, preorder + size) of the other. Siblings keep their
+    `position`. Threads on or below a cycle hang on no root and have no row. Rounds grow with the logarithm of the depth.
+    """
+    here = ["session_id"]
+    rows = index.select(*here, "thread_id", "parent_thread_id", "first_seq", "position", F.col("first_seq").alias("first_below"), F.lit(1).cast("bigint").alias("size"))
+    rows = rows.withColumn("depth", F.col("parent_thread_id").isNotNull().cast("int"))
+    add = lambda own, other: own + other
+    sized = double(
+        rows, here, "thread_id", "parent_thread_id", above={"depth": add},
+        below={"size": (F.sum, add), "first_below": (F.min, lambda own, other: F.least(own, other))},
+    )
+    # a node comes after its parent and the subtrees of its earlier siblings
+    placed = running_total(sized, ["session_id", "parent_thread_id"], "position", {"upto": F.col("size")})
+    own_step = F.col("parent_thread_id").isNotNull().cast("bigint")
+    placed = placed.withColumn("preorder", F.col("upto") - F.col("size") + own_step).drop("upto")
+    placed = double(placed, here, "thread_id", "parent_thread_id", above={"preorder": add})
+    children = placed.where(F.col("parent_thread_id").isNotNull()).groupBy("session_id", F.col("parent_thread_id").alias("thread_id")).agg(F.count(F.lit(1)).alias("children"))
+    return placed.join(children, ["session_id", "thread_id"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
+
+
+def thread_paths(tree: DataFrame) -> DataFrame:
+    """The tree with `way`: the threads from the root to each thread, for showing. As long as the depth, so ask for few rows."""
+    rows = tree.withColumn("way", F.array("thread_id"))
+    return double(rows, ["session_id"], "thread_id", "parent_thread_id", above={"way": lambda own, its: F.concat(its, own)})
 
 
 def follow_up_parent(events: DataFrame) -> DataFrame:

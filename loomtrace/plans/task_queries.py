@@ -212,8 +212,7 @@ def facts(spark, sf):
 
 @query("task_rollup", ROLLUP_SQL)
 def task_rollup(spark, sf):
-    tasks = cut_lineage(T.task_duration(deltas(spark, sf)))
-    rolled = T.task_rollup(tasks, T.task_children(tasks))
+    rolled = T.task_rollup(T.task_duration(deltas(spark, sf)))
     return C.flatten_covered(rolled.select("session_id", "started_seq", *M.TOKENS, "spawn_agent", "task", "spawn_agent_ms"))
 
 

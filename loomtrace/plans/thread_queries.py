@@ -157,7 +157,8 @@ SELECT t.session_id, t.thread_id, t.depth, array_to_string(t.way, '>') AS way, c
 LEFT JOIN (SELECT session_id, parent_thread_id, count(*) AS n FROM t_index WHERE parent_thread_id IS NOT NULL GROUP BY session_id, parent_thread_id) AS c ON c.session_id = t.session_id AND c.parent_thread_id = t.thread_id
 LEFT JOIN t_below b ON b.session_id = t.session_id AND b.thread_id = t.thread_id""")
 def thread_closure(spark, sf):
-    return closure(spark, sf).select("session_id", "thread_id", "depth", F.array_join("way", ">").alias("way"), "children", "first_below")
+    tree = H.thread_paths(closure(spark, sf))
+    return tree.select("session_id", "thread_id", "depth", F.array_join("way", ">").alias("way"), "children", "first_below")
 
 
 @query("follow_up_parent", f"""
