@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrace.operators import catalog, threads
+from loomtrace.operators import threads
 from loomtrace.operators import trees as R
 
 
@@ -74,10 +74,3 @@ def test_star_and_nothing(spark):
     got = {r.thread_id: r for r in threads.thread_closure(index(spark, rows)).collect()}
     assert (got["root"].children, got["root"].size, got["root"].first_below) == (500, 501, 4) and got["t499"].preorder == 500
     assert threads.thread_closure(index(spark, rows).limit(0)).collect() == []
-
-
-def test_linked_sessions_end_on_cycles(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d"), ("b", "d")], "parent string, child string")
-    roots = spark.createDataFrame([("a",), ("d",), ("x",)], "root string")
-    got = {(r.root, r.session_id): r.way for r in catalog.linked_sessions(roots, edges).collect()}
-    assert got == {("a", "a"): ["a"], ("a", "b"): ["a", "b"], ("a", "c"): ["a", "c"], ("a", "d"): ["a", "b", "d"], ("d", "d"): ["d"], ("x", "x"): ["x"]}
