@@ -7,15 +7,13 @@ comes from running values that spread a long file over many tasks.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
 from loomtrace.functions import tools as T
-from loomtrace.operators.ordered import carry
+from loomtrace.operators.ordered import SPAN, carry
 from loomtrace.session import cut_lineage
 
 UNPARSED = "raw.unparsed"
@@ -44,16 +42,19 @@ TOKEN_FIELDS = ["input_tokens", "cached_input_tokens", "output_tokens", "reasoni
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Bronze: one row per line with the parsed record and the columns dispatch needs.
 
-    `lines` has session_id, path, seq, value and read_at (the file's time, for lines without one).
+    `lines` has session_id, path, seq, value and read_at (the file's time, for lines without one). A line that is no
+    UTF-8 has no record; its value shows U+FFFD for what cannot be read.
     """
-    tree = J.parse(F.col("value"))
+    readable = F.is_valid_utf8("value")
+    lines = lines.withColumn("readable", readable).withColumn("value", F.when(F.col("readable"), F.col("value")).otherwise(F.make_valid_utf8("value")))
+    tree = F.when(F.col("readable"), J.parse(F.col("value")))
     rows = lines.withColumn("record", tree).withColumn("valid", J.is_object(F.col("record")))
     payload = F.when(F.col("valid"), J.node(F.col("record"), "$.payload"))
     rows = rows.withColumn("p", F.when(J.is_object(payload), payload))
     return rows.select(
         "session_id", "path", "seq", "value", "valid", "p",
         F.coalesce(J.text(F.col("record"), "$.timestamp"), F.col("read_at")).alias("ts"),
-        F.when(F.col("valid"), F.coalesce(J.text(F.col("record"), "$.type"), F.lit("unknown"))).otherwise("invalid_json").alias("raw_type"),
+        F.when(F.col("valid"), F.coalesce(J.text(F.col("record"), "$.type"), F.lit("unknown"))).when(F.col("readable"), "invalid_json").otherwise("invalid_utf8").alias("raw_type"),
         F.coalesce(J.text(F.col("p"), "$.type"), F.lit("unknown")).alias("p_type"),
         F.coalesce(J.text(F.col("p"), "$.call_id"), F.lit("")).alias("call_id"),
         J.text(F.col("p"), "$.name").alias("name"),
@@ -172,7 +173,7 @@ def quarantine_reason() -> Column:
     p, raw = F.col("p"), F.col("raw_type")
     item = J.node(p, "$.item")
     return F.when(F.col("event_type") == UNPARSED, (
-        F.when(~F.col("valid"), "invalid_json")
+        F.when(~F.col("valid"), raw)
         .when(raw.isin("session_meta", "response_item", "event_msg") & p.isNull(), F.concat(F.lit("missing "), raw, F.lit(" payload object")))
         .when(raw == "response_item", F.concat(F.lit("unsupported response_item.type="), F.col("p_type")))
         .when(_is("event_msg", "item_completed") & ~J.is_object(item), "missing item_completed item object")
@@ -374,24 +375,57 @@ def _breaks_or_joins() -> Column:
     return ~early
 
 
-def drop_message_echo(silver: DataFrame) -> DataFrame:
+def _continues(before: Column, message: Column) -> Column:
+    same = before.isNotNull() & (message["text"] != "") & before.eqNullSafe(message)
+    return F.coalesce(same, F.lit(False))
+
+
+def _echo_seeds(considered: DataFrame) -> DataFrame:
+    """(session_id, span, seed): the last message and the opener of its run before each span.
+
+    A span does to this state what its first record, its last one and its last sure opener say; a span that goes on with
+    one message throughout hands the opener on. So spans are put together by two windows over one row each.
+    """
+    here = Window.partitionBy("session_id", "span").orderBy("seq")
+    before = F.lag(F.struct("message")).over(here)
+    opens = F.col("message").isNotNull() & before.isNotNull() & ~_continues(before["message"], F.col("message"))
+    marked = considered.withColumn("opens", F.coalesce(opens, F.lit(False)))
+    spans = marked.groupBy("session_id", "span").agg(
+        F.min_by(F.struct("message", "origin"), "seq").alias("first"), F.max_by(F.struct("message"), "seq").alias("last"),
+        F.max_by("origin", F.when(F.col("opens"), F.col("seq"))).alias("opener"),
+    )
+    earlier = Window.partitionBy("session_id").orderBy("span")
+    spans = spans.withColumn("before", F.lag("last").over(earlier))
+    first_opens = F.col("first.message").isNotNull() & ~_continues(F.col("before.message"), F.col("first.message"))
+    spans = spans.withColumn("told", F.coalesce("opener", F.when(first_opens, F.col("first.origin"))))
+    opener = F.last("told", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.select("session_id", "span", F.struct(F.col("before.message").alias("message"), opener.alias("opener")).alias("seed"))
+
+
+def drop_message_echo(silver: DataFrame, span: int = SPAN) -> DataFrame:
     """Drop a message that repeats the one just before it from the other source.
 
-    Runs of equal messages keep the source that opened the run.
+    Runs of equal messages keep the source that opened the run. Events are dealt once, by spans of their session; what a
+    span has to know of earlier ones comes from one row per span.
     """
-    considered = silver.where(_breaks_or_joins()).select(
-        "session_id", "seq",
-        F.when(_is_message(), F.struct(F.col("role"), X.trim_null(F.col("phase")).alias("phase"), X.strip(F.col("text")).alias("text"))).alias("message"),
-        F.col("raw_type").alias("origin"),
+    message = F.struct(F.col("role"), X.trim_null(F.col("phase")).alias("phase"), X.strip(F.col("text")).alias("text"))
+    rows = silver.withColumns(
+        {"__span": F.floor(F.col("seq") / span), "__counts": F.coalesce(_breaks_or_joins(), F.lit(False)), "__message": F.when(_is_message(), message)}
     )
-    considered = cut_lineage(considered)
-    before = carry(considered, ["session_id"], "seq", {"before": F.struct("message")}, inclusive=False)
-    same = [F.col("before.message").isNotNull(), F.col("message.text") != "", F.col("before.message").eqNullSafe(F.col("message"))]
-    continues = F.coalesce(reduce(lambda a, b: a & b, same), F.lit(False))
-    messages = cut_lineage(before.where(F.col("message").isNotNull()).select("session_id", "seq", "origin", continues.alias("continues")))
-    opened = carry(messages, ["session_id"], "seq", {"opener": F.when(~F.col("continues"), F.col("origin"))})
-    echoes = opened.where(F.col("origin") != F.col("opener")).select("session_id", "seq")
-    return silver.join(echoes, ["session_id", "seq"], "left_anti")
+    considered = rows.where("__counts").select("session_id", "seq", F.col("__span").alias("span"), F.col("__message").alias("message"), F.col("raw_type").alias("origin"))
+    seeds = _echo_seeds(considered).withColumnsRenamed({"session_id": "__session", "span": "__its_span", "seed": "__seed"})
+    seeded = rows.join(seeds, (F.col("session_id") == F.col("__session")) & (F.col("__span") == F.col("__its_span")), "left")
+    here = Window.partitionBy("session_id", "__span").orderBy("seq")
+    said = F.when(F.col("__counts"), F.struct(F.col("__message").alias("message")))
+    last = F.last(said, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    # a record of the span itself tells, be it a message or not; else what came before the span
+    before = F.when(last.isNotNull(), last["message"]).otherwise(F.col("__seed.message"))
+    seeded = seeded.withColumn("__before", before)
+    is_message = F.col("__counts") & F.col("__message").isNotNull()
+    opened = F.when(is_message & ~_continues(F.col("__before"), F.col("__message")), F.col("raw_type"))
+    opener = F.coalesce(F.last(opened, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0)), F.col("__seed.opener"))
+    echo = F.coalesce(is_message & (F.col("raw_type") != opener), F.lit(False))
+    return seeded.withColumn("__echo", echo).where("NOT __echo").select(*silver.columns)
 
 
 def run_counters(events: DataFrame) -> DataFrame:

@@ -28,13 +28,19 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def line_bytes() -> Column:
+    """A line as the text reader gives it, less a closing carriage return; bytes that are no UTF-8 stay as they are."""
+    cut_off = F.expr("cast(substring(cast(value AS binary), 1, octet_length(value) - 1) AS string)")
+    return F.when(F.col("value").endswith("\r"), cut_off).otherwise(F.col("value"))
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
     """Number the non-empty lines of every file from 1, in file order, without one task per file.
 
     `lines` has path, block (start of the split), place (increasing inside a split) and value.
     Splits are counted, their sizes summed along the file, and lines counted inside their split.
     """
-    kept = lines.withColumn("value", F.regexp_replace("value", r"\r$", "")).where(F.col("value") != "")
+    kept = lines.withColumn("value", line_bytes()).where(F.col("value") != "")
     kept = cut_lineage(kept)
     sizes = kept.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_place"))
     before = running_total(sizes, ["path"], "block", {"upto": F.col("n")}).withColumn("offset", F.col("upto") - F.col("n"))
@@ -50,10 +56,10 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> Data
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
         .select(
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-            F.col("_metadata.file_modification_time").alias("modified"), F.regexp_replace("value", r"\r$", "").alias("value"),
+            F.col("_metadata.file_modification_time").alias("modified"), "value",
         )
     )
-    text = text.where(F.col("value") != "").withColumn("place", F.monotonically_increasing_id())
+    text = text.withColumn("value", line_bytes()).where(F.col("value") != "").withColumn("place", F.monotonically_increasing_id())
     return number_lines(text)
 
 
