@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrace.functions import covered as C
+from loomtrace.operators import payloads as Y
 from loomtrace.operators import threads as H
 from loomtrace.operators import timeline as L
 from loomtrace.operators.session_metrics import thread_count as count_threads
@@ -433,3 +434,37 @@ SELECT session_id, seq, event_type, CASE WHEN event_type IN ('tool.call', 'shell
 FROM log_events""")
 def typed_payload(spark, sf):
     return L.typed_payload(events(spark, sf)).select("session_id", "seq", "event_type", "payload_view")
+
+
+# Payloads in which some fields have a type of their own now and then.
+PAYLOAD_TEXT = """CASE WHEN k % 17 = 3 THEN '[1]' ELSE concat('{"thread_id":"', coalesce(thread_id, 'none'), '","tool_name":', CASE WHEN k % 7 = 0 THEN '7' ELSE '"sh"' END,
+  ',"exit_code":', CASE WHEN k % 5 = 0 THEN '"1"' WHEN k % 5 = 1 THEN 'null' ELSE CAST(v % 300 AS VARCHAR(20)) END, ',"text":"t', CAST(v % 90 AS VARCHAR(20)),
+  '","receiver_thread_ids":["a",', CASE WHEN k % 6 = 0 THEN '1' ELSE '"b"' END, '],"changes":[{"kind":"add","path":"p', CAST(v % 9 AS VARCHAR(20)), '"},5,{"path":3}],"total_tokens":',
+  CASE WHEN k % 8 = 0 THEN '-1' ELSE CAST(v AS VARCHAR(20)) END, ',"status":', CASE WHEN k % 9 = 0 THEN 'true' ELSE '"ok"' END, '}') END"""
+cte("payloads", f"SELECT session_id, seq, event_type, {PAYLOAD_TEXT} AS p FROM log_events")
+cte("payload_kinds", f"""
+SELECT session_id, seq, event_type, p, CASE WHEN json_type(p) <> 'OBJECT' THEN NULL {' '.join(f"WHEN event_type IN ({', '.join(repr(t) for t in types.split())}) THEN '{view}'" for view, types in Y.VIEW_OF.items())}
+  WHEN event_type = 'todo.update' THEN 'todo_update' END AS view,
+  json_type(p, '$.tool_name') <> 'VARCHAR' AS bad_name, json_type(p, '$.exit_code') NOT IN ('NULL', 'UBIGINT', 'BIGINT') AS bad_exit, json_type(p, '$.receiver_thread_ids[1]') <> 'VARCHAR' AS bad_ids,
+  json_type(p, '$.total_tokens') = 'BIGINT' AS bad_tokens, json_type(p, '$.status') <> 'VARCHAR' AS bad_status FROM payloads""")
+
+
+@query("typed_payload_fields", """
+SELECT session_id, seq, event_type, CASE WHEN bad IS NULL AND view IS NOT NULL THEN view ELSE 'value' END AS payload_view, bad AS payload_error,
+  CASE WHEN good AND view IN ('tool_call', 'tool_result') THEN json_extract_string(p, '$.tool_name') END AS tool_name,
+  CASE WHEN good AND view = 'tool_result' THEN CAST(json_extract_string(p, '$.exit_code') AS BIGINT) END AS exit_code,
+  CASE WHEN good AND view = 'agent_message' THEN json_extract_string(p, '$.text') END AS text,
+  CASE WHEN good AND view = 'info_tokens' THEN CAST(json_extract_string(p, '$.total_tokens') AS BIGINT) END AS total_tokens,
+  CASE WHEN good AND view = 'file_change' THEN concat('add:', json_extract_string(p, '$.changes[0].path'), ',:') END AS changes
+FROM (SELECT *, bad IS NULL AND view IS NOT NULL AS good FROM (SELECT *, CASE
+  WHEN view IN ('tool_call', 'tool_result') AND bad_name THEN 'tool_name' WHEN view IN ('tool_call', 'tool_result', 'mcp_call', 'mcp_result', 'file_change', 'todo_update', 'error') AND bad_status THEN 'status'
+  WHEN view = 'tool_result' AND bad_exit THEN 'exit_code' WHEN view IN ('tool_call', 'tool_result') AND bad_ids THEN 'receiver_thread_ids' WHEN view = 'info_tokens' AND bad_tokens THEN 'total_tokens' END AS bad
+  FROM payload_kinds) AS a) AS b""")
+def typed_payload_fields(spark, sf):
+    rows = fixtures.view(spark, sf, "log_events").select("session_id", "seq", "event_type", F.parse_json(F.expr(PAYLOAD_TEXT)).alias("payload"))
+    typed = Y.typed_payloads(rows)
+    changes = F.array_join(F.transform("as_file_change.changes", lambda c: F.concat(c["kind"], F.lit(":"), c["path"])), ",")
+    return typed.select(
+        "session_id", "seq", "event_type", "payload_view", "payload_error", F.coalesce("as_tool_call.tool_name", "as_tool_result.tool_name").alias("tool_name"),
+        F.col("as_tool_result.exit_code").alias("exit_code"), F.col("as_agent_message.text").alias("text"), F.col("as_info_tokens.total_tokens").alias("total_tokens"), changes.alias("changes"),
+    )
