@@ -26,6 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote, once what was made of them is a table itself."""
+    for df in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles() if "/table-" in file}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def whole_text(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import cut
+from loomtrace.llm.common import cut, release
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges(a, b); the component is its smallest node.
 
     No neighbour list is collected: minima are aggregates, links go back by a join. Rounds end when nothing changes;
-    their number grows with the logarithm of the longest chain. Each round is a table in the shared folder. Nulls and
+    their number grows with the logarithm of the longest chain. Each round is a table in the shared folder and replaces the one before. Nulls and
     self loops are dropped, repeated edges count once, no edges give no rows.
     """
     now = cut(edges.dropna(subset=["a", "b"]).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -35,6 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         if (seen["n"], seen["x"]) == mark or not seen["n"]:
             break
         mark = (seen["n"], seen["x"])
-        now = cut(_star(_star(now, True), False))
+        before, now = now, cut(_star(_star(now, True), False))
+        release(before)
     linked = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return linked.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
