@@ -3,7 +3,9 @@
 import hashlib
 import random
 from collections import defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -97,6 +99,24 @@ def brute_jaccard(a, b):
     return not a and not b or len(a & b) * 5 >= len(a | b) * 4
 
 
+def test_sketches_never_rule_out_a_similar_pair(spark):
+    rng = np.random.default_rng(5)
+    share = Fraction(shingle_dedup.SIMILARITY)
+    rows = []
+    for n in [0, 1, 4, 9, 60, 900, 4200, 5000]:  # 4,200 less a few has fewer bits
+        for gone in sorted({0, 1, n // 9, n // 5, n // 2, n}):
+            one = np.unique(rng.integers(-(2**63), 2**63, n))
+            two = np.unique(np.append(one[gone:], rng.integers(-(2**63), 2**63, gone // 10)))
+            shared = len(np.intersect1d(one, two))
+            apart = shared * 10 < 6 * (len(one) + len(two) - shared) and n > 50
+            similar = shared * 10 >= 8 * (len(one) + len(two) - shared)
+            rows.append(([int(x) for x in shingle_dedup.parities(one)], [int(x) for x in shingle_dedup.parities(two)], len(one), len(two), similar, apart))
+    told = spark.createDataFrame(rows, "a_odd array<bigint>, b_odd array<bigint>, n int, m int, similar boolean, apart boolean")
+    got = told.select("similar", "apart", shingle_dedup._may_do(share).alias("may")).collect()
+    assert all(r.may for r in got if r.similar)
+    assert not any(r.may for r in got if r.apart) and any(r.similar for r in got)
+
+
 def brute_shingles(text):
     words = [w.decode() for w in (text or "").encode().lower().split()]
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
