@@ -45,13 +45,13 @@ def event_summary(events: DataFrame) -> DataFrame:
         .when(_type() == "task.completed", _labelled("done", F.col("turn_id")))
         .when(_type() == "runtime.context", _labelled("context", F.col("cwd")))
         .when(_type() == "context.compacted", "context compacted")
-        .when(_type() == "context.compacted.duplicate", _labelled("context compacted duplicate", F.col("duplicate_of")))
+        .when(_type() == "context.compacted.duplicate", _labelled("context compacted duplicate", F.concat(F.lit("source="), X.trim_null(F.col("duplicate_of")))))
         .when(_type() == "info.tokens", _labelled("tokens", tokens))
         .when(_type().isin("tool.call", "shell.call"), _labelled("tool", F.concat(F.lit("["), tool, F.lit("]"), F.coalesce(F.concat(F.lit(" "), F.col("command")), F.lit("")))))
         .when(_type().isin("tool.result", "shell.result"), _labelled("result", F.concat(F.lit("["), tool, F.lit("]"), exit_part)))
         .when(_type() == "patch.apply", _labelled("patch apply", F.coalesce("artifact_path", "status", "phase")))
         .when(_type() == "file.change", _labelled("files", F.col("artifact_path")))
-        .when(_type() == "stderr.line", F.concat(F.lit("stderr "), text))
+        .when(_type() == "stderr.line", F.concat(F.lit("stderr: "), text))
         .when(_type() == "agent.aborted", _labelled("agent aborted", F.concat(F.lit("reason="), F.col("error_text"))))
         .when(_type() == "agent.failed", _labelled("agent failed", F.col("error_text")))
         .otherwise(_type())

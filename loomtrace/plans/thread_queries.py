@@ -270,7 +270,7 @@ SELECT run_id, session_id, seq, ts, event_type, CASE WHEN event_type LIKE 'messa
   WHEN event_type = 'info.tokens' THEN concat('tokens: ', concat_ws(' ', 'total=' || format('{{:,}}', total_tokens), 'in=' || format('{{:,}}', input_tokens), 'out=' || format('{{:,}}', output_tokens)))
   WHEN event_type IN ('tool.call', 'shell.call') THEN concat('tool: [', tool_name, ']', coalesce(' ' || command, ''))
   WHEN event_type IN ('tool.result', 'shell.result') THEN concat('result: [', tool_name, ']', coalesce(' exit=' || exit_code, '')) WHEN event_type = 'patch.apply' THEN concat('patch apply: ', artifact_path)
-  WHEN event_type = 'file.change' THEN concat('files: ', artifact_path) WHEN event_type = 'stderr.line' THEN 'stderr ' WHEN event_type = 'agent.aborted' THEN concat('agent aborted: reason=', error_text)
+  WHEN event_type = 'file.change' THEN concat('files: ', artifact_path) WHEN event_type = 'stderr.line' THEN 'stderr: ' WHEN event_type = 'agent.aborted' THEN concat('agent aborted: reason=', error_text)
   WHEN event_type = 'agent.failed' THEN concat('agent failed: ', error_text) ELSE event_type END AS summary FROM log_events""".replace("{{", "{").replace("}}", "}"))
 
 
