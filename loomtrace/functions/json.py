@@ -51,6 +51,16 @@ def texts(tree: Column, path: str) -> Column:
     return F.filter(F.transform(items, lambda x: text(x, "$")), lambda x: x.isNotNull())
 
 
+def agent_states(tree: Column, path: str) -> Column:
+    """(thread_id, status, message) of each object in the object at the path, by key; null when it is no object."""
+    states = F.when(is_object(node(tree, path)), F.try_variant_get(tree, path, "map<string,variant>"))
+    entries = F.filter(F.map_entries(states), lambda e: is_object(e["value"]))
+    said = F.transform(
+        entries, lambda e: F.struct(e["key"].alias("thread_id"), text(e["value"], "$.status").alias("status"), text(e["value"], "$.message").alias("message"))
+    )
+    return F.sort_array(said)
+
+
 def parse(value: Column) -> Column:
     """Tree of a JSON text, null unless the text is one JSON value and nothing more.
 

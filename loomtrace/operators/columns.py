@@ -23,6 +23,7 @@ EVENT_COLUMNS = {
     "runtime_mcp_servers": "bigint", "runtime_skills": "bigint", "exit_code": "int",
     "agent_nickname": "string", "cwd": "string", "skill_identifiers": "array<string>",
     "receiver_thread_ids": "array<string>",
+    "agents_states": "array<struct<thread_id:string,status:string,message:string>>",
 }
 
 TOKEN_COLUMNS = ["input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]

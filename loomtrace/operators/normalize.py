@@ -214,6 +214,28 @@ def legacy_receivers(p: Column, message_type: Column) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
+def legacy_states(p: Column, message_type: Column) -> Column:
+    """What an end message reports of each thread, as (thread_id, status, message); null for nothing."""
+
+    def alone(thread: str, status: Column, message: Column) -> Column:
+        name = J.text(p, thread)
+        return F.when(name.isNotNull(), F.array(F.struct(name.alias("thread_id"), status.alias("status"), message.alias("message"))))
+
+    blank = F.lit(None).cast("string")
+    listed = F.filter(F.try_variant_get(p, "$.agent_statuses", "array<variant>"), lambda x: J.text(x, "$.thread_id").isNotNull())
+    listed = F.transform(listed, lambda x: F.struct(J.text(x, "$.thread_id").alias("thread_id"), J.text(x, "$.status").alias("status"), blank.alias("message")))
+    waited = F.when(J.is_object(J.node(p, "$.statuses")), J.agent_states(p, "$.statuses")).otherwise(listed)
+    found = (
+        F.when(message_type == "collab_agent_spawn_end", alone("$.new_thread_id", J.text(p, "$.status"), blank))
+        .when(
+            message_type.isin("collab_close_end", "collab_agent_interaction_end"),
+            alone("$.receiver_thread_id", F.coalesce(J.text(p, "$.status"), J.text(p, "$.status.status")), J.text(p, "$.status.message")),
+        )
+        .when(message_type == "collab_waiting_end", waited)
+    )
+    return F.when(F.size(found) > 0, found)
+
+
 def _phase() -> Column:
     p, kind = F.col("p"), F.col("event_type")
     call = F.when(T.is_singleton_type(kind) | (kind == "mcp.call"), "started")
@@ -312,6 +334,7 @@ def _silver_columns(resource_server: str) -> dict[str, Column]:
         "new_agent_nickname": F.when(spawn_end, F.coalesce(J.clean(out, "$.nickname"), J.clean(out, "$.agent_nickname"))).when(collab, J.text(p, "$.new_agent_nickname")),
         "receiver_role": F.when(spawn_end, J.clean(out, "$.agent_role")).when(collab, F.coalesce(J.clean(p, "$.new_agent_role"), J.clean(p, "$.receiver_agent_role"))),
         "receiver_thread_ids": F.when(spawn_end & new_thread.isNotNull(), F.array(new_thread)).when(collab, legacy_receivers(p, F.col("p_type"))),
+        "agents_states": F.when(collab, legacy_states(p, F.col("p_type"))),
         "detection_confidence": F.when(collab, F.when(T.is_subagent_tool(tool), "high").otherwise("medium")),
         "exit_code": F.when(shell_output, F.coalesce(J.whole(out, "$.exit_code").try_cast("int"), T.exit_code_in(raw_output)))
         .when(command_end, J.whole(p, "$.exit_code").try_cast("int")),
@@ -559,6 +582,7 @@ def normalize_stdout(bronze_lines: DataFrame) -> DataFrame:
         "input_command": F.when(it("command_execution"), T.shell_command(J.text(item, "$.command"), J.texts(item, "$.command"))),
         "mcp_server": F.when(it("mcp_tool_call"), J.text(item, "$.server")),
         "receiver_thread_ids": receivers,
+        "agents_states": F.when(it("collab_tool_call"), J.agent_states(item, "$.agents_states")),
         "prompt": F.when(it("collab_tool_call"), J.text(item, "$.prompt")),
         "detection_confidence": F.when(it("collab_tool_call"), F.when(T.is_subagent_tool(tool), "high").otherwise("medium")).when(
             it("tool_use") & T.is_subagent_tool(tool), "high"

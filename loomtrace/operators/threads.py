@@ -88,7 +88,8 @@ def assign_event_thread(events: DataFrame, root: Column) -> DataFrame:
     return ensure_columns(events).withColumn("assigned_thread", thread).withColumn("is_orphan", thread.isNull())
 
 
-def _named_receivers() -> Column:
+def named_receivers() -> Column:
+    """A result or collaboration event that names threads."""
     return (_type().isin("tool.result") | _type().isin(*COLLAB_TYPES)) & (F.size("receiver_thread_ids") > 0)
 
 
@@ -99,8 +100,9 @@ def _real_parent(parent: Column) -> Column:
 def thread_state(events: DataFrame, root: Column) -> DataFrame:
     """Status, parent, nickname, role and folder of every thread, by its last or first assignment.
 
-    Events are exploded to assignments, which then fold in one aggregation. A session's own
-    metadata decides the parent; other events only fill it in. Threads nobody sets are idle.
+    Events are exploded to assignments, which then fold in one aggregation. Of one event, the states it reports of its
+    receivers come last. A session's own metadata decides the parent; other events only fill it in. Threads nobody sets
+    are idle.
     """
     rows = ensure_columns(events)
     own = F.coalesce(X.trim_null(F.col("thread_id")), X.trim_null(F.col("sender_thread_id")))
@@ -129,20 +131,21 @@ def thread_state(events: DataFrame, root: Column) -> DataFrame:
     no_meta = F.lit(False)
     direct = F.when(touches, F.array(entry(F.coalesce(own, root), status, parent, F.lit(True))))
     rooted = F.when(on_root.isNotNull(), F.array(entry(root, on_root, blank, no_meta)))
+    none = F.array().cast("array<struct<thread_id:string,status:string,parent:string,meta:boolean>>")
     sender = F.coalesce(own, root)
     received = F.when(
-        _named_receivers(),
+        named_receivers(),
         F.concat(
             F.array(entry(sender, blank, blank, no_meta)),
             F.transform("receiver_thread_ids", lambda r: entry(X.strip(r), X.trim_null(F.col("status")), sender, no_meta)),
+            F.coalesce(F.transform("agents_states", lambda s: entry(X.strip(s["thread_id"]), X.trim_null(s["status"]), sender, no_meta)), none),
         ),
     )
-    none = F.array().cast("array<struct<thread_id:string,status:string,parent:string,meta:boolean>>")
     found = F.concat(F.coalesce(direct, none), F.coalesce(rooted, none), F.coalesce(received, none))
     exploded = rows.select(
-        "session_id", "seq", "event_type", "agent_nickname", "agent_role", "cwd", F.explode(found).alias("a")
+        "session_id", "seq", "event_type", "agent_nickname", "agent_role", "cwd", F.posexplode(found).alias("place", "a")
     ).where(X.trim_null(F.col("a.thread_id")).isNotNull())
-    seq = F.col("seq")
+    seq = F.struct("seq", "place")
     meta = F.when(is_session & F.col("a.meta"), seq)
     details = F.struct("agent_nickname", "agent_role", "cwd", F.col("a.parent").alias("parent"))
     context_cwd = F.when((_type() == "runtime.context") & F.col("a.meta"), X.trim_null(F.col("cwd")))
@@ -169,7 +172,7 @@ def pending_category(events: DataFrame, root: Column) -> DataFrame:
     thread = F.coalesce("assigned_thread", root)
     category = (
         F.when(is_other_message() & ~is_commentary() | (_type() == "task.completed"), F.struct(F.lit(None).cast("string").alias("c")))
-        .when(_named_receivers(), F.struct(tool_category().alias("c")))
+        .when(named_receivers(), F.struct(tool_category().alias("c")))
         .when(sub & _type().isin("todo.update", "user.input.request"), F.struct(F.lit("default").alias("c")))
         .when(sub & (_type() == "stdin.write"), F.struct(F.lit("command").alias("c")))
         .when(sub & (_type() == "patch.apply"), F.struct(F.lit("file").alias("c")))

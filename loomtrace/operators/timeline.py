@@ -9,7 +9,7 @@ from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
 from loomtrace.operators.columns import ensure_columns
 from loomtrace.operators.ordered import asof_values, carry, lookup
-from loomtrace.operators.threads import event_category, is_other_message
+from loomtrace.operators.threads import event_category, is_other_message, named_receivers
 from loomtrace.session import cut_lineage
 
 LINE_WIDTH, TIMELINE_WIDTH = 140, 160
@@ -61,12 +61,12 @@ def event_summary(events: DataFrame) -> DataFrame:
 
 def _last_lines(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """The newest rows per key; the rank limit is applied before the shuffle as well."""
-    newest = Window.partitionBy(*keys).orderBy(F.col("seq").desc())
+    newest = Window.partitionBy(*keys).orderBy(F.col("seq").desc(), *[F.col(c).desc() for c in rows.columns if c == "place"])
     return rows.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= limit)
 
 
 def thread_recent_lines(events: DataFrame, limit: int = LINES_DEFAULT) -> DataFrame:
-    """Last lines each thread said or ran."""
+    """Last lines each thread said, ran, or was reported to have said; an event's report comes after its own line."""
     rows = ensure_columns(events).withColumn("thread", F.coalesce("thread_id", "sender_thread_id"))
     tool = F.coalesce("tool_name", F.lit("unknown"))
     sub = F.coalesce(F.col("actor_type") == "subagent", F.lit(False))
@@ -76,8 +76,12 @@ def thread_recent_lines(events: DataFrame, limit: int = LINES_DEFAULT) -> DataFr
         .when(sub & _type().isin("tool.call", "shell.call"), F.concat(F.lit("tool: "), tool))
         .when(sub & _type().isin("tool.result", "shell.result"), F.concat(F.lit("result "), tool, F.lit(": "), F.coalesce(X.trim_null(F.col("text")), F.lit("ok"))))
     )
-    rows = rows.withColumn("line", X.truncate(line, LINE_WIDTH)).where(F.col("line").isNotNull() & F.col("thread").isNotNull())
-    return _last_lines(rows.select("session_id", "thread", "seq", "line"), ["session_id", "thread"], limit)
+    own = F.struct(F.col("thread").alias("thread"), line.alias("line"))
+    told = F.transform("agents_states", lambda s: F.struct(X.strip(s["thread_id"]).alias("thread"), s["message"].alias("line")))
+    lines = F.concat(F.array(own), F.when(named_receivers(), told).otherwise(F.array().cast("array<struct<thread:string,line:string>>")))
+    said = rows.select("session_id", "seq", F.posexplode(F.coalesce(lines, F.array(own))).alias("place", "l"))
+    said = said.select("session_id", F.col("l.thread").alias("thread"), "seq", "place", X.truncate(F.col("l.line"), LINE_WIDTH).alias("line"))
+    return _last_lines(said.where("line IS NOT NULL AND thread <> ''"), ["session_id", "thread"], limit).drop("place")
 
 
 def run_timeline(events: DataFrame, limit: int = TIMELINE_DEFAULT) -> DataFrame:
@@ -240,7 +244,8 @@ def collab_states(events: DataFrame) -> DataFrame:
         keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
         return F.coalesce(J.clean(value, "$"), J.clean(value, "$.status"), F.get(F.array_sort(keys), F.lit(0)))
 
-    keyed = events.select("session_id", "seq", F.explode(F.try_variant_get(p, "$.statuses", "map<string,variant>")).alias("thread_id", "v"))
+    maps = [F.explode(F.try_variant_get(p, f"$.{name}", "map<string,variant>")).alias("thread_id", "v") for name in ("statuses", "agents_states")]
+    keyed = events.select("session_id", "seq", maps[0]).unionByName(events.select("session_id", "seq", maps[1]))
     listed = events.select("session_id", "seq", F.explode(F.try_variant_get(p, "$.agent_statuses", "array<variant>")).alias("e"))
     listed = listed.select("session_id", "seq", J.clean(F.col("e"), "$.thread_id").alias("thread_id"), J.node(F.col("e"), "$.status").alias("v"))
     fallback = F.get("receiver_thread_ids", F.lit(0))

@@ -99,6 +99,8 @@ SELECT session_id, session_id AS run_id, concat('task', CAST(user_id % 5 AS VARC
   CASE WHEN event_type = 'shell.call' AND v % 5 = 1 THEN CASE WHEN v % 2 = 0 THEN concat('skill', CAST(v % 7 AS VARCHAR(20)))
       ELSE concat('skill', CAST(v % 7 AS VARCHAR(20)), ',extra') END END AS skill_list,
   CASE WHEN event_type LIKE 'collab.%' AND k % 11 <> 1 THEN CASE k % 3 WHEN 0 THEN 't1' WHEN 1 THEN 't2' ELSE 't1,t9' END END AS receiver_list,
+  CASE WHEN event_type LIKE 'collab.%' THEN CASE v % 5 WHEN 0 THEN 't1:working:' WHEN 1 THEN concat('t2:completed:sub ', CAST(v % 90 AS VARCHAR(20)), ',t9::late')
+    WHEN 2 THEN 't2:failed:,t7:pending_init:' END END AS state_list,
   CASE WHEN event_type LIKE 'shell.result' THEN v % 3 - 1 END AS exit_code,
   CASE WHEN event_type = 'task.started' AND v % 3 = 0 THEN concat('Task ', CAST(v % 40 AS VARCHAR(20))) END AS title,
   CASE WHEN event_type = 'thread.started' THEN NULL WHEN v % 31 = 0 THEN concat('nick', CAST(v % 5 AS VARCHAR(20))) END AS agent_nickname,
@@ -195,7 +197,7 @@ STDOUT = [
     _text('{"type":"item.completed","item":{"type":"item.updated","item":{"type":"command_execution","id":"i@k","command":"cat skills/q@t/SKILL.md","exit_code":@t,"status":"completed"}}}'),
     _text('{"type":"item.started","item":{"type":"command_execution","id":"i@k","command":"ls","status":"in_progress"}}'),
     _text('{"type":"item.updated","item":{"type":"todo_list","id":"i@k","items":[{"text":"a","completed":true},{"text":"b"},{"text":"c","completed":false}]}}'),
-    _text('{"type":"item.started","item":{"type":"collab_tool_call","id":"i@k","tool":"spawn_agent","sender_thread_id":"th0","receiver_thread_ids":["r@t","r@m"]}}'),
+    _text('{"type":"item.started","item":{"type":"collab_tool_call","id":"i@k","tool":"spawn_agent","sender_thread_id":"th0","receiver_thread_ids":["r@t","r@m"],"agents_states":{"r@t":{"status":"running","message":"m@k"},"x@m":"odd"}}}'),
     _text('{"type":"item.completed","item":{"type":"file_change","id":"i@k","status":"completed","changes":[{"kind":"add","path":"a@t"},{"kind":"update"}]}}'),
     _text('{"type":"item.completed","item":{"type":"mcp_tool_call","id":"i@k","server":"srv","tool":"find","status":"failed"}}'),
     _text('{"type":"item.started","item":{"type":"tool_use","id":"i@k","name":"write_stdin"}}'),
@@ -262,11 +264,16 @@ def _plan_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {text} SELECT * FROM {name}", events=table(spark, sf_dir, "events"))
 
 
+def _state(entry):
+    parts = F.split(entry, ":")
+    return F.struct(*[F.nullif(parts[i], F.lit("")).alias(name) for i, name in enumerate(("thread_id", "status", "message"))])
+
+
 def _log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "log_events")
     return rows.withColumns(
-        {"skill_identifiers": F.split("skill_list", ","), "receiver_thread_ids": F.split("receiver_list", ",")}
-    ).drop("skill_list", "receiver_list")
+        {"skill_identifiers": F.split("skill_list", ","), "receiver_thread_ids": F.split("receiver_list", ","), "agents_states": F.transform(F.split("state_list", ","), _state)}
+    ).drop("skill_list", "receiver_list", "state_list")
 
 
 @shared

@@ -106,11 +106,12 @@ def logged_events(spark, sf):
     """Flat events read back from canonical log lines that hold the event table."""
     rows = fixtures.log_events(spark, sf)
     top = [c for c in ("ts", "seq", "event_type", "raw_type", "parse_status", "task_id") if c in rows.columns]
-    rest = [c for c in EVENT_COLUMNS if c in rows.columns and c not in ("artifact_path", "run_id", "source", *top)]
+    rest = [c for c in EVENT_COLUMNS if c in rows.columns and c not in ("artifact_path", "run_id", "source", "agents_states", *top)]
+    states = F.map_from_entries(F.transform("agents_states", lambda s: F.struct(s["thread_id"], F.struct(s["status"].alias("status"), s["message"].alias("message")))))
     # half of the artefacts stand under the other name
     other = F.col("v") % 2 == 0
     paths = [F.when(~other, F.col("artifact_path")).alias("artifact_path"), F.when(other, F.col("artifact_path")).alias("path")]
-    line = F.to_json(F.struct(*top, F.col("session_id").alias("run_id"), F.struct(*rest, *paths).alias("payload")))
+    line = F.to_json(F.struct(*top, F.col("session_id").alias("run_id"), F.struct(*rest, *paths, states.alias("agents_states")).alias("payload")))
     path = shared_folder(spark, "events")
     rows.select(line.alias("value")).write.text(path)
     return cut_lineage(L.flat_events(L.scan_event_log(spark, path)).drop("payload"))

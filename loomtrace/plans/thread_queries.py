@@ -69,18 +69,20 @@ def assign_event_thread(spark, sf):
 
 
 SUB = "coalesce(actor_type = 'subagent', false)"
+cte("told_states", "SELECT *, unnest(string_split(state_list, ',')) AS s FROM categorized WHERE receiver_list IS NOT NULL AND state_list IS NOT NULL")
 cte("assignments", f"""
 SELECT session_id, seq, event_type, coalesce(own_thread, 'root') AS th, parent_thread_id AS parent, true AS direct, cwd,
   CASE WHEN event_type IN ('tool.call', 'shell.call') AND {SUB} THEN 'working' WHEN event_type IN ('todo.update', 'user.input.request', 'stdin.write') AND {SUB} AND phase = 'started' THEN 'working'
     WHEN event_type = 'patch.apply' AND {SUB} THEN CASE WHEN failed THEN 'failed' ELSE 'working' END WHEN event_type = 'task.started' THEN 'running' WHEN event_type = 'task.completed' THEN 'completed'
-    WHEN event_type = 'agent.aborted' THEN 'interrupted' END AS st
+    WHEN event_type = 'agent.aborted' THEN 'interrupted' END AS st, seq * 10 AS spot
 FROM categorized WHERE {OTHER} OR event_type IN ('message.user', 'task.started', 'task.completed', 'runtime.context', 'agent.aborted')
   OR ({SUB} AND event_type IN ('tool.call', 'shell.call', 'tool.result', 'shell.result', 'todo.update', 'user.input.request', 'stdin.write', 'patch.apply'))
-UNION ALL SELECT session_id, seq, event_type, 'root', NULL, false, NULL, 'failed' FROM categorized WHERE event_type = 'agent.failed'
-UNION ALL SELECT session_id, seq, event_type, coalesce(own_thread, 'root'), NULL, false, NULL, NULL FROM categorized WHERE event_type LIKE 'collab.%' AND receiver_list IS NOT NULL
-UNION ALL SELECT session_id, seq, event_type, trim(unnest(string_split(receiver_list, ','))), coalesce(own_thread, 'root'), false, NULL, status FROM categorized WHERE event_type LIKE 'collab.%' AND receiver_list IS NOT NULL""")
+UNION ALL SELECT session_id, seq, event_type, 'root', NULL, false, NULL, 'failed', seq * 10 + 1 FROM categorized WHERE event_type = 'agent.failed'
+UNION ALL SELECT session_id, seq, event_type, coalesce(own_thread, 'root'), NULL, false, NULL, NULL, seq * 10 + 2 FROM categorized WHERE event_type LIKE 'collab.%' AND receiver_list IS NOT NULL
+UNION ALL SELECT session_id, seq, event_type, trim(unnest(string_split(receiver_list, ','))), coalesce(own_thread, 'root'), false, NULL, status, seq * 10 + 3 FROM categorized WHERE event_type LIKE 'collab.%' AND receiver_list IS NOT NULL
+UNION ALL SELECT session_id, seq, event_type, split_part(s, ':', 1), coalesce(own_thread, 'root'), false, NULL, nullif(split_part(s, ':', 2), ''), seq * 10 + 4 FROM told_states""")
 cte("agents", """
-SELECT session_id, th AS thread_id, arg_min(parent, seq) FILTER (WHERE parent IS NOT NULL) AS parent_thread_id, coalesce(arg_max(st, seq) FILTER (WHERE st IS NOT NULL), 'idle') AS status,
+SELECT session_id, th AS thread_id, arg_min(parent, spot) FILTER (WHERE parent IS NOT NULL) AS parent_thread_id, coalesce(arg_max(st, spot) FILTER (WHERE st IS NOT NULL), 'idle') AS status,
   arg_min(cwd, seq) FILTER (WHERE direct AND event_type = 'runtime.context' AND cwd IS NOT NULL) AS cwd FROM assignments GROUP BY session_id, th""")
 
 
@@ -255,8 +257,9 @@ FLAT = "trim(regexp_replace(replace({x}, chr(10), ' '), ' +', ' ', 'g'))"
 
 
 @query("thread_recent_lines", f"""
-SELECT session_id, thread, seq, line, position FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, thread ORDER BY seq DESC) AS INTEGER) AS position FROM (
-  SELECT session_id, own_thread AS thread, seq, CASE WHEN length(l) <= 140 THEN l ELSE concat(substr(l, 1, 137), '...') END AS line FROM (
+SELECT session_id, thread, seq, line, position FROM (SELECT *, CAST(row_number() OVER (PARTITION BY session_id, thread ORDER BY seq DESC, place DESC) AS INTEGER) AS position FROM (
+  SELECT session_id, split_part(s, ':', 1) AS thread, seq, 1 AS place, split_part(s, ':', 3) AS line FROM told_states WHERE split_part(s, ':', 3) <> ''
+  UNION ALL SELECT session_id, own_thread AS thread, seq, 0, CASE WHEN length(l) <= 140 THEN l ELSE concat(substr(l, 1, 137), '...') END AS line FROM (
     SELECT session_id, own_thread, seq, {FLAT.format(x="CASE WHEN " + OTHER + " THEN coalesce(text, '') WHEN event_type = 'message.user' AND trim(text) <> '' THEN concat('user: ', trim(text)) WHEN actor_type = 'subagent' AND event_type IN ('tool.call', 'shell.call') THEN concat('tool: ', tool_name) WHEN actor_type = 'subagent' AND event_type IN ('tool.result', 'shell.result') THEN concat('result ', tool_name, ': ok') END")} AS l
     FROM categorized WHERE own_thread IS NOT NULL) AS a WHERE l IS NOT NULL) AS b) AS c WHERE position <= 4""")
 def thread_recent_lines(spark, sf):
@@ -421,6 +424,13 @@ def collab_states(spark, sf):
     return L.collab_states(rows)
 
 
+@query("reported_states", """
+SELECT run_id, seq, t AS thread_id, json_extract_string(item, concat('$.agents_states."', t, '".status')) AS status, json_extract_string(item, concat('$.agents_states."', t, '".message')) AS message
+FROM (SELECT *, unnest(json_keys(item, '$.agents_states')) AS t FROM out_events WHERE it = 'collab_tool_call') AS s WHERE t LIKE 'r%'""")
+def reported_states(spark, sf):
+    return fixtures.stdout_events(spark, sf).select("run_id", "seq", F.inline("agents_states"))
+
+
 @query("event_attributes", """
 SELECT c.session_id, c.seq, c.event_type, c.category, s.summary, c.turn_id, c.tool_name, c.exit_code, c.total_tokens FROM categorized c JOIN summaries s ON s.session_id = c.session_id AND s.seq = c.seq""")
 def event_attributes(spark, sf):

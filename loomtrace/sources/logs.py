@@ -149,15 +149,16 @@ def flat_events(canonical: DataFrame) -> DataFrame:
     task's title to the other texts that describe it; the session is the payload's, else the run.
     """
     payload = F.col("payload")
-    kept = {"run_id", "task_id", "seq", "ts", "event_type", "raw_type", "parse_status", "source"}
+    kept = {"run_id", "task_id", "seq", "ts", "event_type", "raw_type", "parse_status", "source", "agents_states"}
     get = {"string": J.text, "bigint": J.whole, "int": lambda t, p: J.whole(t, p).cast("int"), "array<string>": J.texts}
     fields = {c: get[kind](payload, f"$.{c}") for c, kind in EVENT_COLUMNS.items() if c not in kept}
     fields["session_id"] = F.coalesce(J.clean(payload, "$.session_id"), "run_id")
+    fields["agents_states"] = J.agent_states(payload, "$.agents_states")
     path = F.when(J.node(payload, "$.artifact_path").isNull(), J.text(payload, "$.path"))
     fields["artifact_path"] = F.coalesce(fields["artifact_path"], path)
     about = F.coalesce(*[J.clean(payload, f"$.{name}") for name in TASK_TEXT])
     fields["title"] = F.when(F.col("event_type") == "task.started", about).otherwise(fields["title"])
-    return canonical.select(*[F.col(c) for c in sorted(kept)], *[value.alias(c) for c, value in fields.items()], "payload")
+    return canonical.select(*[F.col(c) for c in sorted(kept - {"agents_states"})], *[value.alias(c) for c, value in fields.items()], "payload")
 
 
 def scan_event_array(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomtrace.operators import threads
 from loomtrace.operators import trees as R
+from loomtrace.operators.normalize import legacy_states
+from loomtrace.operators.timeline import thread_recent_lines
 
 
 def brute(rows):
@@ -74,3 +76,32 @@ def test_star_and_nothing(spark):
     got = {r.thread_id: r for r in threads.thread_closure(index(spark, rows)).collect()}
     assert (got["root"].children, got["root"].size, got["root"].first_below) == (500, 501, 4) and got["t499"].preorder == 500
     assert threads.thread_closure(index(spark, rows).limit(0)).collect() == []
+
+
+def test_reported_states_come_after_the_receivers_of_their_event(spark, events_of):
+    reported = [("b", "failed", "gave up"), ("c", None, "hello")]
+    rows = events_of([
+        {"seq": 0, "ts": "2026-04-08T10:00:00Z", "event_type": "thread.started", "thread_id": "root"},
+        {"seq": 1, "event_type": "collab.wait", "thread_id": "root", "status": "completed", "receiver_thread_ids": ["b", "c"], "agents_states": reported},
+        {"seq": 2, "event_type": "collab.wait", "thread_id": "root", "agents_states": [("b", "running", "unheard")]},
+    ])
+    found = {r["thread_id"]: (r["status"], r["parent_thread_id"]) for r in threads.thread_state(rows, F.lit("root")).collect()}
+    assert found == {"root": ("running", None), "b": ("failed", "root"), "c": ("completed", "root")}
+    lines = {(r["thread"], r["line"]) for r in thread_recent_lines(rows).collect()}
+    assert lines == {("b", "gave up"), ("c", "hello")}
+
+
+def test_end_messages_of_session_logs_report_states(spark):
+    said = {
+        "collab_waiting_end": '{"statuses":{"b":{"status":"ok","message":"m"},"a":"text","c":{"completed":"x"}},"agent_statuses":[{"thread_id":"z"}]}',
+        "collab_agent_spawn_end": '{"new_thread_id":"n","status":{"pending_init":null}}',
+        "collab_close_end": '{"receiver_thread_id":"r","status":"shutdown"}',
+        "collab_agent_interaction_end": '{"receiver_thread_id":"r","status":{"status":"done","message":"bye"}}',
+        "exec_command_end": '{"receiver_thread_id":"r"}',
+    }
+    rows = spark.createDataFrame(list(said.items()), "kind string, value string").withColumn("p", F.parse_json("value"))
+    found = {r["kind"]: r["s"] and [tuple(x) for x in r["s"]] for r in rows.select("kind", legacy_states(F.col("p"), F.col("kind")).alias("s")).collect()}
+    assert found == {
+        "collab_waiting_end": [("b", "ok", "m"), ("c", None, None)], "collab_agent_spawn_end": [("n", None, None)],
+        "collab_close_end": [("r", "shutdown", None)], "collab_agent_interaction_end": [("r", "done", "bye")], "exec_command_end": None,
+    }
