@@ -378,6 +378,7 @@ def normalize_session(bronze: DataFrame, task_id: str | None = None, resource_se
         _phase().alias("phase"), _status().alias("status"), _duplicate_of().alias("duplicate_of"), _text().alias("text"),
         F.col("reason_unparsed"), *[c.alias(n) for n, c in _silver_columns(resource_server).items()],
         F.when(F.col("event_type") == UNPARSED, F.col("value")).alias("raw_line"), F.col("p").alias("payload"), "p_type",
+        F.coalesce("arguments", J.node(F.col("p"), "$.input")).alias("input"), F.coalesce("output", J.node(F.col("p"), "$.output")).alias("output"),
     )
     return drop_message_echo(cut_lineage(silver)).drop("p_type")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
 from loomtrace.operators.columns import ensure_columns
+from loomtrace.operators.event_text import event_summary
 from loomtrace.operators.ordered import asof_values, carry, lookup
 from loomtrace.operators.threads import event_category, is_other_message, named_receivers
 from loomtrace.session import cut_lineage
@@ -26,39 +27,6 @@ def _type() -> Column:
     return F.col("event_type")
 
 
-def _labelled(label: str, detail: Column) -> Column:
-    return F.when(X.trim_null(detail).isNotNull(), F.concat(F.lit(f"{label}: "), detail)).otherwise(label)
-
-
-def event_summary(events: DataFrame) -> DataFrame:
-    """One line of text per event, by type, with white space collapsed."""
-    rows = ensure_columns(events)
-    text, tool = X.collapse_spaces(F.coalesce("text", F.lit(""))), F.coalesce("tool_name", F.lit("?"))
-    exit_part = F.when(F.col("exit_code").isNotNull(), F.concat(F.lit(" exit="), F.col("exit_code").cast("string"))).otherwise("")
-    tokens = F.concat_ws(
-        " ", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{n}="), X.group_thousands(F.col(c)))) for n, c in (("total", "total_tokens"), ("in", "input_tokens"), ("out", "output_tokens"))]
-    )
-    summary = (
-        F.when(is_other_message() | (_type() == "message.user"), text)
-        .when(_type() == "agent.session", _labelled("ready", F.concat_ws(" ", "agent_nickname", "agent_role", "cwd")))
-        .when(_type() == "task.started", _labelled("started", F.concat_ws(" ", "turn_id", "collaboration_mode_kind")))
-        .when(_type() == "task.completed", _labelled("done", F.col("turn_id")))
-        .when(_type() == "runtime.context", _labelled("context", F.col("cwd")))
-        .when(_type() == "context.compacted", "context compacted")
-        .when(_type() == "context.compacted.duplicate", _labelled("context compacted duplicate", F.concat(F.lit("source="), X.trim_null(F.col("duplicate_of")))))
-        .when(_type() == "info.tokens", _labelled("tokens", tokens))
-        .when(_type().isin("tool.call", "shell.call"), _labelled("tool", F.concat(F.lit("["), tool, F.lit("]"), F.coalesce(F.concat(F.lit(" "), F.col("command")), F.lit("")))))
-        .when(_type().isin("tool.result", "shell.result"), _labelled("result", F.concat(F.lit("["), tool, F.lit("]"), exit_part)))
-        .when(_type() == "patch.apply", _labelled("patch apply", F.coalesce("artifact_path", "status", "phase")))
-        .when(_type() == "file.change", _labelled("files", F.col("artifact_path")))
-        .when(_type() == "stderr.line", F.concat(F.lit("stderr: "), text))
-        .when(_type() == "agent.aborted", _labelled("agent aborted", F.concat(F.lit("reason="), F.col("error_text"))))
-        .when(_type() == "agent.failed", _labelled("agent failed", F.col("error_text")))
-        .otherwise(_type())
-    )
-    return rows.withColumn("summary", summary)
-
-
 def _last_lines(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """The newest rows per key; the rank limit is applied before the shuffle as well."""
     newest = Window.partitionBy(*keys).orderBy(F.col("seq").desc(), *[F.col(c).desc() for c in rows.columns if c == "place"])

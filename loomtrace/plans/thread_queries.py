@@ -8,6 +8,7 @@ from loomtrace.functions import covered as C
 from loomtrace.operators import payloads as Y
 from loomtrace.operators import threads as H
 from loomtrace.operators import timeline as L
+from loomtrace.operators.columns import TOKEN_COLUMNS
 from loomtrace.operators.session_metrics import thread_count as count_threads
 from loomtrace.operators.session_metrics import thread_fold
 from loomtrace.plans import fixtures
@@ -266,27 +267,102 @@ def thread_recent_lines(spark, sf):
     return L.thread_recent_lines(events(spark, sf))
 
 
+# A payload for every event, with the fields its text reads.
+N = "CAST(v % 9 AS VARCHAR(20))"
+LINE_END = "chr(92), 'n"
+TEXT_PAYLOAD = f"""concat('{{"input":', CASE WHEN event_type = 'user.input.request' THEN concat('{{"questions":[{{"header":"H', {N}, '","question":"Q"}},{{"question":"R"}}]}}')
+  WHEN event_type = 'stdin.write' THEN concat('{{"session_id":7,"chars":" yes ', {N}, ' "}}') WHEN event_type = 'patch.apply' THEN concat('"*** Update File: a', {N}, '.rs', {LINE_END}*** Add File: b.rs"')
+  WHEN event_type = 'todo.update' AND v % 2 = 0 THEN concat('{{"explanation":"why ', {N}, '","plan":[1,2]}}')
+  WHEN event_type LIKE 'web.%' THEN concat('{{"query":"q', {N}, '","action":{{"type":"', CASE WHEN k % 3 = 0 THEN 'search' ELSE 'open_page' END, '","url":"http://x/', {N}, '"}}}}')
+  WHEN event_type LIKE 'tool.%' OR event_type LIKE 'shell.%' THEN CASE WHEN v % 2 = 0 THEN concat('{{"cmd":"run  ', {N}, {LINE_END}next"}}') ELSE '{{}}' END ELSE 'null' END,
+  ',"output":', CASE WHEN event_type = 'user.input.request' THEN '{{"answers":{{"a":["x","y"],"b":{{"answers":["z"]}},"c":"t"}}}}'
+    WHEN v % 3 = 0 THEN concat('{{"error":" ","output":{{"stdout":"out ', {N}, '"}}}}') WHEN v % 3 = 1 THEN concat('" plain', {LINE_END}line ', {N}, ' "') ELSE 'null' END,
+  ',"changes":', CASE WHEN event_type = 'file.change' THEN concat('[{{"kind":"add","path":"p', {N}, '"}},{{"kind":"x"}}]') WHEN event_type = 'patch.apply' AND v % 2 = 1 THEN '{{"z.rs":1,"a.rs":2}}' ELSE 'null' END,
+  ',"message":', CASE WHEN v % 2 = 0 THEN concat('"oops ', {N}, '"') ELSE 'null' END, ',"error":{{"message":"deep ', {N}, '"}},"last_agent_message":"did ', {N}, repeat(' abcdefg', CAST(v % 12 AS INT)),
+  '","text_links":{{"request_id":"r', {N}, '","status_code":503,"is_fallback":true,"fallback_to":"http"}},"items":[{{"text":"one","completed":true}},{{"text":"two ', {N}, '"}}],"completed_count":1,"total_count":2,',
+  '"replacement_history":[1,2,3],"collaboration_mode":{{"mode":"plan"}},"model":"m', {N}, '","reason":"r', {N}, '","arguments":{{"a":', {N}, '}},"server":"srv","tool":"find","prompt":"go ', {N}, '"}}')"""
+TEXT_TOOL = "CASE WHEN event_type LIKE 'web.%' THEN 'web_search' WHEN event_type LIKE 'collab.%' THEN replace(event_type, 'collab.', '') ELSE tool_name END"
+
+
+def _jt(path: str) -> str:
+    return f"json_extract_string(p, '$.{path}')"
+
+
+def _short(x: str, width: int) -> str:
+    flat = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({flat}) <= {width} THEN {flat} ELSE substr({flat}, 1, {width - 3}) || '...' END"
+
+
+def _words(*parts: str) -> str:
+    return f"concat_ws(' ', {', '.join(parts)})"
+
+
+def _headed(head: str, detail: str) -> str:
+    return f"({head} || coalesce(': ' || nullif({detail}, ''), ''))"
+
+
+PHASE_STATUS = "'phase=' || nullif(phase, ''), 'status=' || nullif(status, '')"
+# what an output says: an object's first telling field, else the text
+SAID = f"trim(replace(CASE WHEN json_type(p, '$.output') = 'OBJECT' THEN {_jt('output.output.stdout')} ELSE {_jt('output')} END, chr(10), ' '))"
+COMMAND = f"({_short('split_part(' + _jt('input.cmd') + ', chr(10), 1)', 120)} || chr(10) || 'next')"
+TASK_DETAIL = _words("'mode=' || collaboration_mode_kind", "'turn=' || turn_id", "'window=' || model_context_window")
+COUNTS = ", ".join(f"'{n.removesuffix('_tokens').replace('_', ' ')}: ' || replace(format('{{:,}}', {n}), ',', ' ')" for n in TOKEN_COLUMNS)
+STATE_DETAIL = _words(PHASE_STATUS, f"CASE WHEN tool = 'spawn_agent' THEN 'prompt=' || {_jt('prompt')} END", "'agents=' || receiver_list", "CASE WHEN event_type LIKE 'collab.%' THEN CASE v % 5 WHEN 0 THEN 'states=t1:working' WHEN 1 THEN 'states=t2:completed' WHEN 2 THEN 'states=t2:failed,t7:pending_init' END END")
+WEB_DETAIL = f"CASE WHEN k % 3 = 0 THEN {_words(f"'query=' || {_jt('input.query')}", "'action=search'", f"'url=' || {_jt('input.action.url')}")} ELSE {_words(f"'url=' || {_jt('input.action.url')}", f"'query=' || {_jt('input.query')}")} END"
+WORD_FOR = "CASE tool " + " ".join(f"WHEN '{t}' THEN '{w}'" for t, w in (("spawn_agent", "subagent launch"), ("send_input", "subagent input"), ("wait", "subagent wait"), ("close_agent", "subagent close"))) + " END"
+AGENTS = "(receiver_list IS NOT NULL OR sender_thread_id IS NOT NULL OR (event_type LIKE 'collab.%' AND v % 5 < 3))"
+
+
+def _root_text(result: str) -> str:
+    command = f"(tool = 'exec_command' OR {_jt('input.cmd')} IS NOT NULL)"
+    head = f"""CASE WHEN {WORD_FOR} IS NOT NULL THEN {WORD_FOR} WHEN tool = 'web_search' THEN CASE WHEN k % 3 = 0 THEN 'search' ELSE 'open page' END || CASE WHEN {result} THEN ' result' ELSE '' END
+      WHEN {command} THEN CASE WHEN {result} THEN CASE WHEN failed THEN 'command fail' ELSE 'command ok' END ELSE 'command' END WHEN {result} THEN 'tool result' ELSE 'tool' END"""
+    detail = f"CASE WHEN {AGENTS} THEN {STATE_DETAIL} WHEN tool = 'web_search' THEN {WEB_DETAIL} ELSE {COMMAND} END"
+    body = _words(f"nullif({detail}, '')", f"CASE WHEN {result} THEN 'exit=' || exit_code END")
+    # the error of an object payload is looked at before the output
+    why = f"CASE WHEN {result} AND failed THEN {_short(_jt('error.message'), 120)} END"
+    return f"({_headed(f"{head} || ' [' || coalesce(tool, '?') || ']'", body)} || coalesce(CASE WHEN {body} = '' THEN ': ' ELSE ' -> ' END || {why}, ''))"
+
+
+LINK_TEXT = f"' [request_id=' || {_jt('text_links.request_id')} || ' status=503 fallback=http]'"
+IS_PLAN = f"(tool IS NOT DISTINCT FROM 'update_plan' OR operation_id IS NOT NULL OR {_jt('input.plan')} IS NOT NULL)"
+PATCH_TARGET = f"CASE WHEN v % 2 = 1 THEN 'file=a.rs (+1)' ELSE 'file=a' || {N} || '.rs (+1)' END"
+cte("described", f"SELECT *, {TEXT_PAYLOAD} AS p, {TEXT_TOOL} AS tool FROM categorized")
 cte("summaries", f"""
-SELECT run_id, session_id, seq, ts, event_type, CASE WHEN event_type LIKE 'message.%' THEN coalesce({FLAT.format(x='text')}, '')
-  WHEN event_type = 'task.started' THEN concat('started: ', concat_ws(' ', turn_id, collaboration_mode_kind)) WHEN event_type = 'task.completed' THEN concat('done: ', turn_id)
-  WHEN event_type = 'runtime.context' THEN CASE WHEN cwd IS NULL THEN 'context' ELSE concat('context: ', cwd) END WHEN event_type = 'context.compacted' THEN 'context compacted'
-  WHEN event_type = 'info.tokens' THEN concat('tokens: ', concat_ws(' ', 'total=' || format('{{:,}}', total_tokens), 'in=' || format('{{:,}}', input_tokens), 'out=' || format('{{:,}}', output_tokens)))
-  WHEN event_type IN ('tool.call', 'shell.call') THEN concat('tool: [', tool_name, ']', coalesce(' ' || command, ''))
-  WHEN event_type IN ('tool.result', 'shell.result') THEN concat('result: [', tool_name, ']', coalesce(' exit=' || exit_code, '')) WHEN event_type = 'patch.apply' THEN concat('patch apply: ', artifact_path)
-  WHEN event_type = 'file.change' THEN concat('files: ', artifact_path) WHEN event_type = 'stderr.line' THEN 'stderr: ' WHEN event_type = 'agent.aborted' THEN concat('agent aborted: reason=', error_text)
-  WHEN event_type = 'agent.failed' THEN concat('agent failed: ', error_text) ELSE event_type END AS summary FROM log_events""".replace("{{", "{").replace("}}", "}"))
+SELECT run_id, session_id, seq, ts, event_type, tool, CASE WHEN event_type LIKE 'message.%' THEN coalesce({_short('text', 100)}, '') WHEN event_type = 'agent.session' THEN {_headed("'ready'", _words("'role=' || agent_role", "'nickname=' || agent_nickname", "'cwd=' || cwd"))}
+  WHEN event_type = 'task.started' THEN {_headed("'started'", TASK_DETAIL)} WHEN event_type = 'task.completed' THEN {_headed("'done'", _short(_jt('last_agent_message'), 80))}
+  WHEN event_type = 'runtime.context' THEN {_headed("'context'", _words("'cwd=' || cwd", f"'model=' || {_jt('model')}", "'mode=plan'"))} WHEN event_type = 'context.compacted' THEN {_headed("'context compacted'", _words("'items=3'", f"'message=' || {_jt('message')}"))}
+  WHEN event_type = 'context.compacted.duplicate' THEN {_headed("'context compacted duplicate'", "coalesce('source=' || duplicate_of, '')")} WHEN event_type = 'info.tokens' THEN {_headed("'tokens'", f"concat_ws(', ', {COUNTS})")}
+  WHEN event_type IN ('tool.call', 'shell.call') THEN CASE WHEN {SUB} THEN {_headed("'tool ' || coalesce(tool, '?')", f"coalesce({COMMAND}, '')")} ELSE {_root_text('false')} END
+  WHEN event_type IN ('tool.result', 'shell.result') THEN CASE WHEN {SUB} THEN {_headed("'result ' || coalesce(tool, '?')", f"coalesce({_short(SAID, 60)}, '')")} ELSE {_root_text('true')} END
+  WHEN event_type LIKE 'web.%' OR event_type LIKE 'collab.%' THEN {_root_text("coalesce(phase = 'completed', false)")}
+  WHEN event_type IN ('mcp.call', 'mcp.result') THEN {_headed("CASE event_type WHEN 'mcp.call' THEN 'mcp call' ELSE 'mcp result' END", _words(PHASE_STATUS, f"'arguments=' || json_extract(p, '$.arguments')::VARCHAR", f"'error=' || json_extract(p, '$.error')::VARCHAR", "'server=srv'", "'tool=find'"))}
+  WHEN event_type = 'stdin.write' THEN {_headed("'stdin write'", _words(PHASE_STATUS, "'session_id=7'", f"'chars=' || trim({_jt('input.chars')})", f"'output=' || {_short(SAID, 100)}"))}
+  WHEN event_type = 'todo.update' AND {IS_PLAN} THEN {_headed("'todo update'", _words("'phase=' || phase", f"'explanation=' || {_jt('input.explanation')}", f"CASE WHEN {_jt('input.plan')} IS NOT NULL THEN 'steps=2' WHEN json_type(p, '$.input') = 'OBJECT' THEN NULL END"))}
+  WHEN event_type = 'todo.update' THEN 'todo ' || coalesce(phase, '') || ': 1/2 next=' || {_jt('items[1].text')}
+  WHEN event_type = 'user.input.request' THEN {_headed("'user input request'", _words("'phase=' || phase", "'questions=2'", f"'first=' || {_jt('input.questions[0].header')}", "'answers=4'"))}
+  WHEN event_type = 'patch.apply' THEN {_headed("'patch apply'", _words(PHASE_STATUS, PATCH_TARGET, f"CASE WHEN v % 2 = 0 THEN 'output=' || {_short(SAID, 100)} END"))}
+  WHEN event_type = 'patch.apply.duplicate' THEN {_headed("'patch apply duplicate'", _words(PHASE_STATUS, f"'output=' || {_short(SAID, 100)}"))}
+  WHEN event_type = 'file.change' THEN 'files: add p' || {N} || ' (+1)' WHEN event_type = 'stderr.line' THEN 'stderr: ' || coalesce({_short('text', 100)}, '')
+  WHEN event_type = 'error' THEN 'error: ' || coalesce({_jt('message')}, '') || {LINK_TEXT} WHEN event_type = 'agent.failed' THEN 'agent failed: ' || coalesce({_jt('message')}, {_jt('error.message')}) || {LINK_TEXT}
+  WHEN event_type = 'agent.aborted' THEN 'agent aborted: reason=' || {_jt('reason')} ELSE event_type END AS summary FROM described""")
+
+
+def described(spark, sf):
+    payload = F.parse_json(F.expr(TEXT_PAYLOAD))
+    return events(spark, sf).withColumns({"payload": payload, "tool_name": F.expr(TEXT_TOOL)})
 
 
 @query("event_summary", "SELECT session_id, seq, event_type, summary FROM summaries")
 def event_summary(spark, sf):
-    return L.event_summary(events(spark, sf)).select("session_id", "seq", "event_type", "summary")
+    return L.event_summary(described(spark, sf)).select("session_id", "seq", "event_type", "summary")
 
 
 @query("run_timeline", f"""
 SELECT run_id, seq, ts, event_type, label, position FROM (SELECT run_id, seq, ts, event_type, CASE WHEN length(l) <= 160 THEN l ELSE concat(substr(l, 1, 157), '...') END AS label,
   CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS INTEGER) AS position FROM (SELECT *, {FLAT.format(x='summary')} AS l FROM summaries) AS s) AS t WHERE position <= 12""")
 def run_timeline(spark, sf):
-    return L.run_timeline(events(spark, sf))
+    return L.run_timeline(described(spark, sf))
 
 
 # A plan event and the response after it share their text when v agrees modulo two.
@@ -432,9 +508,9 @@ def reported_states(spark, sf):
 
 
 @query("event_attributes", """
-SELECT c.session_id, c.seq, c.event_type, c.category, s.summary, c.turn_id, c.tool_name, c.exit_code, c.total_tokens FROM categorized c JOIN summaries s ON s.session_id = c.session_id AND s.seq = c.seq""")
+SELECT c.session_id, c.seq, c.event_type, CASE WHEN c.event_type LIKE 'collab.%' THEN 'subagent' WHEN s.tool = 'web_search' AND c.receiver_list IS NULL AND c.sender_thread_id IS NULL THEN 'search' ELSE c.category END AS category, s.summary, c.turn_id, s.tool AS tool_name, c.exit_code, c.total_tokens FROM categorized c JOIN summaries s ON s.session_id = c.session_id AND s.seq = c.seq""")
 def event_attributes(spark, sf):
-    return L.event_attributes(events(spark, sf)).select("session_id", "seq", "event_type", "category", "summary", "turn_id", "tool_name", "exit_code", "total_tokens")
+    return L.event_attributes(described(spark, sf)).select("session_id", "seq", "event_type", "category", "summary", "turn_id", "tool_name", "exit_code", "total_tokens")
 
 
 @query("typed_payload", """
