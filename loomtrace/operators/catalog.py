@@ -23,7 +23,7 @@ CATALOG_COLUMNS = {
     "created_at": "timestamp", "cwd": "string", "source": "string", "model_provider": "string", "model": "string",
     "reasoning_effort": "string", "cli_version": "string", "sandbox_policy_kind": "string", "approval_mode": "string",
     "tokens_used": "bigint", "git_sha": "string", "git_branch": "string", "git_origin_url": "string", "agent_nickname": "string",
-    "agent_role": "string", "agent_path": "string", "memory_mode": "string", "archived": "boolean", "first_user_message": "string",
+    "agent_role": "string", "agent_path": "string", "memory_mode": "string", "has_user_event": "boolean", "archived": "boolean", "archived_at": "timestamp", "first_user_message": "string",
 }
 
 
@@ -106,7 +106,7 @@ def catalog_row(source: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def from_state(threads: DataFrame) -> DataFrame:
-    """Catalog rows from the state table `threads` (times in epoch seconds)."""
+    """Catalog rows from the state table `threads` (times in epoch seconds); older tables lack some columns."""
     plain = ["cwd", "source", "model_provider", "model", "reasoning_effort", "cli_version", "approval_mode", "git_sha", "git_branch", "git_origin_url", "agent_nickname", "agent_role", "agent_path", "memory_mode", "first_user_message"]
     columns = {n: X.trim_null(F.col(n)) for n in plain if n in threads.columns}
     columns |= {
@@ -114,6 +114,10 @@ def from_state(threads: DataFrame) -> DataFrame:
         "updated_at": F.timestamp_seconds("updated_at"), "created_at": F.timestamp_seconds("created_at"),
         "sandbox_policy_kind": sandbox_kind(F.col("sandbox_policy")), "tokens_used": F.col("tokens_used"), "archived": F.col("archived") != 0,
     }
+    if "has_user_event" in threads.columns:
+        columns["has_user_event"] = F.col("has_user_event") != 0
+    if "archived_at" in threads.columns:
+        columns["archived_at"] = F.timestamp_seconds("archived_at")
     return catalog_row(threads, columns)
 
 

@@ -163,14 +163,18 @@ def scan_run_dir(spark, sf):
     return replayed.groupBy("run_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_thread_catalog", "SELECT session_id, thread_name, name_source, updated_at, tokens_used, model FROM state_rows")
+@query("scan_thread_catalog", """
+SELECT r.session_id, thread_name, name_source, r.updated_at, r.tokens_used, r.model, s.user_id % 2 = 1 AS has_user_event, CASE WHEN s.user_id % 3 = 0 THEN s.updated_at + 60 END AS archived_at, s.user_id % 3 = 0 AS archived
+FROM state_rows r JOIN fx_sessions s ON s.session_id = replace(r.session_id, '-old', '')""")
 def scan_thread_catalog(spark, sf):
     path = shared_folder(spark, "threads")
     rows = fixtures.sessions(spark, sf)
     named = F.when(F.col("tokens_used").isNull(), F.concat("session_id", F.lit("-old"))).otherwise(F.col("session_id"))
-    rows.select("*", named.alias("id"), F.lit(None).cast("string").alias("rollout_path"), F.lit(0).alias("archived")).write.parquet(path)
+    gone = (F.col("user_id") % 3 == 0).cast("int")
+    flags = [gone.alias("archived"), F.when(gone == 1, F.col("updated_at") + 60).alias("archived_at"), (F.col("user_id") % 2).alias("has_user_event")]
+    rows.select("*", named.alias("id"), F.lit(None).cast("string").alias("rollout_path"), *flags).write.parquet(path)
     state = K.from_state(L.scan_thread_catalog(spark, path))
-    return state.select("session_id", "thread_name", "name_source", F.unix_seconds("updated_at").alias("updated_at"), "tokens_used", "model")
+    return state.select("session_id", "thread_name", "name_source", F.unix_seconds("updated_at").alias("updated_at"), "tokens_used", "model", "has_user_event", F.unix_seconds("archived_at").alias("archived_at"), "archived")
 
 
 @query("newest_state", """
@@ -341,6 +345,6 @@ def stream_session_metrics(spark, sf):
     path, store = land(spark, rows, "seq"), shared_folder(spark, "store")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
     catalog = cut_lineage(metric_sessions(spark, sf))
-    refresh = T.refresh_metrics(store, lambda s: rows, lambda s: catalog)
+    refresh = T.refresh_metrics(store, shared_folder(spark, "landed"), lambda s: catalog)
     stream.writeStream.option("checkpointLocation", f"{store}-cursor").trigger(availableNow=True).foreachBatch(refresh).start().awaitTermination()
     return S.load(spark, store).select("session_id", F.col("event_count.value").alias("event_count"), F.col("operation_count.value").alias("operation_count"))

@@ -19,6 +19,7 @@ from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
 from loomtrace.operators import operations as O
 from loomtrace.operators.catalog import rollout_id
+from loomtrace.session import cut_lineage
 from loomtrace.sources import metrics_store
 from loomtrace.sources.logs import file_name
 
@@ -182,12 +183,26 @@ def stream_operations(events: DataFrame) -> DataFrame:
     )
 
 
-def refresh_metrics(store: str, all_events: Callable[[SparkSession], DataFrame], sessions: Callable[[SparkSession], DataFrame]):
-    """foreachBatch function: rebuild the stored metrics of the sessions a batch touches."""
+def land_batch(landed: str, batch: DataFrame, batch_id: int) -> None:
+    """Add a batch of events to the landed table; a batch that is tried again replaces what it wrote before."""
+    rows = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(landed)
 
-    def refresh(batch: DataFrame, _batch_id: int) -> None:
+
+def refresh_metrics(store: str, landed: str, sessions: Callable[[SparkSession], DataFrame]):
+    """foreachBatch function: land a batch and rebuild the stored metrics of the sessions it touches.
+
+    Only events that have landed are read, so the store shows each session as the stream has told it so far. An empty
+    batch changes nothing.
+    """
+
+    def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select("session_id").distinct()
-        metrics_store.materialize(spark, store, all_events(spark), sessions(spark), touched)
+        if batch.isEmpty():
+            return
+        land_batch(landed, batch, batch_id)
+        events = spark.read.parquet(landed)
+        touched = cut_lineage(events.where(F.col("batch") == batch_id).select("session_id").distinct())
+        metrics_store.materialize(spark, store, events.drop("batch"), sessions(spark), touched)
 
     return refresh
