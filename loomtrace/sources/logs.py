@@ -165,21 +165,21 @@ def scan_event_array(spark: SparkSession, path: str) -> DataFrame:
     """Files that hold one JSON array (a trailing comma is forgiven) or one row per line.
 
     A file is an array when its first character that is not blank is `[`. An array file is one JSON value, so it is read
-    whole; line files are split and never loaded whole. The driver learns the paths of array files. A malformed array
-    gives one unparsed row with the file's text.
+    whole; line files are split and never loaded whole. The driver learns the paths of array files alone. A malformed
+    array gives one unparsed row with the file's text.
     """
     lead = F.substring(F.trim(F.translate("value", "\t\r", "  ")), 1, 1)
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), lead.alias("lead"), place.alias("place"))
     leads = lines.where(F.col("lead") != "").groupBy("path").agg(F.min_by("lead", "place").alias("c"))
     # Fixed value: the character that tells an array from lines.
-    kinds = {r["path"]: r["c"] == "[" for r in leads.collect()}
-    arrays, others = ([unquote(p) for p, is_array in kinds.items() if is_array is kind] for kind in (True, False))
-    empty = spark.createDataFrame([], "value string")
-    rows = canonical_rows(spark.read.text(others) if others else empty)
+    arrays = [r["path"] for r in leads.where(F.col("c") == "[").select("path").collect()]
     if not arrays:
-        return rows
-    whole = spark.read.text(arrays, wholetext=True).withColumn("tree", J.parse(F.regexp_replace("value", r",\s*\]\s*$", "]")))
+        return canonical_rows(spark.read.text(path))
+    # a list whose size the planner knows: it is sent to the scan's tasks while it is small and joined by path beyond that
+    taken = spark.createDataFrame([(p,) for p in arrays], "path string")
+    rows = canonical_rows(spark.read.text(path).withColumn("path", F.col("_metadata.file_path")).join(taken, "path", "left_anti"))
+    whole = spark.read.text([unquote(p) for p in arrays], wholetext=True).withColumn("tree", J.parse(F.regexp_replace("value", r",\s*\]\s*$", "]")))
     items = whole.select("value", F.try_variant_get("tree", "$", "array<variant>").alias("items"))
     good = items.select(F.explode("items").alias("tree")).where(J.is_object(F.col("tree"))).select(*_canonical(F.col("tree")))
     bad = items.where(F.col("items").isNull()).select(F.parse_json(F.to_json(F.struct(F.lit("unparsed").alias("parse_status"), F.struct(F.col("value").alias("raw_line")).alias("payload")))).alias("tree"))
