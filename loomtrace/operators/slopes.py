@@ -8,9 +8,12 @@ inversions of the order of y - c x against the order of x. So the rank of a slop
    ranges inside a block and those inside a range are counted by merging. All pivots of a round share one pass.
 2. Pivots are slopes of sampled pairs inside the bracket left by the last round, so a rank can end on one exactly; where
    the sample holds none, the bracket is halved in the order of doubles.
-3. Once a bracket holds at most `most` slopes they are listed: the orders at its two ends differ in exactly these pairs, a
-   point has to look at no more positions than it moves, and all moves together are at most twice the pairs. This is an
-   equality join on positions. A series with few points starts here.
+3. Once a bracket holds at most `most` slopes, and no more than a few a point, they are listed: the orders at its two ends
+   differ in exactly these pairs, a point has to look at no more positions than it moves, and all moves together are at most
+   twice the pairs. This is an equality join on positions; both sides are shuffled, since the planner does not see how many
+   positions a small table of points lists.
+
+A series of one block with at most `most` pairs needs none of this: its slopes are computed where its block is.
 
 Counts of y - c x are taken in doubled precision at half a unit in the last place beside the pivot, so `at most c` means
 what it means for slopes rounded to doubles.
@@ -30,6 +33,7 @@ from loomtrace.session import cut_lineage
 
 KEYS = ["project", "series"]
 MOST = 1 << 21  # slopes of a bracket that are listed
+LISTED = 4  # slopes of a bracket that are listed, per point of its series
 BLOCK = 100_000  # points of a block, and of a value range on average
 SAMPLE = 2_000  # points whose pairs give pivots
 PIVOTS = (-0.2, -0.04, 0.0, 0.04, 0.2)  # places around the wanted rank, as shares of the bracket
@@ -165,10 +169,29 @@ def _range_ranks(part: pa.Table) -> pa.Table:
     return first.append_column("x", pa.array(x[order])).append_column("y", pa.array(y[order])).append_column("local", pa.array(np.arange(n)))
 
 
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Blocks over all shuffle partitions, however few bytes they hold: what is done with a block costs more than moving it."""
+    return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS, "block")
+
+
 def _asked_of_blocks(blocks: DataFrame, asked: DataFrame) -> DataFrame:
     """Blocks of the series in asked(project, series, n, sample, ranges, asked), spread over value ranges; a table."""
     met = lookup(blocks, asked, KEYS, "block", how="inner", weight="n_blocks")
-    return cut_lineage(met.select(*KEYS, "block", "points", "sample", "ranges", "asked").mapInArrow(_spread, SPREAD))
+    return cut_lineage(_dealt(met.select(*KEYS, "block", "points", "sample", "ranges", "asked")).mapInArrow(_spread, SPREAD))
+
+
+def _short_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Median slope of series of one block with few pairs: a row per series in, one out."""
+    for batch in batches:
+        medians = []
+        for points in batch["points"]:
+            x, y = (points.values.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("idx", "y"))
+            i, j = np.triu_indices(len(x), 1)
+            slopes = (y[j] - y[i]) / (x[j] - x[i])
+            middle = [(len(slopes) - 1) // 2, len(slopes) // 2]
+            first, last = np.partition(slopes, middle)[middle]
+            medians.append((first + last) / 2)
+        yield pa.RecordBatch.from_arrays([batch["project"], batch["series"], pa.array(medians, pa.float64())], [*KEYS, "slope"])
 
 
 def _counts(spread: DataFrame) -> DataFrame:
@@ -269,9 +292,9 @@ def _listed(blocks: DataFrame, state: DataFrame) -> DataFrame:
 
     other = points.select(*KEYS, *[F.col(c).alias(f"other_{c}") for c in ("x", "y", "p", "q")])
     up = points.where("q > p").withColumn("at", F.explode(F.sequence(F.col("p") + 1, F.col("q"))))
-    met_up = up.join(other.withColumn("at", F.col("other_p")), [*KEYS, "at"]).where("other_q < q")
+    met_up = up.join(other.withColumn("at", F.col("other_p")).hint("merge"), [*KEYS, "at"]).where("other_q < q")
     down = points.where("q < p").withColumn("at", F.explode(F.sequence(F.col("q"), F.col("p") - 1)))
-    met_down = down.join(other.withColumn("at", F.col("other_q")), [*KEYS, "at"]).where("other_p < p AND p > other_q AND other_q > q")
+    met_down = down.join(other.withColumn("at", F.col("other_q")).hint("merge"), [*KEYS, "at"]).where("other_p < p AND p > other_q AND other_q > q")
     slope = ((F.col("other_y") - F.col("y")) / (F.col("other_x") - F.col("x"))).alias("slope")
     slopes = met_up.select(*KEYS, slope).unionByName(met_down.select(*KEYS, slope))
     # at most MOST slopes a series
@@ -301,14 +324,17 @@ def median_slopes(points: DataFrame, most: int = MOST, block: int = BLOCK, sampl
     samples = sampled.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("idx", "y"))).alias("sample"))
     grouped = known.groupBy(*KEYS, F.floor(F.col("idx") / block).alias("block"))
     blocks = cut_lineage(grouped.agg(F.sort_array(F.collect_list(F.struct("idx", "y"))).alias("points")))
+    # few pairs, all in one block
+    short = blocks.withColumn("n", F.size("points").cast("bigint")).join(sizes.select(*KEYS, "n"), [*KEYS, "n"]).where(pairs <= most)
+    short = cut_lineage(_dealt(short.select(*KEYS, "block", "points")).mapInArrow(_short_medians, "project string, series string, slope double"))
     held = blocks.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_blocks"))
-    state = state.join(held, KEYS).join(samples, KEYS, "left").select(
+    state = state.join(held, KEYS).where((F.col("n_blocks") > 1) | (pairs > most)).join(samples, KEYS, "left").select(
         "*", (-F.col("high")).alias("low"), F.lit(0).cast("bigint").alias("below"),
         F.lit(None).cast("double").alias("first_value"), F.lit(None).cast("double").alias("last_value"),
     )
     state = cut_lineage(state.withColumn("sample", F.coalesce("sample", F.array().cast("array<struct<idx: bigint, y: double>>"))))
     unsettled = F.col("first_value").isNull() | F.col("last_value").isNull()
-    wide = unsettled & (F.col("under") - F.col("below") > most)
+    wide = unsettled & (F.col("under") - F.col("below") > F.least(F.lit(most), LISTED * F.col("n")))
     done = state.where(~wide)
     rest = state.where(wide)
     while not rest.isEmpty():
@@ -324,4 +350,4 @@ def median_slopes(points: DataFrame, most: int = MOST, block: int = BLOCK, sampl
         at = F.get(F.filter("found", lambda p: p["place"] == F.col(name)), F.lit(0))["slope"]
         return F.coalesce(f"{name}_value", at)
 
-    return met.select(*KEYS, ((value("first") + value("last")) / 2).alias("slope"))
+    return short.unionByName(met.select(*KEYS, ((value("first") + value("last")) / 2).alias("slope")))

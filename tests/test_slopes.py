@@ -85,3 +85,22 @@ def test_pivots_without_sampled_pairs_halve_the_bracket():
         below = [p for p in pivots if p < 1e-9]
         low, high, rounds = max([low, *below]), min([high, *[p for p in pivots if p >= 1e-9]]), rounds + 1
     assert rounds < 40
+
+
+def test_listed_positions_are_never_broadcast(spark):
+    r = np.random.default_rng(7)
+    found = slopes.median_slopes(frame(spark, {"walk": list(enumerate(np.cumsum(r.normal(size=400)).tolist()))}), 5_000, 100, 50)
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    at = [line for line in joins if " at#" in line]
+    assert at and all("SortMergeJoin" in line for line in at)
+
+
+def test_bracket_is_listed_at_a_few_slopes_a_point(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    asked = []
+    real = slopes._listed
+    monkeypatch.setattr(slopes, "_listed", lambda blocks, state: asked.extend(state.collect()) or real(blocks, state))
+    points = list(enumerate(r.normal(size=600).tolist()))
+    got = slopes.median_slopes(frame(spark, {"noise": points}), 100_000, 200, 100).collect()
+    assert [x.slope for x in got if x.series == "noise"] == [brute(points)]
+    assert all(s.under - s.below <= slopes.LISTED * s.n for s in asked)
