@@ -7,6 +7,7 @@ updated per operation, and session metrics are rebuilt for the sessions a batch
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -72,10 +73,6 @@ TAIL_STATE = "next_seq bigint, chunk bigint, parent string, keys binary"
 KEY_BYTES = 8
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(["chunk", "place"])
-
-
 def _tail_session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Number the new lines of one session and carry its parent and a digest of every line told.
 
@@ -84,19 +81,24 @@ def _tail_session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     """
     next_seq, last_chunk, parent, keys = state.get if state.exists else (1, -1, None, b"")
     told = {keys[i : i + KEY_BYTES] for i in range(0, len(keys), KEY_BYTES)}
-    rows = _in_order(batches)
+    frames = list(batches)
+    rows = (frames[0] if len(frames) == 1 else pd.concat(frames)).sort_values(["chunk", "place"])
     replaced = last_chunk >= 0 and int(rows["chunk"].min()) <= last_chunk
     if replaced:
         next_seq, parent = 1, None
-    digests = [blake2b(k.encode(), digest_size=KEY_BYTES).digest() for k in rows["key"]]
-    parents = rows["own_parent"].replace("", None).ffill().fillna(parent) if parent else rows["own_parent"].replace("", None).ffill()
-    out = pd.DataFrame({
-        "session_id": key[0], "seq": range(next_seq, next_seq + len(rows)), "chunk": rows["chunk"], "place": rows["place"],
-        "value": rows["value"], "parent_thread_id": parents, "is_reset": replaced,
-    })
-    last = parents.iloc[-1]
-    state.update((next_seq + len(rows), int(rows["chunk"].max()), last if isinstance(last, str) else None, b"".join(told | set(digests))))
-    yield out[[not (replaced and d in told) for d in digests]]
+    digests = [blake2b(k.encode(), digest_size=KEY_BYTES).digest() for k in rows["key"].tolist()]
+    parents = []
+    for own in _plain(rows["own_parent"]):
+        parent = own or parent
+        parents.append(parent)
+    new = [not (replaced and d in told) for d in digests]
+    state.update((next_seq + len(rows), int(rows["chunk"].max()), parent, b"".join(told.union(digests))))
+    if any(new):
+        out = pd.DataFrame({
+            "session_id": key[0], "seq": range(next_seq, next_seq + len(rows)), "chunk": rows["chunk"].to_numpy(), "place": rows["place"].to_numpy(),
+            "value": rows["value"].to_numpy(), "parent_thread_id": pd.Series(parents, dtype=object), "is_reset": replaced,
+        })
+        yield out if all(new) else out[new]
 
 
 def tail_session(lines: DataFrame) -> DataFrame:
@@ -106,29 +108,66 @@ def tail_session(lines: DataFrame) -> DataFrame:
     )
 
 
+# Small states are kept by the thousand: a call into Python costs the same for one key as for many.
+BUCKETS = 4096
+
+
+def _by_key(fold: Callable, width: int, columns: list[str], fields: list[str], order: list[str]) -> Callable:
+    """State function over buckets of keys of `width` columns; each key's state and rows go to `fold` as plain values.
+
+    `fold(key, state, rows)` gets the key's new rows (`columns` behind the key) in order, and gives its state and the rows to tell.
+    """
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        states = {tuple(held[:width]): held[width:] for held in json.loads(state.get[0])} if state.exists else {}
+        frames = list(batches)
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames)
+        rows = rows.sort_values(order)
+        mine: dict[tuple, list[tuple]] = {}
+        for row in zip(*[_plain(rows[c]) for c in columns]):
+            mine.setdefault(row[:width], []).append(row[width:])
+        out = []
+        for key, its in mine.items():
+            states[key], told = fold(key, states.get(key), its)
+            out += told
+        state.update((json.dumps([[*key, *held] for key, held in states.items() if held is not None]),))
+        if out:
+            yield pd.DataFrame(out, columns=fields, dtype=object)  # whole numbers stay whole beside nulls
+
+    return step
+
+
+def _plain(values: pd.Series) -> list:
+    """Values of a column as Python has them, None for nulls."""
+    return values.astype(object).where(values.notna(), None).tolist()
+
+
+def _bucketed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+
+
 NAME_SCHEMA = "session_id string, call_id string, chunk bigint, place bigint, call_name string"
 
 
-def _name_call(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _name_call(key: tuple, state: list | None, rows: list[tuple]) -> tuple[list, list[tuple]]:
     """Give each line of one call id the tool its latest earlier call named."""
-    last_chunk, name = state.get if state.exists else (-1, None)
-    rows = _in_order(batches)
-    if last_chunk >= 0 and int(rows["chunk"].min()) <= last_chunk:
+    last_chunk, name = state or (-1, None)
+    if last_chunk >= 0 and min(chunk for chunk, _, _ in rows) <= last_chunk:
         name = None
     out = []
-    for row in rows.itertuples(index=False):
-        out.append((*key, row.chunk, row.place, name))
-        name = row.called if row.called is not None else name
-    state.update((int(rows["chunk"].max()), name))
-    yield pd.DataFrame(out, columns=["session_id", "call_id", "chunk", "place", "call_name"])
+    for chunk, place, called in rows:
+        out.append((*key, chunk, place, name))
+        name = called if called is not None else name
+    return [max(chunk for chunk, _, _ in rows), name], out
 
 
 def stream_call_names(lines: DataFrame) -> DataFrame:
-    """Tool name per line with a call id, kept across batches; one small state per call id."""
-    calls = with_tail_columns(lines).where(F.col("call_id") != "")
-    return calls.groupBy("session_id", "call_id").applyInPandasWithState(
-        _name_call, NAME_SCHEMA, "chunk bigint, name string", "append", GroupStateTimeout.NoTimeout
-    )
+    """Tool name per line with a call id, kept across batches; a small state per call id, stored by buckets of them."""
+    keys = ["session_id", "call_id"]
+    calls = _bucketed(with_tail_columns(lines).where(F.col("call_id") != ""), keys).select("bucket", *keys, "chunk", "place", "called")
+    names = [part.split()[0] for part in NAME_SCHEMA.split(", ")]
+    step = _by_key(_name_call, len(keys), [*keys, "chunk", "place", "called"], names, ["chunk", "place"])
+    return calls.groupBy("bucket").applyInPandasWithState(step, NAME_SCHEMA, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_dedup(events: DataFrame, delay: str | None = None) -> DataFrame:
@@ -151,35 +190,37 @@ OPERATION_FIELDS = [*O.KEY, "mutable", *[part.split()[0] for part in OPERATION_S
 OPERATION_SCHEMA = ", ".join(f"{k} string" for k in O.KEY) + ", mutable boolean, " + OPERATION_STATE
 
 
-def _fold_operation(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fold_operation(key: tuple, state: list | None, rows: list[tuple]) -> tuple[list | None, list[tuple]]:
     """Apply the new events of one operation in order; late ones and those after a final end are ignored."""
-    revision, started, ended, last, kind, phase, status, terminal, best = state.get if state.exists else (0, None, None, 0, None, None, None, False, -1)
+    revision, started, ended, last, kind, phase, status, terminal, best = state or (0, None, None, 0, None, None, None, False, -1)
     mutable, changed = True, False
-    for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-        mutable = bool(row.mutable)
-        if row.seq <= last or (terminal and not mutable):
+    for seq, event_type, event_phase, its_status, is_terminal, its_mutable, preference in rows:
+        mutable = bool(its_mutable)
+        if seq <= last or (terminal and not mutable):
             continue
-        started = started if started is not None else int(row.seq)
-        last, kind, phase, status = int(row.seq), row.event_type, row.event_phase, row.status
-        if row.is_terminal:
+        started = started if started is not None else seq
+        last, kind, phase, status = seq, event_type, event_phase, its_status
+        if is_terminal:
             terminal = True
-            if row.preference >= best:
-                ended, best = last, int(row.preference)
+            if preference >= best:
+                ended, best = last, preference
         revision, changed = revision + 1, True
-    if changed:
-        values = (revision, started, ended, last, kind, phase, status, terminal, best)
-        state.update(values)
-        yield pd.DataFrame([(*key, mutable, *values)], columns=OPERATION_FIELDS)
+    if not changed:
+        return state, []
+    values = [revision, started, ended, last, kind, phase, status, terminal, best]
+    return values, [(*key, mutable, *values)]
 
 
 def stream_operations(events: DataFrame) -> DataFrame:
-    """Snapshots of the operations a batch changes, in update mode."""
+    """Snapshots of the operations a batch changes, in update mode; a small state per operation, stored by buckets of them."""
+    said = ["seq", "event_type", "event_phase", "status", "is_terminal", "mutable", "preference"]
     rows = O.lifecycle_events(events).select(
         *O.KEY, "seq", "event_type", "event_phase", X.trim_null(F.col("status")).alias("status"), "is_terminal", "mutable",
         O.terminal_preference(F.col("duplicate_of")).alias("preference"),
     )
-    return rows.groupBy(*O.KEY).applyInPandasWithState(
-        _fold_operation, OPERATION_SCHEMA, OPERATION_STATE, "update", GroupStateTimeout.NoTimeout
+    step = _by_key(_fold_operation, len(O.KEY), [*O.KEY, *said], OPERATION_FIELDS, ["seq"])
+    return _bucketed(rows, O.KEY).groupBy("bucket").applyInPandasWithState(
+        step, OPERATION_SCHEMA, "held string", "update", GroupStateTimeout.NoTimeout
     )
 
 
