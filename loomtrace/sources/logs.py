@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,22 +163,27 @@ def flat_events(canonical: DataFrame) -> DataFrame:
 def scan_event_array(spark: SparkSession, path: str) -> DataFrame:
     """Files that hold one JSON array (a trailing comma is forgiven) or one row per line.
 
-    A file is an array when its first character that is not blank is `[`. An array file is one JSON value, so it is read
-    whole; line files are split and never loaded whole. The driver learns the paths of array files alone. A malformed
-    array gives one unparsed row with the file's text.
+    A file is an array when its first character that is not blank is `[`. An array file is one JSON value, so its lines are
+    put together by path; line files stay lines and are never loaded whole. The files are read once, into a table, and the
+    driver learns no path. A malformed array gives one unparsed row with the file's text.
     """
+    meta = F.col("_metadata")
+    read = spark.read.option("lineSep", "\n").text(path)
+    lines = cut_lineage(read.select(
+        meta["file_path"].alias("path"), meta["file_size"].alias("bytes"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value",
+    ))
     lead = F.substring(F.trim(F.translate("value", "\t\r", "  ")), 1, 1)
-    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), lead.alias("lead"), place.alias("place"))
-    leads = lines.where(F.col("lead") != "").groupBy("path").agg(F.min_by("lead", "place").alias("c"))
+    place = F.struct("block", "at")
+    leads = lines.select("path", lead.alias("lead"), place.alias("place")).where(F.col("lead") != "").groupBy("path").agg(F.min_by("lead", "place").alias("c"))
     # Fixed value: the character that tells an array from lines.
-    arrays = [r["path"] for r in leads.where(F.col("c") == "[").select("path").collect()]
-    if not arrays:
-        return canonical_rows(spark.read.text(path))
-    # a list whose size the planner knows: it is sent to the scan's tasks while it is small and joined by path beyond that
-    taken = spark.createDataFrame([(p,) for p in arrays], "path string")
-    rows = canonical_rows(spark.read.text(path).withColumn("path", F.col("_metadata.file_path")).join(taken, "path", "left_anti"))
-    whole = spark.read.text([unquote(p) for p in arrays], wholetext=True).withColumn("tree", J.parse(F.regexp_replace("value", r",\s*\]\s*$", "]")))
+    arrays = cut_lineage(leads.where(F.col("c") == "[").select("path"))
+    single = lines.join(arrays, "path", "left_anti").select(F.explode(F.split("value", "\r")).alias("value"))
+    rows = canonical_rows(single)
+    parts = lines.join(arrays, "path", "left_semi").groupBy("path", "bytes").agg(F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
+    # a text that ends with a line's end has one byte more than its lines and what stands between them
+    text = F.concat_ws("\n", F.col("parts.value"))
+    whole = parts.select(F.concat(text, F.when(F.octet_length(text) < F.col("bytes"), "\n").otherwise("")).alias("value"))
+    whole = whole.withColumn("tree", J.parse(F.regexp_replace("value", r",\s*\]\s*$", "]")))
     items = whole.select("value", F.try_variant_get("tree", "$", "array<variant>").alias("items"))
     good = items.select(F.explode("items").alias("tree")).where(J.is_object(F.col("tree"))).select(*_canonical(F.col("tree")))
     bad = items.where(F.col("items").isNull()).select(F.parse_json(F.to_json(F.struct(F.lit("unparsed").alias("parse_status"), F.struct(F.col("value").alias("raw_line")).alias("payload")))).alias("tree"))
