@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions import exprs as X
 from loomtrace.functions import json as J
 from loomtrace.functions import tools as T
-from loomtrace.operators.ordered import SPAN, carry
+from loomtrace.operators.ordered import SPAN, carry, dealt, enough_parts
 from loomtrace.session import cut_lineage
 
 UNPARSED = "raw.unparsed"
@@ -65,14 +65,14 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 # ---- state along a file ------------------------------------------------------------------------
 
 
-def resolve_call_names(bronze: DataFrame) -> DataFrame:
+def resolve_call_names(bronze: DataFrame, parts: int | None = None) -> DataFrame:
     """Add call_name, the tool of the latest earlier call with the id, and patch_ended before it."""
     is_call = (F.col("raw_type") == "response_item") & F.col("p_type").isin("function_call", "custom_tool_call")
     named = F.when(is_call & F.col("p").isNotNull(), F.coalesce("name", F.lit("unknown")))
     patched = F.when((F.col("raw_type") == "event_msg") & (F.col("p_type") == "patch_apply_end"), F.lit(True))
     with_id = carry(
         bronze.where(F.col("call_id") != ""), ["session_id", "call_id"], "seq",
-        {"call_name": named, "patch_ended": patched}, inclusive=False,
+        {"call_name": named, "patch_ended": patched}, inclusive=False, parts=parts,
     )
     return with_id.unionByName(bronze.where(F.col("call_id") == ""), allowMissingColumns=True)
 
@@ -83,13 +83,13 @@ def own_parent() -> Column:
     return F.when(own, J.clean(F.col("p"), "$.source.subagent.thread_spawn.parent_thread_id"))
 
 
-def carry_context(rows: DataFrame) -> DataFrame:
+def carry_context(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Add the running parent thread and the raw type of the previous considered record."""
     considered = F.col("valid") & ((F.col("raw_type") != "event_msg") | F.col("p").isNotNull())
     with_parent = rows.withColumn("own_parent", own_parent()).withColumn("considered_type", F.when(considered, F.col("raw_type")))
     both = carry(
         with_parent, ["session_id"], "seq",
-        {"parent_before": F.col("own_parent"), "previous_type": F.col("considered_type")}, inclusive=False,
+        {"parent_before": F.col("own_parent"), "previous_type": F.col("considered_type")}, inclusive=False, parts=parts,
     )
     parent = F.coalesce("own_parent", "parent_before")
     return both.withColumn("parent_thread_id", F.nullif(parent, F.lit(ROOT_PARENT))).drop("own_parent", "parent_before", "considered_type")
@@ -353,7 +353,8 @@ def normalize_session(bronze: DataFrame, task_id: str | None = None, resource_se
 
     `resource_server` names the MCP server the agent host gives its own resource tools.
     """
-    rows = carry_context(resolve_call_names(bronze)).withColumn("tool_name", _tool_name())
+    parts = enough_parts(bronze)
+    rows = carry_context(resolve_call_names(bronze, parts), parts).withColumn("tool_name", _tool_name())
     rows = rows.withColumn("event_type", session_event_type())
     rows = rows.withColumns(
         {
@@ -438,6 +439,7 @@ def drop_message_echo(silver: DataFrame, span: int = SPAN) -> DataFrame:
     )
     considered = rows.where("__counts").select("session_id", "seq", F.col("__span").alias("span"), F.col("__message").alias("message"), F.col("raw_type").alias("origin"))
     seeds = _echo_seeds(considered).withColumnsRenamed({"session_id": "__session", "span": "__its_span", "seed": "__seed"})
+    rows = dealt(rows, enough_parts(silver), "session_id", "__span")
     seeded = rows.join(seeds, (F.col("session_id") == F.col("__session")) & (F.col("__span") == F.col("__its_span")), "left")
     here = Window.partitionBy("session_id", "__span").orderBy("seq")
     said = F.when(F.col("__counts"), F.struct(F.col("__message").alias("message")))
@@ -520,7 +522,8 @@ def normalize_stdout(bronze_lines: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("item_type", F.when(F.col("item").isNotNull(), F.coalesce(J.text(F.col("item"), "$.type"), F.lit("unknown"))))
     keep = ["run_id", "task_id", "seq", "value", "read_at", "valid", "raw_type", "record", "item", "item_phase", "item_type", "started_thread"]
-    rows = carry(cut_lineage(rows.select(*keep)), ["run_id"], "seq", {"thread": F.col("started_thread")})
+    rows = cut_lineage(rows.select(*keep))
+    rows = carry(rows, ["run_id"], "seq", {"thread": F.col("started_thread")}, parts=enough_parts(rows))
     item, record, kind = F.col("item"), F.col("record"), F.col("item_type")
     it = lambda *types: F.coalesce(kind.isin(*types), F.lit(False))
     phase = F.col("item_phase")
