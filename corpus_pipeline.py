@@ -19,7 +19,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, candidates by SimHash fingerprints and by prefixes, a
+    Jaccard similarity of 0.8 or more."""
     return shingle_dedup.drop_near_copies(docs)
 
 

@@ -1,4 +1,9 @@
-"""Near copies by the exact Jaccard similarity of word shingles; candidates share a shingle of their prefixes."""
+"""Near copies by the exact Jaccard similarity of word shingles.
+
+Documents whose SimHash fingerprints meet in a table of blocks and lie within its distance are candidates first. Similar sets
+may lie further apart than any distance such tables serve (3 to 11 bits on the given tables), so the exact way for the rest
+follows: documents not linked yet are candidates if they share a shingle of their prefixes.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.llm import simhash
 from loomtrace.llm.common import cut, keep_documents, release, whole_text
 from loomtrace.llm.components import components
 
@@ -93,27 +99,49 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """(doc_id, text_sha256, node, n, prefix, odd) of every row: a digest of its set of shingles, their number, its prefix
-    and its parity sketch."""
+    """(doc_id, text_sha256, node, n, prefix, odd, print) of every row: a digest of its set of shingles, their number, its
+    prefix, its parity sketch and its fingerprint."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
         for batch in batches:
-            node, n, first, odd = [], [], [], []
+            node, n, first, odd, prints = [], [], [], [], []
             for text in batch["text"]:
-                values = shingles(text.as_buffer().to_pybytes(), size)
+                raw = text.as_buffer().to_pybytes()
+                values = shingles(raw, size)
+                prints.append(simhash.fingerprint(raw, size, SEED))
                 node.append(xxhash.xxh64_intdigest(values.tobytes(), SEED))
                 n.append(len(values))
                 first.append(prefix(values, similarity, common, rank))
                 odd.append(parities(values))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["sha"], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()),
-                 pa.array(first, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                ["doc_id", "text_sha256", "node", "n", "prefix", "odd"],
+                 pa.array(first, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))],
+                ["doc_id", "text_sha256", "node", "n", "prefix", "odd", "print"],
             )
 
-    return cut(_text(docs).mapInArrow(run, "doc_id bigint, text_sha256 string, node bigint, n int, prefix array<bigint>, odd array<bigint>"))
+    columns = "doc_id bigint, text_sha256 string, node bigint, n int, prefix array<bigint>, odd array<bigint>, print bigint"
+    return cut(_text(docs).mapInArrow(run, columns))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b, n, m) of pairs of (node, n) and (its_node, its_n): the smaller node and the larger one, with their sizes."""
+    low = F.col("node") < F.col("its_node")
+    first, second = F.struct("node", "n"), F.struct(F.col("its_node").alias("node"), F.col("its_n").alias("n"))
+    pairs = pairs.select(F.when(low, first).otherwise(second).alias("x"), F.when(low, second).otherwise(first).alias("y"))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+
+
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b, n, m) among nodes(node, n, print): every node with the first one of its fingerprint, and with the
+    first one of each fingerprint that its own is linked to."""
+    first = cut(nodes.groupBy("print").agg(F.min(F.struct(F.col("node").alias("its_node"), F.col("n").alias("its_n"))).alias("its")))
+    first = first.select(F.col("print").alias("its_print"), "its.*")
+    linked = simhash.links(first.select(F.col("its_print").alias("print")))
+    near = first.select(F.col("its_print").alias("a"), F.col("its_print").alias("b")).unionByName(linked)
+    met = nodes.select("node", "n", F.col("print").alias("a")).join(cut(near), "a").join(first, F.col("b") == F.col("its_print"))
+    return _ordered(met.filter("node != its_node"))
 
 
 def _links(pairs: DataFrame, docs: DataFrame, least: DataFrame, sketches: DataFrame, size: int, similarity: Fraction) -> DataFrame:
@@ -138,26 +166,35 @@ def _links(pairs: DataFrame, docs: DataFrame, least: DataFrame, sketches: DataFr
     return found
 
 
-def _components(rows: DataFrame, docs: DataFrame, least: DataFrame, sketches: DataFrame, size: int, similarity: Fraction, pivots: int) -> DataFrame:
-    """(node, component) of all nodes that are similar enough to another. rows: (gram, node, n, at) of shared prefix shingles.
+def _told(found: DataFrame, named: DataFrame | None) -> DataFrame:
+    """(node, component) by the edges found and what is linked already, which is told by one edge to its component; both
+    tables are replaced."""
+    told = components(found if named is None else found.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    now = cut(told)
+    release(found, told, *([named] if named is not None else []))
+    return now
+
+
+def _components(
+    rows: DataFrame, named: DataFrame, docs: DataFrame, least: DataFrame, sketches: DataFrame, size: int, similarity: Fraction, pivots: int
+) -> DataFrame:
+    """(node, component) of all nodes that are similar enough to another. rows: (gram, node, n, at) of shared prefix shingles;
+    named: (node, component) of those linked already.
 
     Documents that share a shingle of their prefixes are compared unless they are linked already. The first rounds compare
     with one document of each shingle, so a group of n near copies costs n comparisons, not n². Then all pairs that
     are still apart are compared. At its first shared shingle a similar pair has as many values left as it must share,
     which spares most pairs that share a common passage only.
     """
-    named = None
     for turn in range(pivots + 1):
-        now = rows if named is None else rows.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        now = now if named is not None else now.withColumn("component", F.col("node"))
-        if named is not None:
-            apart = now.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("gram")
-            apart, before = cut(apart), rows
-            now = rows = cut(now.join(apart, "gram"))
-            release(apart, before)
-            rows = rows.drop("component")
-            if now.isEmpty():
-                break
+        now = rows.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = now.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("gram")
+        apart, before = cut(apart), rows
+        now = rows = cut(now.join(apart, "gram"))
+        release(apart, before)
+        rows = rows.drop("component")
+        if now.isEmpty():
+            break
         other = now.select("gram", *[F.col(x).alias(f"its_{x}") for x in ("node", "n", "at", "component")])
         if turn < pivots:
             place = F.struct(F.xxhash64(F.col("its_node"), F.lit(turn)).alias("key"), "its_node", "its_n", "its_at", "its_component")
@@ -166,17 +203,11 @@ def _components(rows: DataFrame, docs: DataFrame, least: DataFrame, sketches: Da
         likely = (F.col("component") != F.col("its_component")) & _enough(left, "n", "its_n", similarity)
         likely = likely if turn < pivots else likely & (F.col("node") < F.col("its_node"))
         met = now.join(other, (now["gram"] == other["gram"]) & likely)
-        low = F.col("node") < F.col("its_node")
-        first, second = F.struct("node", "n"), F.struct(F.col("its_node").alias("node"), F.col("its_n").alias("n"))
-        pairs = met.select(F.when(low, first).otherwise(second).alias("x"), F.when(low, second).otherwise(first).alias("y"))
-        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+        pairs = _ordered(met)
         found = _links(pairs, docs, least, sketches, size, similarity)
         if turn < pivots:
             release(other)
-        # what is linked already is told by one edge to its component
-        told = components(found if named is None else found.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        before, named = named, cut(told)
-        release(found, told, *([before] if before is not None else []))
+        named = _told(found, named)
     return named
 
 
@@ -191,9 +222,11 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE, similarity: str = SIM
     sets = _sets(docs, size, share)
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_sha256")
     least = cut(sets.groupBy("node").agg(F.min(rank).alias("least")))
-    nodes = cut(sets.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("odd").alias("odd")))
+    nodes = cut(sets.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("odd").alias("odd"), F.min("print").alias("print")))
+    sketches = nodes.select("node", "odd")
+    near = _told(_links(print_pairs(nodes), docs, least, sketches, size, share), None)
     shared = nodes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("gram")
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "gram"))
-    named = _components(cut(rows.join(cut(shared), "gram")), docs, least, nodes.select("node", "odd"), size, share, pivots)
+    named = _components(cut(rows.join(cut(shared), "gram")), near, docs, least, sketches, size, share, pivots)
     rooted = least.join(named, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("kept"))
     return keep_documents(docs, rooted.select("kept.doc_id", "kept.text_sha256"))

@@ -148,6 +148,33 @@ def test_near_copies_are_all_pairs_by_jaccard(rows_of, edges, nothing, pivots):
         assert shingle_dedup.drop_near_copies(nothing).collect() == []
 
 
+def test_near_copies_are_candidates_by_their_fingerprints(spark):
+    draw = random.Random(3)
+    prints = [0, 0, 3, -1]
+    for _ in range(30):
+        x = draw.getrandbits(64) - (1 << 63)
+        for _ in range(draw.randint(1, 4)):
+            prints += [x] * draw.randint(1, 3)
+            x ^= 1 << draw.randrange(63)
+    nodes = {i - 50: (p, 10 + i % 7) for i, p in enumerate(prints)}
+    df = spark.createDataFrame([(i, n, p) for i, (p, n) in nodes.items()], "node bigint, n int, print bigint")
+    pairs = shingle_dedup.print_pairs(df).collect()
+    near = lambda a, b: ((nodes[a][0] ^ nodes[b][0]) & (1 << 64) - 1).bit_count() <= 2
+    got = {r.node: r.component for r in components.components(spark.createDataFrame([(r.a, r.b) for r in pairs], "a bigint, b bigint")).collect()}
+    assert all(r.a < r.b and (r.n, r.m) == (nodes[r.a][1], nodes[r.b][1]) for r in pairs)
+    assert {i: got.get(i, i) for i in nodes} == brute_components(sorted(nodes), near)
+
+
+def test_near_copies_link_by_fingerprint_before_prefixes(rows_of, monkeypatch):
+    words = [f"w{i}" for i in range(3000)]
+    text, other = " ".join(words), " ".join([*words[:-1], "x"])
+    assert (simhash.fingerprint(text.encode(), 5) ^ simhash.fingerprint(other.encode(), 5)).bit_count() <= 2
+    seen = []
+    monkeypatch.setattr(shingle_dedup, "_components", lambda rows, named, *rest: seen.extend(named.collect()) or named)
+    kept = shingle_dedup.drop_near_copies(rows_of([(1, text, "a"), (2, other, "a"), (3, "another text", "a")])).collect()
+    assert {r.doc_id for r in kept} == {1, 3} and len(seen) == 2
+
+
 def test_long_chain_of_components(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components.components(edges).collect()
