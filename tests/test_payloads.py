@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomtrace.functions import json as J
 from loomtrace.operators import payloads as P
 
 CASES = [
@@ -77,3 +78,11 @@ def test_no_payload_has_no_view(shredded):
 def test_every_type_has_one_view():
     types = [t for names in P.VIEW_OF.values() for t in names.split()]
     assert len(types) == len(set(types)) and set(P.VIEW_OF) <= set(P.VIEWS)
+
+
+def test_objects_are_told_without_the_types_of_their_fields(spark):
+    texts = ["{}", '{"a":{"b":[1,"x"]}}', "[]", '[{"a":1}]', '"{}"', "1", "1.5", "true", "null", None]
+    trees = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.parse_json("t").alias("tree"))
+    told = trees.select("i", J.is_object(F.col("tree")).alias("o"))
+    assert {r.i: r.o for r in told.collect()} == {i: i < 2 for i in range(len(texts))}
+    assert "SchemaOfVariant" not in told._jdf.queryExecution().executedPlan().toString()
