@@ -53,9 +53,9 @@ def thread_recent_lines(events: DataFrame, limit: int = LINES_DEFAULT) -> DataFr
 
 
 def run_timeline(events: DataFrame, limit: int = TIMELINE_DEFAULT) -> DataFrame:
-    """Last entries of each run with their summary."""
-    rows = event_summary(events).select("run_id", "seq", "ts", "event_type", X.truncate(F.col("summary"), TIMELINE_WIDTH).alias("label"))
-    return _last_lines(rows, ["run_id"], limit)
+    """Last entries of each run with their summary; only theirs are worded."""
+    rows = event_summary(_last_lines(events, ["run_id"], limit))
+    return rows.select("run_id", "seq", "ts", "event_type", X.truncate(F.col("summary"), TIMELINE_WIDTH).alias("label"), "position")
 
 
 def plan_text(event_type: Column, text: Column, output_text: Column) -> Column:

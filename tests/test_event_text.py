@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomtrace.operators import timeline
 from loomtrace.operators.event_text import event_summary, told
 
 LONG = "word " * 60
@@ -70,3 +71,13 @@ def test_told_descends_to_any_depth(spark):
     deep = '{"stderr":"","output":{"error":null,"message":' * 8 + '"core"' + "}}" * 8
     rows = spark.createDataFrame([(deep,), ('{"x":1}',), ('" a "',), ("null",), ("7",), ("[ ]",)], "value string")
     assert [r[0] for r in rows.select(told(F.parse_json("value"))).collect()] == ["core", '{"x":1}', "a", None, "7", "[]"]
+
+
+def test_timeline_words_its_last_entries_only(spark, monkeypatch):
+    rows = [(run, seq, "t", "error") for run in ("a", None) for seq in range(30)] + [("b", None, "t", "error"), ("b", 3, "t", "error")]
+    events = spark.createDataFrame(rows, "run_id string, seq bigint, ts string, event_type string")
+    worded = []
+    monkeypatch.setattr(timeline, "event_summary", lambda df: worded.append(df.count()) or df.withColumn("summary", F.concat(F.lit("s"), "seq")))
+    got = {(r.run_id, r.position): (r.seq, r.label) for r in timeline.run_timeline(events).collect()}
+    assert worded == [26] and got[("a", 1)] == got[(None, 1)] == (29, "s29") and got[("a", 12)] == (18, "s18")
+    assert got[("b", 1)] == (3, "s3") and got[("b", 2)] == (None, None) and len(got) == 26
