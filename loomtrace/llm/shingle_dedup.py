@@ -24,6 +24,7 @@ SHINGLE, SIMILARITY, SEED = 5, "0.8", 42
 PIVOTS = 2  # rounds that compare with one document of each shingle only, before all open pairs are written out
 LEAST_BITS = 1024  # of a parity sketch; longer sets have as many bits as values, up to the next power of two
 SAMPLED, COMMON, OFTEN = 20_000, 100_000, 8  # documents in which common shingles are counted, how many of them, and their least count
+OFTEN_BITS = 1 << 25  # of the filter of shingles that are often shared, 4 MB
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -35,15 +36,19 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64).view(np.int64))
 
 
-def prefix(values: np.ndarray, similarity: Fraction, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first of the values in an order that all documents share: common shingles last. Two sets that are similar
-    enough have a value in both prefixes, whatever the order."""
+def prefix(values: np.ndarray, similarity: Fraction, common: np.ndarray, rank: np.ndarray, often: np.ndarray | None = None, more: int = 0) -> np.ndarray:
+    """The first of the values in an order that all documents share: those of the filter `often` late, common shingles
+    last. Two sets that are similar enough have a value in both prefixes, whatever the order. So many `more` may follow."""
     if not len(values):
         return values
+    late = np.zeros(len(values), np.int64)
+    if often is not None:
+        late = often[(values & (64 * len(often) - 1)) >> 6] >> (values & 63) & 1
     if len(common):
         at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-        values = values[np.argsort(np.where(common[at] == values, rank[at] + 1, 0), kind="stable")]
-    return values[: len(values) + 1 + (-len(values) * similarity.numerator // similarity.denominator)]
+        late = np.where(common[at] == values, rank[at] + 2, late)
+    values = values[np.argsort(late, kind="stable")]
+    return values[: len(values) + 1 + (-len(values) * similarity.numerator // similarity.denominator) + more]
 
 
 def _enough(shared: Column | str, n: Column | str, m: Column | str, similarity: Fraction) -> Column:
@@ -98,13 +103,38 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return values[order], order
 
 
+def _often(docs: DataFrame, size: int, similarity: Fraction, bits: int = OFTEN_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `_common` tells, and a filter of the shingles that stand in the prefixes, or soon after, of OFTEN documents or
+    more, counted in all of them. A false hit is one for every document; this too sets the work, not the result."""
+    known = _common(docs, size)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        common, rank = shared.value
+        for batch in batches:
+            first = [np.empty(0, np.int64)]
+            for text in batch["text"]:
+                values = shingles(text.as_buffer().to_pybytes(), size)
+                first.append(prefix(values, similarity, common, rank, more=8 + len(values) // 20))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first))], ["gram"])
+
+    grams = docs.select(whole_text().cast("binary").alias("text")).mapInArrow(run, "gram bigint")
+    place = F.col("gram").bitwiseAND(F.lit(bits - 1))
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    often = often.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit"))
+    words = often.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # so many words at most as the filter has
+    told = np.zeros(bits // 64, np.int64)
+    told[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return *known, told
+
+
 def _sets(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
     """(doc_id, text_sha256, node, n, prefix, odd, print) of every row: a digest of its set of shingles, their number, its
     prefix, its parity sketch and its fingerprint."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, size))
+    shared = docs.sparkSession.sparkContext.broadcast(_often(docs, size, similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = shared.value
+        common, rank, often = shared.value
         for batch in batches:
             node, n, first, odd, prints = [], [], [], [], []
             for text in batch["text"]:
@@ -113,7 +143,7 @@ def _sets(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
                 prints.append(simhash.fingerprint(raw, size, SEED))
                 node.append(xxhash.xxh64_intdigest(values.tobytes(), SEED))
                 n.append(len(values))
-                first.append(prefix(values, similarity, common, rank))
+                first.append(prefix(values, similarity, common, rank, often))
                 odd.append(parities(values))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["sha"], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()),
@@ -178,13 +208,14 @@ def _told(found: DataFrame, named: DataFrame | None) -> DataFrame:
 def _components(
     rows: DataFrame, named: DataFrame, docs: DataFrame, least: DataFrame, sketches: DataFrame, size: int, similarity: Fraction, pivots: int
 ) -> DataFrame:
-    """(node, component) of all nodes that are similar enough to another. rows: (gram, node, n, at) of shared prefix shingles;
-    named: (node, component) of those linked already.
+    """(node, component) of all nodes that are similar enough to another. rows: (gram, node, n, at, own) of shared prefix
+    shingles, own being how many of its prefix a node shares with none; named: (node, component) of those linked already.
 
     Documents that share a shingle of their prefixes are compared unless they are linked already. The first rounds compare
-    with one document of each shingle, so a group of n near copies costs n comparisons, not n². Then all pairs that
-    are still apart are compared. At its first shared shingle a similar pair has as many values left as it must share,
-    which spares most pairs that share a common passage only.
+    with one document of each shingle, so a group of n near copies costs n comparisons, not n²; the first time
+    with the one that has least of its own, which the others were made of most likely. Then all pairs that are still apart
+    are compared. At its first shared shingle a similar pair has as many values left as it must share, which spares most
+    pairs that share a common passage only.
     """
     for turn in range(pivots + 1):
         now = rows.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -195,10 +226,11 @@ def _components(
         rows = rows.drop("component")
         if now.isEmpty():
             break
-        other = now.select("gram", *[F.col(x).alias(f"its_{x}") for x in ("node", "n", "at", "component")])
+        other = now.select("gram", *[F.col(x).alias(f"its_{x}") for x in ("node", "n", "at", "own", "component")])
         if turn < pivots:
-            place = F.struct(F.xxhash64(F.col("its_node"), F.lit(turn)).alias("key"), "its_node", "its_n", "its_at", "its_component")
-            other = cut(other.groupBy("gram").agg(F.min(place).alias("pivot")).select("gram", "pivot.*").drop("key"))
+            key = [F.col("its_own"), F.xxhash64(F.col("its_node"), F.lit(turn)).alias("key")][turn % 2 :]
+            place = F.struct(*key, "its_node", "its_n", "its_at", "its_component")
+            other = cut(other.groupBy("gram").agg(F.min(place).alias("pivot")).select("gram", "pivot.*").drop("key", "its_own"))
         left = F.least(F.col("n") - F.col("at"), F.col("its_n") - F.col("its_at"))
         likely = (F.col("component") != F.col("its_component")) & _enough(left, "n", "its_n", similarity)
         likely = likely if turn < pivots else likely & (F.col("node") < F.col("its_node"))
@@ -226,7 +258,9 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE, similarity: str = SIM
     sketches = nodes.select("node", "odd")
     near = _told(_links(print_pairs(nodes), docs, least, sketches, size, share), None)
     shared = nodes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("gram")
-    rows = nodes.select("node", "n", F.posexplode("prefix").alias("at", "gram"))
-    named = _components(cut(rows.join(cut(shared), "gram")), near, docs, least, sketches, size, share, pivots)
+    rows = nodes.select("node", "n", F.size("prefix").alias("length"), F.posexplode("prefix").alias("at", "gram"))
+    rows = cut(rows.join(cut(shared), "gram"))
+    own = rows.groupBy("node").agg((F.any_value("length") - F.count(F.lit(1))).alias("own"))
+    named = _components(cut(rows.drop("length").join(own, "node")), near, docs, least, sketches, size, share, pivots)
     rooted = least.join(named, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("kept"))
     return keep_documents(docs, rooted.select("kept.doc_id", "kept.text_sha256"))

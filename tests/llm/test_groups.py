@@ -175,6 +175,27 @@ def test_near_copies_link_by_fingerprint_before_prefixes(rows_of, monkeypatch):
     assert {r.doc_id for r in kept} == {1, 3} and len(seen) == 2
 
 
+def test_near_copies_put_shared_shingles_last(rows_of, monkeypatch):
+    monkeypatch.setattr(shingle_dedup, "COMMON", 0)  # as with a passage that the sample does not tell as common
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join([f"d{n}w{i}" for i in range(300)]) + " " + passage for n in range(12)]
+    rows = [(n, text, "a") for n, text in enumerate([*texts, texts[0] + " more"])]
+    nodes = [(set(r.prefix), r.doc_id) for r in shingle_dedup._sets(rows_of(rows), 5, Fraction("0.8")).collect()]
+    assert all(not one & other for one, i in nodes for other, j in nodes if i < j and (i, j) != (0, 12))
+    assert {r.doc_id for r in shingle_dedup.drop_near_copies(rows_of(rows)).collect()} == set(range(12))
+
+
+@pytest.mark.parametrize("often", [None, np.zeros(2, np.int64), np.array([-1, 5]), np.array([1, 1 << 40])])
+def test_prefixes_of_similar_sets_meet(often):
+    draw, share, nothing = random.Random(9), Fraction("0.8"), np.empty(0, np.int64)
+    for _ in range(200):
+        one = {draw.getrandbits(64) - (1 << 63) for _ in range(draw.randint(5, 60))}
+        other = set(draw.sample(sorted(one), draw.randint(len(one) * 4 // 5, len(one)))) | {draw.getrandbits(64) - (1 << 63) for _ in range(draw.randint(0, 3))}
+        if brute_jaccard(one, other):
+            first = [set(shingle_dedup.prefix(np.array(sorted(x)), share, nothing, nothing, often).tolist()) for x in (one, other)]
+            assert first[0] & first[1]
+
+
 def test_long_chain_of_components(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components.components(edges).collect()
