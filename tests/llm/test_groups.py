@@ -175,14 +175,12 @@ def test_near_copies_link_by_fingerprint_before_prefixes(rows_of, monkeypatch):
     assert {r.doc_id for r in kept} == {1, 3} and len(seen) == 2
 
 
-def test_near_copies_put_shared_shingles_last(rows_of, monkeypatch):
-    monkeypatch.setattr(shingle_dedup, "COMMON", 0)  # as with a passage that the sample does not tell as common
-    passage = " ".join(f"p{i}" for i in range(60))
-    texts = [" ".join([f"d{n}w{i}" for i in range(300)]) + " " + passage for n in range(12)]
-    rows = [(n, text, "a") for n, text in enumerate([*texts, texts[0] + " more"])]
-    nodes = [(set(r.prefix), r.doc_id) for r in shingle_dedup._sets(rows_of(rows), 5, Fraction("0.8")).collect()]
-    assert all(not one & other for one, i in nodes for other, j in nodes if i < j and (i, j) != (0, 12))
-    assert {r.doc_id for r in shingle_dedup.drop_near_copies(rows_of(rows)).collect()} == set(range(12))
+def test_prefix_puts_often_shared_values_late():
+    share, nothing, often = Fraction("0.8"), np.empty(0, np.int64), np.zeros(2, np.int64)
+    often[0], often[1] = 1 << 3, 1 << (70 - 64)
+    got = shingle_dedup.prefix(np.arange(100), share, nothing, nothing, often).tolist()
+    assert got == [0, 1, 2, *range(4, 22)] and shingle_dedup.prefix(np.arange(60, 80), share, nothing, nothing, often).tolist() == [60, 61, 62, 63, 64]
+    assert shingle_dedup.prefix(np.array([3, 70, 90]), share, np.array([90]), np.array([0]), often, 9).tolist() == [3, 70, 90]
 
 
 @pytest.mark.parametrize("often", [None, np.zeros(2, np.int64), np.array([-1, 5]), np.array([1, 1 << 40])])
