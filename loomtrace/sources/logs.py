@@ -13,7 +13,7 @@ from loomtrace.operators.catalog import ROLLOUT_NAME
 from loomtrace.operators.columns import EVENT_COLUMNS
 from loomtrace.operators.normalize import UNPARSED, normalize_session, normalize_stdout, parse_lines, subagent_threads
 from loomtrace.operators.ordered import lookup, row_index, running_total
-from loomtrace.session import cut_lineage
+from loomtrace.session import cut_lineage, many_small_files
 
 # The canonical event row, with what a missing or wrong field becomes.
 EVENT_DEFAULTS = {
@@ -51,15 +51,16 @@ def number_lines(lines: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """Lines of all matching files below a folder, with their file, its time and their number."""
-    text = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
-        .select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-            F.col("_metadata.file_modification_time").alias("modified"), "value",
+    with many_small_files(spark):
+        text = (
+            spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+            .select(
+                F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                F.col("_metadata.file_modification_time").alias("modified"), "value",
+            )
         )
-    )
-    text = text.withColumn("value", line_bytes()).where(F.col("value") != "").withColumn("place", F.monotonically_increasing_id())
-    return number_lines(text)
+        text = text.withColumn("value", line_bytes()).where(F.col("value") != "").withColumn("place", F.monotonically_increasing_id())
+        return number_lines(text)
 
 
 def session_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -92,10 +93,11 @@ def discover_session_files(spark: SparkSession, path: str) -> DataFrame:
     Spark's readers.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
-    listed = reader.format("binaryFile").load(path).select(F.col("path"), F.col("modificationTime").alias("modified"))
     line = F.regexp_replace("value", r"\r$", "")
     place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), line.alias("value"), place.alias("place"))
+    with many_small_files(spark):
+        lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), line.alias("value"), place.alias("place"))
+        listed = reader.format("binaryFile").load(path).select(F.col("path"), F.col("modificationTime").alias("modified"))
     first = lines.where(F.col("value") != "").groupBy("path").agg(F.min_by("value", "place").alias("value"))
     told = listed.select(_plain_path(F.col("path")).alias("at"), F.col("path"), "modified").join(
         first.select(_plain_path(F.col("path")).alias("at"), "value"), "at", "left"
@@ -168,10 +170,11 @@ def scan_event_array(spark: SparkSession, path: str) -> DataFrame:
     driver learns no path. A malformed array gives one unparsed row with the file's text.
     """
     meta = F.col("_metadata")
-    read = spark.read.option("lineSep", "\n").text(path)
-    lines = cut_lineage(read.select(
-        meta["file_path"].alias("path"), meta["file_size"].alias("bytes"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value",
-    ))
+    with many_small_files(spark):
+        read = spark.read.option("lineSep", "\n").text(path)
+        lines = cut_lineage(read.select(
+            meta["file_path"].alias("path"), meta["file_size"].alias("bytes"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value",
+        ))
     lead = F.substring(F.trim(F.translate("value", "\t\r", "  ")), 1, 1)
     place = F.struct("block", "at")
     leads = lines.select("path", lead.alias("lead"), place.alias("place")).where(F.col("lead") != "").groupBy("path").agg(F.min_by("lead", "place").alias("c"))

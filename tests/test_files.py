@@ -32,6 +32,24 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     assert all(r.value.split()[2] == str(r.seq) and not r.value.endswith("\r") for r in rows)
 
 
+def test_listing_takes_no_task_a_folder(spark, tmp_path):
+    names = [f"{i:03d}" for i in range(100)]
+    for name in names:
+        write(tmp_path / f"session_id={name}" / "part.jsonl", [name, name])
+    before = {key: spark.conf.get(key, None) for key in ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes")}
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    try:
+        rows = L.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    told = context.statusTracker()
+    stages = [told.getStageInfo(s) for job in told.getJobIdsForGroup("listing") for s in told.getJobInfo(job).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 8 * context.defaultParallelism < 100
+    assert sorted((r.value, r.seq) for r in rows) == [(name, seq) for name in names for seq in (1, 2)]
+    assert before == {key: spark.conf.get(key, None) for key in before}
+
+
 def test_session_file_to_events(spark, tmp_path):
     path = tmp_path / "sessions" / "2026" / "rollout-2026-04-07T10-00-00-abc-1.jsonl"
     content = [{"type": "output_text", "text": "done\n"}]
